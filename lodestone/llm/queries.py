@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import report
+
+    found = report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -19,6 +26,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import digests, read_back, windows
+
+    both = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], both.schema)
+    found = digests(read_back(windows(both.unionByName(extra))))
+    return found.withColumnRenamed("conv", "conv_id")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixture, words_taken
 
@@ -40,8 +57,42 @@ def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_simhash, op8_mixing, op9_sharding, op10_sketch)}
+    return {f.__name__: f for f in (op5_decontamination, op6_simhash, op7_chat, op8_mixing, op9_sharding, op10_sketch)}
+
+
+#: A-Z as a-z, nothing else changed.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP5 = f"""
+WITH iw AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(13, len(w)) n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') key
+        FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 11))) i FROM iw WHERE len(w) > 0)),
+dw AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w FROM documents),
+place AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') key
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) i FROM dw, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+occ AS (SELECT DISTINCT place.doc_id, place.i, place.n, win.item_id FROM place JOIN win USING (n, key)),
+hit AS (SELECT doc_id, count(DISTINCT p) n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) p FROM occ) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) n_items, string_agg(s, ',' ORDER BY s) ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR s FROM occ) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesce(n_items, 0)::BIGINT n_items,
+       sha256(coalesce(ids, '')) items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) contaminated
+FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+OP7 = """
+WITH every AS (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\\### Assistant: </turn> ok')),
+t AS (SELECT conv_id, turn, coalesce(role, '') role, coalesce(text, '') text, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) + 2 tokens FROM every),
+n AS (SELECT *, row_number() OVER o no, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) before,
+  length(role) + length(text) + len(regexp_extract_all(role, '[\\\\<#:]')) + len(regexp_extract_all(text, '[\\\\<#]')) + 14 chars
+  FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+s AS (SELECT *, (before // 896)::BIGINT span, max((before // 896)::BIGINT) OVER (PARTITION BY conv_id) top FROM n),
+own AS (SELECT DISTINCT conv_id, span FROM s),
+seen AS (SELECT conv_id, no, chars, unnest(range(span, CASE WHEN role = 'system' AND no = 1 THEN top WHEN before >= (span + 1) * 896 - 128 THEN least(span + 1, top) ELSE span END + 1)) span FROM s),
+f AS (SELECT conv_id, sum(chars)::BIGINT formatted_chars FROM seen JOIN own USING (conv_id, span) GROUP BY conv_id)
+SELECT conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY no)) turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY no) FILTER (role = 'assistant'), '')) loss_sha256, any_value(formatted_chars) formatted_chars
+FROM s JOIN f USING (conv_id) GROUP BY conv_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": OP5, "op7_chat": OP7}
