@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, spans
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(_remainder(4) != 2))
+    found = spans(docs, model)
+    return found.select(F.col("id").alias("doc_id"), (F.pmod(F.crc32(F.col("id").cast("string")), F.lit(4)) == 2).alias("held_out"), F.col("lang").alias("lang_pred"), "score", "spans")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, scored
+
+    docs = table(spark, sf_dir, "documents")
+    scorer = fit(docs, table(spark, sf_dir, "labels").where(_remainder(5) != 0))
+    found = scored(docs.select("doc_id", "text"), scorer)
+    return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import report
 
@@ -57,7 +80,7 @@ def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_decontamination, op6_simhash, op7_chat, op8_mixing, op9_sharding, op10_sketch)}
+    return {f.__name__: f for f in (op1_language, op3_toxicity, op5_decontamination, op6_simhash, op7_chat, op8_mixing, op9_sharding, op10_sketch)}
 
 
 #: A-Z as a-z, nothing else changed.
