@@ -26,6 +26,18 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), (F.pmod(F.crc32(F.col("id").cast("string")), F.lit(4)) == 2).alias("held_out"), F.col("lang").alias("lang_pred"), "score", "spans")
 
 
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after three edits of each text: a cut, an insertion and a replacement."""
+    from .tokens import token_counts
+
+    n = F.coalesce(F.length("text"), F.lit(0))
+    quarter = F.floor(n / 4).cast("int")
+    edit = lambda a, b, t: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), t.alias("text"))
+    edits = F.array(edit(quarter, quarter + 5, F.lit("")), edit(2 * quarter, 2 * quarter, F.lit(" an inserted phrase's")), edit(3 * quarter, 3 * quarter + 8, F.substring("text", 1, 8)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
+    return token_counts(docs, edits_col="edits").withColumnRenamed("id", "doc_id")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, scored
 
@@ -35,6 +47,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import repeated_lines
+
+    found = repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "n_links")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import report
 
@@ -80,7 +99,7 @@ def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op3_toxicity, op5_decontamination, op6_simhash, op7_chat, op8_mixing, op9_sharding, op10_sketch)}
+    return {f.__name__: f for f in (op1_language, op2_tokens, op3_toxicity, op4_lines, op5_decontamination, op6_simhash, op7_chat, op8_mixing, op9_sharding, op10_sketch)}
 
 
 #: A-Z as a-z, nothing else changed.
