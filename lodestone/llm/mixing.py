@@ -77,12 +77,13 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     plan = plan.withColumn("left", F.least(F.col("words") - F.col("epoch") * F.col("source_size"), F.col("source_size")))
     # A source may need many slots, so its range is cut up before it is numbered.
     slot_count = F.ceil(F.col("left") / block)
-    plan = plan.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((slot_count - 1) / 4096)))).repartition("source", "epoch", "part")
+    plan = plan.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((slot_count - 1) / 4096)))).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "epoch", "part")
     plan = plan.withColumn("k", F.explode(F.sequence(F.col("part") * 4096, F.least((F.col("part") + 1) * 4096, slot_count) - 1)))
     image = shuffled(F.col("k"), F.greatest(F.col("full"), F.lit(1)), F.xxhash64(F.lit(seed), "source", "epoch"))
     at = F.when(F.col("k") < F.col("full"), image).otherwise(F.col("k"))
     slots = plan.select(F.col("source").alias("_source"), "epoch", F.col("k").alias("slot"), F.pmod(F.xxhash64(F.lit(seed), "source", "epoch", "k"), F.lit(shards)).cast("int").alias("shard"), at.alias("_block"), F.least(F.lit(block).cast("long"), F.col("left") - F.col("k") * block).alias("take"))
-    met = held.join(slots, (F.col("block") == F.col("_block")) & F.col("source").eqNullSafe(F.col("_source")))
+    # Both sides grow with the words, though the plan takes the slots for few; so neither is broadcast.
+    met = held.join(slots.hint("merge"), (F.col("block") == F.col("_block")) & F.col("source").eqNullSafe(F.col("_source")))
     low = F.greatest(F.col("start"), F.col("block") * block)
     high = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("take"))
     pieces = met.withColumn("_low", low).withColumn("_high", high).where("_high > _low")
