@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from .common import code_points, durable, mix, runs, slices, span_hashes
 
 #: Counters of the rarity table, and counters that one row of it holds.
-BUCKETS, SLAB = 1 << 20, 1 << 14
-BYTES = 6
+BUCKETS, SLAB = 1 << 19, 1 << 14
+#: Bytes of a stored token: two of a line's tokens agree by chance once in 10**12.
+BYTES = 5
+#: Classes that a task remembers, so that it stores the tokens of each once.
+SEEN = 300_000
 NEAR = 0.8
 
 
@@ -56,10 +59,10 @@ def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             for part in slices(texts):
                 token, _, _, _ = line_tokens(texts[part])
                 sums += np.bincount((token & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        yield pd.DataFrame({"slab": np.arange(BUCKETS // SLAB), "n": [s.astype("<i8").tobytes() for s in sums.reshape(-1, SLAB)]})
+        yield pd.DataFrame({"slab": np.arange(BUCKETS // SLAB), "n": [s.astype("<u4").tobytes() for s in np.minimum(sums, 2**32 - 1).reshape(-1, SLAB)]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(b, "<i8") for b in pdf["n"]], axis=0)
+        total = np.sum([np.frombuffer(b, "<u4") for b in pdf["n"]], axis=0, dtype=np.int64)
         return pd.DataFrame({"slab": pdf["slab"][:1], "n": [total.astype("<i8").tobytes()]})
 
     slabs = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(count, "slab int, n binary")
@@ -83,11 +86,12 @@ def lines(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col:
     """A row for each line that has tokens, and one (no = -1) for each row of docs.
 
     k1, k2: hashes of the token set, its class. n: tokens of the set. tokens: the set, rarest first, for the first line of
-    a class in a batch, and head: as many of it as the prefix filter needs.
+    a class that a task meets.
     """
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(table, 2**31 - 1).astype(np.int32))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[tuple[int, int]] = set()
         for pdf in batches:
             texts = [t if isinstance(t, str) else None for t in pdf["text"]]
             for part in slices(texts):
@@ -100,25 +104,41 @@ def lines(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col:
                 own, start, n = np.unique(line, return_index=True, return_counts=True)
                 keys = [np.add.reduceat(mix(token + np.uint64(salt)), start) if len(start) else np.zeros(0, np.uint64) for salt in (1, 0xA5A5A5A5)]
                 _, rep = np.unique(np.stack(keys, axis=1), axis=0, return_index=True)
-                tokens, heads = [None] * len(own), [None] * len(own)
+                tokens = [None] * len(own)
                 wide = token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES]
-                signed = token.view(np.int64)
                 # Sets of under four tokens have no similar set but themselves.
                 for i in rep[n[rep] >= np.ceil(near / (1 - near) - 1e-9)].tolist():
-                    a = start[i]
-                    tokens[i] = wide[a : a + n[i]].tobytes()
-                    heads[i] = signed[a : a + int(prefix_length(n[i], near))]
+                    name = (int(keys[0][i]), int(keys[1][i]))
+                    if name not in seen:
+                        seen.add(name)
+                        tokens[i] = wide[start[i] : start[i] + n[i]].tobytes()
+                if len(seen) > SEEN:
+                    seen.clear()
                 at = ids.to_numpy()
-                yield pd.DataFrame({"id": at[row[own]], "no": no[own], "k1": keys[0].view(np.int64), "k2": keys[1].view(np.int64), "n": n, "tokens": tokens, "head": heads})
-            yield pd.DataFrame({"id": pdf["id"], "no": -1, "k1": pd.array([None] * len(pdf), "Int64"), "k2": pd.array([None] * len(pdf), "Int64"), "n": 0, "tokens": None, "head": None})
+                yield pd.DataFrame({"id": at[row[own]], "no": no[own], "k1": keys[0].view(np.int64), "k2": keys[1].view(np.int64), "n": n, "tokens": tokens})
+            yield pd.DataFrame({"id": pdf["id"], "no": -1, "k1": pd.array([None] * len(pdf), "Int64"), "k2": pd.array([None] * len(pdf), "Int64"), "n": 0, "tokens": None})
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInPandas(cut, "id long, no int, k1 long, k2 long, n int, tokens binary, head array<long>")
+    return own.mapInPandas(cut, "id long, no int, k1 long, k2 long, n int, tokens binary")
+
+
+def unpacked(tokens: bytes) -> np.ndarray:
+    """Stored tokens as numbers."""
+    wide = np.zeros((len(tokens) // BYTES, 8), np.uint8)
+    wide[:, :BYTES] = np.frombuffer(tokens, np.uint8).reshape(-1, BYTES)
+    return wide.view(np.int64).ravel()
 
 
 def candidates(found: DataFrame, near: float = NEAR) -> DataFrame:
     """Pairs a < b of keys k1 whose sets share a token of both prefixes and pass the length and positional filters."""
-    heads = found.where("head is not null").select("k1", "n", F.posexplode("head").alias("at", "token"))
+    def head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n = pdf["n"].to_numpy(np.int64)
+            token, size = unpacked(b"".join(pdf["tokens"])), prefix_length(n, near)
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            yield pd.DataFrame({"k1": np.repeat(pdf["k1"].to_numpy(), size), "n": np.repeat(n, size), "at": at, "token": token[at + np.repeat(np.cumsum(n) - n, size)]})
+
+    heads = found.where("tokens is not null").select("k1", "n", "tokens").mapInPandas(head, "k1 long, n int, at int, token long")
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -169,11 +189,7 @@ def links(found: DataFrame, near: float = NEAR) -> DataFrame:
         for pdf in batches:
             keep = []
             for x, y in zip(pdf["at"], pdf["bt"]):
-                sx = np.frombuffer(x, np.uint8).reshape(-1, BYTES)
-                sy = np.frombuffer(y, np.uint8).reshape(-1, BYTES)
-                wide = np.zeros((len(sx) + len(sy), 8), np.uint8)
-                wide[:, :BYTES] = np.concatenate([sx, sy])
-                u = np.sort(wide.view(np.uint64).ravel())
+                u = np.sort(unpacked(x + y))
                 same = int((u[1:] == u[:-1]).sum())
                 keep.append(same >= near * (len(u) - same) - 1e-9)
             yield pdf.loc[keep, ["a1", "a2", "b1", "b2"]]
