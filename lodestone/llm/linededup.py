@@ -18,6 +18,10 @@ BUCKETS, SLAB = 1 << 19, 1 << 14
 BYTES = 5
 #: Classes that a task remembers, so that it stores the tokens of each once.
 SEEN = 300_000
+#: Lines that are ordered at once.
+LINES = 1 << 19
+#: Bits of the filter of classes whose tokens are needed.
+FILTER = 1 << 25
 NEAR = 0.8
 
 
@@ -29,7 +33,7 @@ def spaces() -> np.ndarray:
 
 
 def line_tokens(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of the lines of texts: hash, and line of each; row and number in its row of each line.
+    """Tokens of the lines of texts: hash of 8 * BYTES bits, and line of each; row and number in its row of each line.
 
     A line's tokens are its adjacent pairs of lower-case words, or its word if it has one. Lines end at line feeds.
     """
@@ -42,7 +46,7 @@ def line_tokens(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np
     alone = np.ones(len(h), bool)
     alone[1:] &= ~pair
     alone[:-1] &= ~pair
-    token = np.concatenate([mix(h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:])[pair], h[alone]])
+    token = np.concatenate([mix(h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:])[pair], h[alone]]) >> np.uint64(64 - 8 * BYTES)
     line = np.concatenate([of[:-1][pair], of[alone]])
     row = np.searchsorted(begin, ends, "right") - 1
     first = np.searchsorted(row, np.arange(len(texts)))
@@ -97,13 +101,18 @@ def lines(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col:
             for part in slices(texts):
                 ids = pdf["id"].iloc[part]
                 token, line, row, no = line_tokens(texts[part])
-                order = np.lexsort((token, shared.value[(token & np.uint64(BUCKETS - 1)).astype(np.int64)], line))
-                token, line = token[order], line[order]
-                fresh = np.concatenate(([True], (token[1:] != token[:-1]) | (line[1:] != line[:-1])))[: len(token)]
-                token, line = token[fresh], line[fresh]
+                # Rarest first: by the power of two of the count, then by hash; a fixed order for all lines.
+                rare = np.log2(1 + shared.value[(token & np.uint64(BUCKETS - 1)).astype(np.int64)]).astype(np.uint64)
+                made = []
+                for first in range(0, len(row), LINES):
+                    some = (line >= first) & (line < first + LINES) if len(row) > LINES else slice(None)
+                    code = (line[some] - first).astype(np.uint64) << np.uint64(45) | rare[some] << np.uint64(40) | token[some]
+                    made.append((np.unique(code), first))
+                line = np.concatenate([(c >> np.uint64(45)).astype(np.int64) + first for c, first in made])
+                token = np.concatenate([c & np.uint64((1 << 40) - 1) for c, _ in made])
                 own, start, n = np.unique(line, return_index=True, return_counts=True)
                 keys = [np.add.reduceat(mix(token + np.uint64(salt)), start) if len(start) else np.zeros(0, np.uint64) for salt in (1, 0xA5A5A5A5)]
-                _, rep = np.unique(np.stack(keys, axis=1), axis=0, return_index=True)
+                _, rep = np.unique(keys[0], return_index=True)
                 tokens = [None] * len(own)
                 wide = token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES]
                 # Sets of under four tokens have no similar set but themselves.
@@ -155,6 +164,8 @@ def candidates(found: DataFrame, near: float = NEAR) -> DataFrame:
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         token, n, at, key = (pdf[c].to_numpy() for c in ("token", "n", "at", "k1"))
+        order = np.lexsort((n, token))
+        token, n, at, key = token[order], n[order], at[order], key[order]
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         i = np.arange(len(token))
         d = 1
@@ -172,27 +183,62 @@ def candidates(found: DataFrame, near: float = NEAR) -> DataFrame:
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
         return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
 
-    dealt = heads.repartition("token").sortWithinPartitions("token", "n")
+    dealt = heads.repartition("token").sortWithinPartitions("token")
     return dealt.mapInPandas(pair, "a long, b long").distinct()
 
 
+def needed_filter(keys: DataFrame) -> np.ndarray:
+    """Bits of a table of fixed size that are set for the hash of each key: what is not set is no key."""
+
+    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = np.zeros(FILTER, bool)
+        for pdf in batches:
+            table[place(pdf["need"].to_numpy(np.int64))] = True
+        slabs = np.packbits(table).reshape(64, -1)
+        some = np.flatnonzero(slabs.any(axis=1))
+        yield pd.DataFrame({"slab": some, "b": [slabs[i].tobytes() for i in some]})
+
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"slab": pdf["slab"][:1], "b": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["b"]]).tobytes()]})
+
+    table = np.zeros((64, FILTER // 8 // 64), np.uint8)
+    for r in keys.mapInPandas(bits, "slab int, b binary").groupBy("slab").applyInPandas(unite, "slab int, b binary").collect():  # FILTER bits in all
+        table[r.slab] = np.frombuffer(r.b, np.uint8)
+    return table.ravel()
+
+
+def place(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) & np.uint64(FILTER - 1)).astype(np.int64)
+
+
 def links(found: DataFrame, near: float = NEAR) -> DataFrame:
-    """Links between classes (a1, a2, b1, b2), each once: all pairs of different token sets with Jaccard >= near."""
+    """Links between classes (a1, a2, b1, b2), each once: all pairs of different token sets with Jaccard >= near.
+
+    A filter of fixed size keeps the tokens of most classes without candidates from being shuffled; the join decides.
+    """
     pairs = durable(candidates(found, near))
-    needed = pairs.select(F.col("a").alias("need")).union(pairs.select("b")).distinct()
-    sets = found.where("tokens is not null").select("k1", "k2", "tokens").join(needed, F.col("k1") == F.col("need"), "left_semi").groupBy("k1", "k2").agg(F.any_value("tokens").alias("tokens"))
-    sets = durable(sets)
+    needed = durable(pairs.select(F.col("a").alias("need")).union(pairs.select("b")).distinct())
+    shared = found.sparkSession.sparkContext.broadcast(needed_filter(needed))
+
+    def maybe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = place(pdf["k1"].to_numpy(np.int64))
+            yield pdf[(shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+
+    some = found.where("tokens is not null").select("k1", "k2", "tokens").mapInPandas(maybe, "k1 long, k2 long, tokens binary")
+    sets = durable(some.join(needed, F.col("k1") == F.col("need"), "left_semi").groupBy("k1", "k2").agg(F.any_value("tokens").alias("tokens")))
     a, b = (sets.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("tokens").alias(f"{x}t")) for x in "ab")
     met = pairs.join(a, F.col("a") == F.col("a1")).join(b, F.col("b") == F.col("b1"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["at"], pdf["bt"]):
-                u = np.sort(unpacked(x + y))
-                same = int((u[1:] == u[:-1]).sum())
-                keep.append(same >= near * (len(u) - same) - 1e-9)
-            yield pdf.loc[keep, ["a1", "a2", "b1", "b2"]]
+        for whole in batches:
+            for i in range(0, len(whole), 2000):
+                pdf = whole.iloc[i : i + 2000]
+                size = np.array([len(x) + len(y) for x, y in zip(pdf["at"], pdf["bt"])]) // BYTES
+                token = unpacked(b"".join(t for both in zip(pdf["at"], pdf["bt"]) for t in both))
+                code = np.sort(np.repeat(np.arange(len(pdf)), size) << 40 | token)
+                same = np.bincount(code[1:][code[1:] == code[:-1]] >> 40, minlength=len(pdf))
+                yield pdf.loc[same >= near * (size - same) - 1e-9, ["a1", "a2", "b1", "b2"]]
 
     return met.select("a1", "a2", "b1", "b2", "at", "bt").mapInPandas(verify, "a1 long, a2 long, b1 long, b2 long")
 
