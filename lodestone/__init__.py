@@ -1,0 +1 @@
+"""Spark-native analytics over data-build artifacts: manifests, catalogs, run results and source freshness."""
