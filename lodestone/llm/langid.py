@@ -127,12 +127,16 @@ SIZES = (1, 2, 3, 4)
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, switch: float = 12.0) -> Model:
-    """A model from at most `rows` rows of labelled texts, those of the least hash of their text, each taken whole.
+    """A model from at most `rows` different labelled texts, those of the least hash, each taken whole.
 
-    The tasks count letter sequences; what reaches the driver is one number for each bucket and language.
+    Copies count once, so that no group of them fills the sample. The tasks count letter sequences; what reaches the
+    driver is one number for each bucket and language.
     """
     own = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    chosen = own.orderBy(F.xxhash64("text"), "lang").limit(rows)
+    own = own.withColumn("hash", F.xxhash64("text"))
+    least = own.select(F.col("hash").alias("_hash"), F.col("lang").alias("_lang")).distinct().orderBy("_hash", "_lang").limit(rows)
+    met = own.join(F.broadcast(least), (F.col("hash") == F.col("_hash")) & (F.col("lang") == F.col("_lang")))  # `rows` rows
+    chosen = met.groupBy("hash", "lang").agg(F.min("text").alias("text")).select("text", "lang")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
