@@ -16,6 +16,8 @@ from .langid import tables
 WINDOW, STRIDE = 64, 48
 BUCKETS = 1 << 17
 HIDDEN = 8
+#: Windows that the network reads at once.
+BATCH = 1024
 #: Labelled rows of each class that a model is fitted on at most, and characters of such a text at most.
 FIT_TOXIC, FIT_CLEAN, FIT_CHARS = 1500, 3000, 50_000
 
@@ -161,8 +163,8 @@ class Scorer:
         x = self.evidence.inputs(word, gram, of)
         which, first, size = windows(row, len(texts))
         best = np.full(len(texts), -np.inf)
-        for i in range(0, len(which), 4096):
-            s = slice(i, i + 4096)
+        for i in range(0, len(which), BATCH):
+            s = slice(i, i + BATCH)
             np.maximum.at(best, which[s], self.network.logits(*gather(x, first[s], size[s])))
         some = np.isfinite(best)
         out[some] = sigmoid(best[some] + self.shift)
@@ -183,15 +185,21 @@ def train(texts: Sequence[str], labels: Sequence[int], share: float, epochs: int
     all labelled rows, to which the scores are set back.
     """
     labels = np.asarray(labels, int)
-    evidence, split = Evidence(), [parts([t]) for t in texts]
-    for y, (word, _, gram, _) in zip(labels, split):
+    # Texts are taken apart twice rather than kept apart: the parts are many times as large.
+    evidence = Evidence()
+    for y, t in zip(labels, texts):
+        word, _, gram, _ = parts([t])
         evidence.add(y, word, gram)
     if len(set(labels.tolist())) < 2:
         return Scorer(evidence, None, 0.0, float(share))
-    xs = [evidence.inputs(word, gram, of, int(y)) for y, (word, _, gram, of) in zip(labels, split)]
+    xs = []
+    for y, t in zip(labels, texts):
+        word, _, gram, of = parts([t])
+        xs.append(evidence.inputs(word, gram, of, int(y)))
     row = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
     x = np.concatenate(xs)
     bag, first, size = windows(row, len(xs))
+    del xs, row
     if not len(bag):
         return Scorer(evidence, None, 0.0, float(share))
     network, rng = Network(seed=seed), np.random.default_rng(seed)
@@ -200,7 +208,7 @@ def train(texts: Sequence[str], labels: Sequence[int], share: float, epochs: int
     step = 0
     for epoch in range(epochs):
         if epoch:
-            value = np.concatenate([network.logits(*gather(x, first[i : i + 4096], size[i : i + 4096])) for i in range(0, len(bag), 4096)])
+            value = np.concatenate([network.logits(*gather(x, first[i : i + BATCH], size[i : i + BATCH])) for i in range(0, len(bag), BATCH)])
         top = np.lexsort((value, bag))
         top = top[np.concatenate((bag[top][1:] != bag[top][:-1], [True]))]
         other = rng.choice(np.flatnonzero(labels[bag] == 0), len(top) // 2)
