@@ -22,6 +22,10 @@ SEEN = 300_000
 LINES = 1 << 19
 #: Bits of the filter of classes whose tokens are needed.
 FILTER = 1 << 25
+#: Rows of one token that a task holds while it looks for partners, and neighbours that it looks at for each.
+HELD, LOOK = 500_000, 2000
+#: Classes that are compared with each other at a time, and pairs and tokens that are looked at together.
+BLOCK, PAIRS, TOKENS = 4096, 200_000, 1_000_000
 NEAR = 0.8
 
 
@@ -138,53 +142,85 @@ def unpacked(tokens: bytes) -> np.ndarray:
     return wide.view(np.int64).ravel()
 
 
-def candidates(found: DataFrame, near: float = NEAR) -> DataFrame:
-    """Pairs a < b of keys k1 whose sets share a token of both prefixes and pass the length and positional filters."""
+def joining(found: DataFrame, near: float = NEAR) -> DataFrame:
+    """Prefix tokens (token, k1, n, at) of classes that meet another class there which the filters on length, position
+    and parity let through: one row a class and token, however many classes meet."""
+
     def head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             n = pdf["n"].to_numpy(np.int64)
             token, size = unpacked(b"".join(pdf["tokens"])), prefix_length(n, near)
             at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            yield pd.DataFrame({"k1": np.repeat(pdf["k1"].to_numpy(), size), "n": np.repeat(n, size), "at": at, "token": token[at + np.repeat(np.cumsum(n) - n, size)]})
+            start = np.cumsum(n) - n
+            sketch = parity(token, start, 32).astype(np.uint32).view(np.int32)
+            yield pd.DataFrame({"k1": np.repeat(pdf["k1"].to_numpy(), size), "n": np.repeat(n, size), "at": at, "token": token[at + np.repeat(start, size)], "sketch": np.repeat(sketch, size)})
 
-    heads = found.where("tokens is not null").select("k1", "n", "tokens").mapInPandas(head, "k1 long, n int, at int, token long")
+    heads = found.where("tokens is not null").select("k1", "n", "tokens").mapInPandas(head, "k1 long, n int, at int, token long, sketch int")
 
-    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, hot = None, None
         for pdf in batches:
             whole = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            token = whole["token"].to_numpy()
-            if not len(token):
+            if hot is not None:  # the rest of a token that was too frequent to hold
+                same = whole["token"] == hot
+                yield whole[same]
+                whole = whole[~same]
+            held = None
+            if not len(whole):
                 continue
+            token = whole["token"].to_numpy()
             last = int(np.searchsorted(token, token[-1], "left"))
-            yield meet(whole.iloc[:last])
+            yield whole.iloc[:last][partnered(whole.iloc[:last], near)]
             held = whole.iloc[last:]
+            if len(held) > HELD:
+                yield held
+                held, hot = None, token[-1]
         if held is not None:
-            yield meet(held)
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        token, n, at, key = (pdf[c].to_numpy() for c in ("token", "n", "at", "k1"))
-        order = np.lexsort((n, token))
-        token, n, at, key = token[order], n[order], at[order], key[order]
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        i = np.arange(len(token))
-        d = 1
-        # Rows are by token, then size: each is compared with those after it until sizes are too far apart.
-        while len(i := i[i + d < len(token)]):
-            j = i + d
-            live = (token[i] == token[j]) & (n[i] >= near * n[j] - 1e-9)
-            i, j = i[live], j[live]
-            fits = 1 + np.minimum(n[i] - at[i], n[j] - at[j]) - 1 >= least_overlap(n[i], n[j], near)
-            fits &= key[i] != key[j]
-            out_a.append(key[i[fits]])
-            out_b.append(key[j[fits]])
-            d += 1
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+            yield held[partnered(held, near)]
 
     dealt = heads.repartition("token").sortWithinPartitions("token")
-    return dealt.mapInPandas(pair, "a long, b long").distinct()
+    return dealt.mapInPandas(meet, "k1 long, n int, at int, token long, sketch int").drop("sketch").distinct()
+
+
+def parity(token: np.ndarray, start: np.ndarray, bits: int) -> np.ndarray:
+    """Sketch of each set: for each of `bits` kinds of token, whether the set has an odd number of these.
+
+    A token that two sets do not share flips one bit, so the sets differ by as many tokens as their sketches by bits.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    return np.bitwise_xor.reduceat(np.uint64(1) << (token.astype(np.uint64) >> np.uint64(20)) % np.uint64(bits), start)
+
+
+def fits(n: np.ndarray, at: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, near: float) -> np.ndarray:
+    """Whether sets i and j hold enough from this token on to overlap enough, and differ by few enough tokens."""
+    least = least_overlap(n[i], n[j], near)
+    return (np.minimum(n[i] - at[i], n[j] - at[j]) >= least) & (np.bitwise_count(sketch[i] ^ sketch[j]) <= n[i] + n[j] - 2 * least)
+
+
+def partnered(pdf: pd.DataFrame, near: float = NEAR) -> np.ndarray:
+    """Rows that another class meets at the same token. Rows that are undecided after LOOK neighbours count as met."""
+    order = np.lexsort((pdf["n"], pdf["token"]))
+    token, n, at, key, sketch = (pdf[c].to_numpy(np.int64)[order] for c in ("token", "n", "at", "k1", "sketch"))
+    sketch = sketch.astype(np.uint32)
+    met = np.zeros(len(order), bool)
+    # Rows are by token, then size: each looks at those after and before it until sizes are too far apart.
+    open_ = {1: np.arange(len(order)), -1: np.arange(len(order))}
+    for d in range(1, LOOK + 1):
+        for way in open_:
+            i = open_[way]
+            i = i[~met[i] & (i + way * d >= 0) & (i + way * d < len(order))]
+            j = i + way * d
+            live = (token[i] == token[j]) & (np.minimum(n[i], n[j]) >= near * np.maximum(n[i], n[j]) - 1e-9)
+            i, j = i[live], j[live]
+            good = fits(n, at, sketch, i, j, near) & (key[i] != key[j])
+            met[i[good]] = met[j[good]] = True
+            open_[way] = i
+    for i in open_.values():
+        met[i] = True
+    out = np.zeros(len(order), bool)
+    out[order] = met
+    return out
 
 
 def needed_filter(keys: DataFrame) -> np.ndarray:
@@ -211,13 +247,16 @@ def place(keys: np.ndarray) -> np.ndarray:
     return (mix(keys.view(np.uint64)) & np.uint64(FILTER - 1)).astype(np.int64)
 
 
-def links(found: DataFrame, near: float = NEAR) -> DataFrame:
-    """Links between classes (a1, a2, b1, b2), each once: all pairs of different token sets with Jaccard >= near.
+def links(found: DataFrame, classes: DataFrame, near: float = NEAR) -> DataFrame:
+    """For each class (k1, k2) with links: `links`, the number of different token sets with Jaccard >= near, and `other`,
+    the earliest first line of these.
 
-    A filter of fixed size keeps the tokens of most classes without candidates from being shuffled; the join decides.
+    Classes meet at a prefix token in blocks of about BLOCK; a pair counts at its rarest common token alone, and a block
+    adds up its links, so that pairs are never rows. A filter of fixed size keeps the tokens of most classes without
+    partners from being shuffled; the join decides.
     """
-    pairs = durable(candidates(found, near))
-    needed = durable(pairs.select(F.col("a").alias("need")).union(pairs.select("b")).distinct())
+    met = durable(joining(found, near))
+    needed = durable(met.select(F.col("k1").alias("need")).distinct())
     shared = found.sparkSession.sparkContext.broadcast(needed_filter(needed))
 
     def maybe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,21 +265,94 @@ def links(found: DataFrame, near: float = NEAR) -> DataFrame:
             yield pdf[(shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
 
     some = found.where("tokens is not null").select("k1", "k2", "tokens").mapInPandas(maybe, "k1 long, k2 long, tokens binary")
-    sets = durable(some.join(needed, F.col("k1") == F.col("need"), "left_semi").groupBy("k1", "k2").agg(F.any_value("tokens").alias("tokens")))
-    a, b = (sets.select(F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"), F.col("tokens").alias(f"{x}t")) for x in "ab")
-    met = pairs.join(a, F.col("a") == F.col("a1")).join(b, F.col("b") == F.col("b1"))
+    sets = some.join(needed, F.col("k1") == F.col("need"), "left_semi").groupBy("k1", "k2").agg(F.any_value("tokens").alias("tokens"))
+    firsts = classes.select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), F.col("first.id").isNotNull().cast("int").alias("known"), F.coalesce("first.id", F.lit(0)).alias("id"), F.col("first.no").alias("no"))
+    sets = durable(sets.join(firsts, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))).select(F.col("k1").alias("s1"), "k2", "tokens", "known", "id", "no"))
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for i in range(0, len(whole), 2000):
-                pdf = whole.iloc[i : i + 2000]
-                size = np.array([len(x) + len(y) for x, y in zip(pdf["at"], pdf["bt"])]) // BYTES
-                token = unpacked(b"".join(t for both in zip(pdf["at"], pdf["bt"]) for t in both))
-                code = np.sort(np.repeat(np.arange(len(pdf)), size) << 40 | token)
-                same = np.bincount(code[1:][code[1:] == code[:-1]] >> 40, minlength=len(pdf))
-                yield pdf.loc[same >= near * (size - same) - 1e-9, ["a1", "a2", "b1", "b2"]]
+    many = met.groupBy(F.col("token").alias("t")).count().where(F.col("count") > BLOCK)
+    dealt = met.join(many, F.col("token") == F.col("t"), "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") / BLOCK), F.lit(1)).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("k1"), F.col("blocks")).cast("int")).withColumn("facing", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("token", F.least("block", "facing").alias("p"), F.greatest("block", "facing").alias("q"), "block", "k1", "n", "at")
+    rows = dealt.join(sets, F.col("k1") == F.col("s1")).drop("s1")
+    rows = rows.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
 
-    return met.select("a1", "a2", "b1", "b2", "at", "bt").mapInPandas(verify, "a1 long, a2 long, b1 long, b2 long")
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            whole = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(whole):
+                continue
+            last = int(np.flatnonzero((whole[["token", "p", "q"]] != whole[["token", "p", "q"]].iloc[-1]).any(axis=1).to_numpy()).max(initial=-1)) + 1
+            if last:
+                yield counted(whole.iloc[:last], near)
+            held = whole.iloc[last:]
+        if held is not None:
+            yield counted(held, near)
+
+    parts = rows.mapInPandas(verify, "k1 long, k2 long, links long, known int, id long, no int")
+    least = parts.groupBy("k1", "k2").agg(F.sum("links").alias("links"), F.min(F.struct("known", "id", "no")).alias("least"))
+    return least.select("k1", "k2", "links", F.struct(F.when(F.col("least.known") == 1, F.col("least.id")).alias("id"), F.col("least.no").alias("no")).alias("other"))
+
+
+def gathered(token: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first `size` tokens from each `start`, one after the other."""
+    return token[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)]
+
+
+def common(token: np.ndarray, start: np.ndarray, i: np.ndarray, j: np.ndarray, of_i: np.ndarray, of_j: np.ndarray) -> np.ndarray:
+    """How many of the first of_i tokens of sets i are among the first of_j tokens of sets j."""
+    out = np.zeros(len(i), np.int64)
+    ends = np.cumsum(of_i + of_j)
+    cuts = np.searchsorted(ends, np.arange(TOKENS, int(ends[-1]) if len(ends) else 0, TOKENS))
+    for s in np.split(np.arange(len(i)), np.unique(cuts)):
+        code = np.concatenate([np.repeat(np.arange(len(s)), of[s]) << 40 | gathered(token, start[x[s]], of[s]) for x, of in ((i, of_i), (j, of_j))])
+        code.sort()
+        out[s] = np.bincount(code[1:][code[1:] == code[:-1]] >> 40, minlength=len(s))
+    return out
+
+
+def counted(pdf: pd.DataFrame, near: float = NEAR) -> pd.DataFrame:
+    """Links of the classes that meet in each (token, p, q), added up by class, and the earliest partner of each."""
+    group = (pdf[["token", "p", "q"]] != pdf[["token", "p", "q"]].shift()).any(axis=1).cumsum().to_numpy()
+    order = np.lexsort((pdf["n"], group))
+    pdf, group = pdf.iloc[order], group[order]
+    n, at, block, key = (pdf[c].to_numpy(np.int64) for c in ("n", "at", "block", "k1"))
+    inner = (pdf["p"] == pdf["q"]).to_numpy()
+    rank = np.empty(len(pdf), np.int64)
+    rank[np.lexsort((pdf["no"], pdf["id"], pdf["known"]))] = np.arange(len(pdf))
+    token, start = unpacked(b"".join(pdf["tokens"])), np.cumsum(n) - n
+    sketch = parity(token, start, 64)
+    total, best = np.zeros(len(pdf), np.int64), np.full(len(pdf), len(pdf))
+
+    def settle(i: np.ndarray, j: np.ndarray) -> None:
+        new = common(token, start, i, j, at[i], at[j]) == 0  # no rarer token in common: this is where the pair counts
+        i, j = i[new], j[new]
+        same = common(token, start, i, j, n[i], n[j])
+        linked = same >= near * (n[i] + n[j] - same) - 1e-9
+        i, j = i[linked], j[linked]
+        for x, y in ((i, j), (j, i)):
+            total[:] += np.bincount(x, minlength=len(total))
+            np.minimum.at(best, x, rank[y])
+
+    waiting, size = [], 0
+    i, d = np.arange(len(pdf)), 1
+    # Rows are by group, then size: each is compared with those after it until sizes are too far apart.
+    while len(i := i[i + d < len(pdf)]):
+        j = i + d
+        live = (group[i] == group[j]) & (n[i] >= near * n[j] - 1e-9)
+        i, j = i[live], j[live]
+        pair = fits(n, at, sketch, i, j, near) & (inner[i] | (block[i] != block[j])) & (key[i] != key[j])
+        waiting.append((i[pair], j[pair]))
+        size += int(pair.sum())
+        if size > PAIRS:
+            settle(*map(np.concatenate, zip(*waiting)))
+            waiting, size = [], 0
+        d += 1
+    if waiting:
+        settle(*map(np.concatenate, zip(*waiting)))
+    some = np.flatnonzero(total)
+    who = np.argsort(rank)[best[some]] if len(some) else some
+    return pd.DataFrame({"k1": key[some], "k2": pdf["k2"].to_numpy()[some], "links": total[some], **{c: pdf[c].to_numpy()[who] for c in ("known", "id", "no")}})
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: float = NEAR) -> DataFrame:
@@ -254,10 +366,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     table = rarity(docs, text_col)
     found = durable(lines(docs, table, id_col, text_col, near))
     classes = durable(found.where("no >= 0").groupBy("k1", "k2").agg(F.min(F.struct("id", "no")).alias("first")))
-    linked = durable(links(found, near))
-    both = linked.union(linked.select("b1", "b2", "a1", "a2"))
-    firsts = classes.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("first").alias("other"))
-    near_ = both.join(firsts, ["b1", "b2"]).groupBy(F.col("a1").alias("k1"), F.col("a2").alias("k2")).agg(F.min("other").alias("other"), F.count("*").alias("links"))
+    near_ = durable(links(found, classes, near))
     known = classes.join(near_, ["k1", "k2"], "left").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.least("first", F.coalesce("other", "first")).alias("first"), F.coalesce("links", F.lit(0)).alias("links"))
     told = found.select("id", "no", "k1", "k2").join(known, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
     late = F.struct("id", "no") > F.col("first")

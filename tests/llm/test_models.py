@@ -4,6 +4,7 @@ import random
 from collections import Counter as Tally
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lodestone.llm import langid, linededup, tokens, toxicity
@@ -179,10 +180,14 @@ def test_repeated_lines_equal_brute_force(spark, docs, empty, monkeypatch):
                 w[rng.randrange(len(w))] = rng.choice(["new", "Other", "the"])
             own.append(rng.choice([" ", "  "]).join(w))
         rows.append((i, rng.choice(["\n", "\n\n"]).join(own)))
+    base = sentences(rng, A + B, 24).split()
+    rows += [(200 + i, " ".join([*base[: i % 20], f"other{i}", *base[i % 20 + 1 :]])) for i in range(40)]  # all different, all similar
     rows += [(100, None), (101, ""), (102, " \n\t"), (103, "same line here\n" * 500)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for buckets in (1 << 20, 1 << 14):
+    for buckets, block, held in ((1 << 20, 4096, 500_000), (1 << 14, 3, 4)):
         monkeypatch.setattr(linededup, "BUCKETS", buckets)
+        monkeypatch.setattr(linededup, "BLOCK", block)
+        monkeypatch.setattr(linededup, "HELD", held)
         got = {r.id: (r.n_lines, list(r.removed), r.n_links) for r in linededup.repeated_lines(df).collect()}
         assert got == plain_lines(rows)
     assert any(v[2] for v in got.values())
@@ -191,3 +196,26 @@ def test_repeated_lines_equal_brute_force(spark, docs, empty, monkeypatch):
     assert linededup.repeated_lines(empty).count() == 0
     kept = linededup.without_repeated_lines(docs)
     assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
+def test_a_block_counts_alike_in_small_parts(monkeypatch):
+    rng = np.random.default_rng(4)
+    sets = [np.sort(rng.choice(60, n, replace=False)) for n in rng.integers(4, 40, 80)]
+    sets += [np.sort(np.concatenate([np.delete(sets[0], i % len(sets[0])), [100 + i]])) for i in range(30)]
+    rows = [(int(t), 0, 0, 0, k, k, len(s), at, b"".join(int(x).to_bytes(5, "little") for x in s), 1, k, 0) for k, s in enumerate(sets) for at, t in enumerate(s[: linededup.prefix_length(np.int64(len(s)))])]
+    pdf = pd.DataFrame(sorted(rows), columns=["token", "p", "q", "block", "k1", "k2", "n", "at", "tokens", "known", "id", "no"])
+    flat, size = np.concatenate(sets) << 20, np.array([len(s) for s in sets])
+    pdf["sketch"] = linededup.parity(flat, np.cumsum(size) - size, 32)[pdf["k1"]].astype(np.int64)
+    want = {}
+    for a, x in enumerate(sets):
+        near = [b for b, y in enumerate(sets) if a != b and len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) - 1e-9]
+        if near:
+            want[a] = (len(near), min(near))
+    for pairs, tokens_, look in ((200_000, 1_000_000, 64), (3, 5, 1)):
+        monkeypatch.setattr(linededup, "PAIRS", pairs)
+        monkeypatch.setattr(linededup, "TOKENS", tokens_)
+        monkeypatch.setattr(linededup, "LOOK", look)
+        live = pdf[linededup.partnered(pdf)]
+        got = linededup.counted(live).groupby("k1").agg({"links": "sum", "id": "min"})
+        assert {k: (r.links, r.id) for k, r in got.iterrows()} == want
+    assert not len(linededup.counted(pdf[:0]))
