@@ -23,7 +23,7 @@ LINES = 1 << 19
 #: Bits of the filter of classes whose tokens are needed.
 FILTER = 1 << 25
 #: Rows of one token that a task holds while it looks for partners, and neighbours that it looks at for each.
-HELD, LOOK = 500_000, 2000
+HELD, LOOK = 500_000, 128
 #: Classes that are compared with each other at a time, and pairs and tokens that are looked at together.
 BLOCK, PAIRS, TOKENS = 4096, 200_000, 1_000_000
 NEAR = 0.8
@@ -143,8 +143,9 @@ def unpacked(tokens: bytes) -> np.ndarray:
 
 
 def joining(found: DataFrame, near: float = NEAR) -> DataFrame:
-    """Prefix tokens (token, k1, n, at) of classes that meet another class there which the filters on length, position
-    and parity let through: one row a class and token, however many classes meet."""
+    """Prefix tokens (token, k1, n, at) of classes that meet another class there which the filters on length and position
+    let through: one row a class and token, however many classes meet. Two that share the token before this one too have
+    met there already."""
 
     def head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -152,10 +153,10 @@ def joining(found: DataFrame, near: float = NEAR) -> DataFrame:
             token, size = unpacked(b"".join(pdf["tokens"])), prefix_length(n, near)
             at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             start = np.cumsum(n) - n
-            sketch = parity(token, start, 32).astype(np.uint32).view(np.int32)
-            yield pd.DataFrame({"k1": np.repeat(pdf["k1"].to_numpy(), size), "n": np.repeat(n, size), "at": at, "token": token[at + np.repeat(start, size)], "sketch": np.repeat(sketch, size)})
+            place = at + np.repeat(start, size)
+            yield pd.DataFrame({"k1": np.repeat(pdf["k1"].to_numpy(), size), "n": np.repeat(n, size), "at": at, "token": token[place], "prior": np.where(at > 0, token[place - 1], -1)})
 
-    heads = found.where("tokens is not null").select("k1", "n", "tokens").mapInPandas(head, "k1 long, n int, at int, token long, sketch int")
+    heads = found.where("tokens is not null").select("k1", "n", "tokens").mapInPandas(head, "k1 long, n int, at int, token long, prior long")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, hot = None, None
@@ -179,7 +180,7 @@ def joining(found: DataFrame, near: float = NEAR) -> DataFrame:
             yield held[partnered(held, near)]
 
     dealt = heads.repartition("token").sortWithinPartitions("token")
-    return dealt.mapInPandas(meet, "k1 long, n int, at int, token long, sketch int").drop("sketch").distinct()
+    return dealt.mapInPandas(meet, "k1 long, n int, at int, token long, prior long").drop("prior").distinct()
 
 
 def parity(token: np.ndarray, start: np.ndarray, bits: int) -> np.ndarray:
@@ -192,17 +193,15 @@ def parity(token: np.ndarray, start: np.ndarray, bits: int) -> np.ndarray:
     return np.bitwise_xor.reduceat(np.uint64(1) << (token.astype(np.uint64) >> np.uint64(20)) % np.uint64(bits), start)
 
 
-def fits(n: np.ndarray, at: np.ndarray, sketch: np.ndarray, i: np.ndarray, j: np.ndarray, near: float) -> np.ndarray:
-    """Whether sets i and j hold enough from this token on to overlap enough, and differ by few enough tokens."""
-    least = least_overlap(n[i], n[j], near)
-    return (np.minimum(n[i] - at[i], n[j] - at[j]) >= least) & (np.bitwise_count(sketch[i] ^ sketch[j]) <= n[i] + n[j] - 2 * least)
+def fits(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, near: float) -> np.ndarray:
+    """Whether what sets i and j hold from this token on can be overlap enough."""
+    return np.minimum(n[i] - at[i], n[j] - at[j]) >= least_overlap(n[i], n[j], near)
 
 
 def partnered(pdf: pd.DataFrame, near: float = NEAR) -> np.ndarray:
     """Rows that another class meets at the same token. Rows that are undecided after LOOK neighbours count as met."""
     order = np.lexsort((pdf["n"], pdf["token"]))
-    token, n, at, key, sketch = (pdf[c].to_numpy(np.int64)[order] for c in ("token", "n", "at", "k1", "sketch"))
-    sketch = sketch.astype(np.uint32)
+    token, n, at, key, prior = (pdf[c].to_numpy(np.int64)[order] for c in ("token", "n", "at", "k1", "prior"))
     met = np.zeros(len(order), bool)
     # Rows are by token, then size: each looks at those after and before it until sizes are too far apart.
     open_ = {1: np.arange(len(order)), -1: np.arange(len(order))}
@@ -213,7 +212,7 @@ def partnered(pdf: pd.DataFrame, near: float = NEAR) -> np.ndarray:
             j = i + way * d
             live = (token[i] == token[j]) & (np.minimum(n[i], n[j]) >= near * np.maximum(n[i], n[j]) - 1e-9)
             i, j = i[live], j[live]
-            good = fits(n, at, sketch, i, j, near) & (key[i] != key[j])
+            good = fits(n, at, i, j, near) & (key[i] != key[j]) & ((prior[i] != prior[j]) | (prior[i] < 0))
             met[i[good]] = met[j[good]] = True
             open_[way] = i
     for i in open_.values():
@@ -341,7 +340,7 @@ def counted(pdf: pd.DataFrame, near: float = NEAR) -> pd.DataFrame:
         j = i + d
         live = (group[i] == group[j]) & (n[i] >= near * n[j] - 1e-9)
         i, j = i[live], j[live]
-        pair = fits(n, at, sketch, i, j, near) & (inner[i] | (block[i] != block[j])) & (key[i] != key[j])
+        pair = fits(n, at, i, j, near) & (np.bitwise_count(sketch[i] ^ sketch[j]) <= n[i] + n[j] - 2 * least_overlap(n[i], n[j], near)) & (inner[i] | (block[i] != block[j])) & (key[i] != key[j])
         waiting.append((i[pair], j[pair]))
         size += int(pair.sum())
         if size > PAIRS:

@@ -204,8 +204,7 @@ def test_a_block_counts_alike_in_small_parts(monkeypatch):
     sets += [np.sort(np.concatenate([np.delete(sets[0], i % len(sets[0])), [100 + i]])) for i in range(30)]
     rows = [(int(t), 0, 0, 0, k, k, len(s), at, b"".join(int(x).to_bytes(5, "little") for x in s), 1, k, 0) for k, s in enumerate(sets) for at, t in enumerate(s[: linededup.prefix_length(np.int64(len(s)))])]
     pdf = pd.DataFrame(sorted(rows), columns=["token", "p", "q", "block", "k1", "k2", "n", "at", "tokens", "known", "id", "no"])
-    flat, size = np.concatenate(sets) << 20, np.array([len(s) for s in sets])
-    pdf["sketch"] = linededup.parity(flat, np.cumsum(size) - size, 32)[pdf["k1"]].astype(np.int64)
+    pdf["prior"] = [sets[k][at - 1] if at else -1 for k, at in zip(pdf["k1"], pdf["at"])]
     want = {}
     for a, x in enumerate(sets):
         near = [b for b, y in enumerate(sets) if a != b and len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) - 1e-9]
