@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, running_total
 
 CELLS = 256
+#: Groups above this fraction of a shard's room are placed one by one: fewer than LARGE for each shard, about.
+LARGE = 64
 
 
 def capacities(n: int, shards: int) -> list[int]:
@@ -15,62 +19,156 @@ def capacities(n: int, shards: int) -> list[int]:
     return [n // shards + (s < n % shards) for s in range(shards)]
 
 
+def ends(sizes: list[int]) -> list[int]:
+    return [sum(sizes[: s + 1]) for s in range(len(sizes))]
+
+
+def within(at, bounds: list[int]):
+    """Number of the range, of those that end before each of bounds, that holds at; the last one holds all further."""
+    into = F.lit(len(bounds) - 1)
+    for s in range(len(bounds) - 2, -1, -1):
+        into = F.when(at < bounds[s], F.lit(s)).otherwise(into)
+    return into
+
+
+def pack(groups: list[tuple[str, int]], free: list[int]) -> list[tuple[str, int, int, int]]:
+    """Pieces (group, first row, row after the last, shard) that hold all groups; `free` is lowered by them.
+
+    The largest group comes first, each whole in the shard it fills best. Groups that fit nowhere are then split over
+    the shards with the most room.
+    """
+    pieces, rest = [], []
+    for group, n in sorted(groups, key=lambda x: (-x[1], x[0])):
+        fitting = [s for s in range(len(free)) if free[s] >= n]
+        if not fitting:
+            rest.append((group, n))
+            continue
+        s = min(fitting, key=lambda s: free[s])
+        free[s] -= n
+        pieces.append((group, 0, n, s))
+    for group, n in rest:
+        at = 0
+        while at < n:
+            s = max(range(len(free)), key=lambda s: free[s])
+            take = min(free[s], n - at)
+            pieces.append((group, at, at + take, s))
+            free[s] -= take
+            at += take
+    return pieces
+
+
+def in_pieces(rows: DataFrame, pieces: list[tuple[str, int, int, int]]) -> DataFrame:
+    """The rows of the groups that pieces name, with their shard."""
+    spark = rows.sparkSession
+    parts = Counter(g for g, _, _, _ in pieces)
+    whole = spark.createDataFrame([(g, s) for g, _, _, s in pieces if parts[g] == 1], "_g string, shard int")
+    out = rows.join(F.broadcast(whole), F.col("group") == F.col("_g")).drop("_g")
+    cut = [p for p in pieces if parts[p[0]] > 1]
+    if cut:
+        names = spark.createDataFrame([(g,) for g in {p[0] for p in cut}], "_g string")
+        some = durable(rows.join(F.broadcast(names), F.col("group") == F.col("_g"), "left_semi"))
+        ranges = spark.createDataFrame(cut, "_g string, _from long, _to long, shard int")
+        on = (F.col("group") == F.col("_g")) & (F.col("at") >= F.col("_from")) & (F.col("at") < F.col("_to"))
+        out = out.unionByName(running_total(some, ["group"], ["id"], F.lit(1), "at").join(F.broadcast(ranges), on).drop("_g", "_from", "_to", "at"))
+    return out
+
+
 def propagate(state: DataFrame, room: list[int], rounds: int = 6) -> DataFrame:
     """Labels after propagation. state: group, shard, n rows of the group in the shard; room: rows a shard may hold.
 
     In each round a group's rows elsewhere would go to the shard that holds most of the group (of equal ones, a fixed
     choice by group). A shard accepts moves while its quota lasts, those of the largest gain first: moves are summed by
-    target, gain and a hash cell, and all cells up to the quota are accepted. It ends when no move is accepted.
+    target, gain and a hash cell, and all cells up to the quota are accepted. Groups and cells that alone pass the
+    quota are left out of the sums. It ends when no move is accepted.
     """
     spark = state.sparkSession
     shards = len(room)
     for _ in range(rounds):
         load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
-        free = spark.createDataFrame([(s, max(0, room[s] - load.get(s, 0))) for s in range(shards)], "to int, free long")
-        best = state.groupBy(F.col("group").alias("_g")).agg(F.max(F.struct(F.col("n").alias("most"), F.pmod(F.xxhash64("group", "shard"), F.lit(1 << 20)).alias("_tie"), F.col("shard").alias("to"))).alias("b")).select("_g", F.col("b.most").alias("most"), F.col("b.to").alias("to"))
-        moves = state.join(best, F.col("group") == F.col("_g")).drop("_g").withColumn("gain", F.least(F.floor(F.log2(F.col("most").cast("double"))), F.lit(40)).cast("int")).withColumn("cell", F.pmod(F.xxhash64("group"), F.lit(CELLS)).cast("int"))
-        sums = moves.where("shard != to").groupBy("to", "gain", "cell").agg(F.sum("n").alias("asked"))
+        free = F.broadcast(spark.createDataFrame([(s, max(0, room[s] - load.get(s, 0))) for s in range(shards)], "_s int, free long"))
+        best = state.groupBy(F.col("group").alias("_g")).agg(F.max(F.struct(F.col("n").alias("most"), F.pmod(F.xxhash64("group", "shard"), F.lit(1 << 20)).alias("_tie"), F.col("shard").alias("to"))).alias("b"), F.sum("n").alias("all"))
+        best = best.select("_g", F.col("b.most").alias("most"), F.col("b.to").alias("to"), (F.col("all") - F.col("b.most")).alias("ask"))
+        best = best.join(free, F.col("to") == F.col("_s")).where("ask > 0 and ask <= free").drop("_s")
+        best = best.withColumn("gain", F.least(F.floor(F.log2(F.col("most").cast("double"))), F.lit(40)).cast("int")).withColumn("cell", F.pmod(F.xxhash64("_g"), F.lit(CELLS)).cast("int"))
+        best = durable(best)
+        sums = best.groupBy("to", "gain", "cell").agg(F.sum("ask").alias("asked"), F.any_value("free").alias("free")).where("asked <= free")
         up_to = Window.partitionBy("to").orderBy(F.col("gain").desc(), "cell")
-        granted = sums.withColumn("upto", F.sum("asked").over(up_to)).join(F.broadcast(free), "to").where("upto <= free").select(F.col("to").alias("_to"), F.col("gain").alias("_gain"), F.col("cell").alias("_cell"))
-        on = (F.col("to") == F.col("_to")) & (F.col("gain") == F.col("_gain")) & (F.col("cell") == F.col("_cell"))
-        after = moves.join(granted, on, "left").withColumn("goes", F.col("_to").isNotNull() & (F.col("shard") != F.col("to")))
-        after = durable(after.select("group", "start", F.col("shard"), F.when(F.col("goes"), F.col("to")).otherwise(F.col("shard")).alias("next"), "n", "goes"))
-        if after.where("goes").isEmpty():
+        granted = sums.withColumn("upto", F.sum("asked").over(up_to)).where("upto <= free").select("to", "gain", "cell")
+        goes = durable(best.join(F.broadcast(granted), ["to", "gain", "cell"]).select("_g", "to"))
+        if goes.isEmpty():
             break
-        state = durable(after.groupBy("group", F.col("next").alias("shard")).agg(F.sum("n").alias("n"), F.flatten(F.collect_list("start")).alias("start")))
+        after = state.join(goes, F.col("group") == F.col("_g"), "left")
+        state = durable(after.groupBy("group", F.coalesce("to", "shard").alias("shard")).agg(F.sum("n").alias("n")))
     return state
 
 
+def settled(state: DataFrame, room: list[int]) -> tuple[DataFrame, list[tuple[str, int, int, int]]]:
+    """Columns group, shard for the groups that end whole, and the pieces of the few others.
+
+    Groups that propagation left split leave their shards, which makes room, and are laid end to end over the free
+    rows of all shards, the largest first. Those across the border of two shards (fewer than there are shards) are packed
+    into what is left.
+    """
+    shards = len(room)
+    groups = durable(state.groupBy("group").agg(F.count("*").alias("parts"), F.min("shard").alias("shard"), F.sum("n").alias("n")))
+    whole = groups.where("parts = 1")
+    load = {r["shard"]: r["n"] for r in whole.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
+    free = [room[s] - load.get(s, 0) for s in range(shards)]
+    split = groups.where("parts > 1").select("group", "n", F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("power"))
+    sizes = sorted(((r["power"], r["n"]) for r in split.groupBy("power").agg(F.sum("n").alias("n")).collect()), reverse=True)  # one row a power of two
+    if not sizes:
+        return whole.select("group", "shard"), []
+    base = F.lit(0)
+    for i, (power, _) in enumerate(sizes):
+        base = F.when(F.col("power") == power, F.lit(sum(n for _, n in sizes[:i]))).otherwise(base)
+    bounds = ends(free)
+    laid = running_total(split, ["power"], ["group"], F.col("n"), "at").withColumn("at", F.col("at") + base)
+    laid = durable(laid.select("group", "n", within(F.col("at"), bounds).alias("shard"), within(F.col("at") + F.col("n") - 1, bounds).alias("last")))
+    fit = laid.where("shard = last")
+    for r in fit.groupBy("shard").agg(F.sum("n").alias("n")).collect():  # one row a shard
+        free[r["shard"]] -= r["n"]
+    across = [(r["group"], r["n"]) for r in laid.where("shard != last").collect()]  # fewer rows than shards
+    return whole.select("group", "shard").unionByName(fit.select("group", "shard")), pack(across, free)
+
+
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, rounds: int = 6) -> DataFrame:
     """Columns id, size, text_crc32, law, shard, slot for every row of docs.
 
-    Documents of equal text are linked. Law `rows`: the shards' row counts are at most one apart. Linked rows are first
-    dealt evenly, then move by label propagation under each shard's capacity; rows without links fill what is left.
-    A group that is too large for one shard stays split. slot numbers a shard's rows from 0 without gaps. A null text
-    equals other null texts, has no bytes (size 1) and the CRC of nothing, 0. Repeated rows are rows of their own.
+    Documents of equal text are linked. Law `rows`: the shards' row counts are at most one apart. Groups of more than
+    1/LARGE of a shard are packed first, the largest first; one that fits in no shard is split over as few as have room.
+    The rows of the other groups are dealt over the room that is left, then move by label propagation under each
+    shard's capacity; groups still split are laid whole over the room that they and the rows without links leave, so
+    that fewer of them than there are shards end split. Rows without links fill the rest. slot numbers a shard's rows
+    from 0 without gaps. A null text equals other null texts, has no bytes (size 1) and the CRC of nothing, 0. Repeated
+    rows are rows of their own.
     """
     text = F.col(text_col).cast("string")
     own = docs.select(F.col(id_col).alias("id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"), F.coalesce(F.md5(text), F.lit("")).alias("group"))
     own = durable(own)
-    counts = own.groupBy(F.col("group").alias("_g")).agg(F.count("*").alias("n")).where("n > 1")
-    linked = durable(own.join(counts, F.col("group") == F.col("_g")).drop("_g"))
-    total, tied = own.count(), linked.count()
+    counts = durable(own.groupBy(F.col("group").alias("_g")).agg(F.count("*").alias("n")).where("n > 1"))
+    total = own.count()
     room = capacities(total, shards)
-    begun = durable(running_total(linked, [], ["group", "id"], F.lit(1), "at").withColumn("shard", F.pmod("at", F.lit(shards)).cast("int")))
-    state = begun.groupBy("group", "shard").agg(F.count("*").alias("n")).withColumn("start", F.array("shard"))
-    ended = propagate(durable(state), room, rounds)
-    moved = ended.select(F.col("group").alias("_g"), F.col("shard").alias("_to"), F.explode("start").alias("_from"))
-    settled = begun.join(moved, (F.col("group") == F.col("_g")) & (F.col("shard") == F.col("_from"))).select("id", "size", "text_crc32", "group", F.col("_to").alias("shard"))
-    load = {r["shard"]: r["n"] for r in ended.groupBy("shard").agg(F.sum("n").alias("n")).collect()} if tied else {}
-    ends, sum_ = [], 0
-    for s in range(shards):
-        sum_ += room[s] - load.get(s, 0)
-        ends.append(sum_)
+    limit = max(1, total // shards // LARGE)
+    pieces = pack([(r["_g"], r["n"]) for r in counts.where(F.col("n") > limit).collect()], room)  # about LARGE rows a shard
+    small = counts.where(F.col("n") <= limit)
+    linked = durable(own.join(small, F.col("group") == F.col("_g"), "left_semi"))
+    tied = linked.count()
+    placed = in_pieces(own, pieces)
+    if tied:
+        share = [r * tied // sum(room) for r in room]
+        for s in sorted(range(shards), key=lambda s: share[s] - room[s])[: tied - sum(share)]:
+            share[s] += 1
+        begun = running_total(linked, [], ["group", "id"], F.lit(1), "at").select("group", within(F.col("at"), ends(share)).alias("shard"))
+        whole, across = settled(propagate(durable(begun.groupBy("group", "shard").agg(F.count("*").alias("n"))), room, rounds), room)
+        kept = linked.join(whole.withColumnRenamed("group", "_g"), F.col("group") == F.col("_g")).drop("_g")
+        placed = placed.unionByName(kept)
+        if across:
+            placed = placed.unionByName(in_pieces(linked, across))
+    placed = durable(placed)
+    load = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row a shard
     alone = own.join(counts, F.col("group") == F.col("_g"), "left_anti")
     filler = running_total(alone, [], ["id", "group"], F.lit(1), "at")
-    into = F.lit(shards - 1)
-    for s in range(shards - 2, -1, -1):
-        into = F.when(F.col("at") < ends[s], F.lit(s)).otherwise(into)
-    placed = durable(settled.unionByName(filler.withColumn("shard", into).select("id", "size", "text_crc32", "group", "shard")))
+    bounds = ends([r - load.get(s, 0) for s, r in enumerate(capacities(total, shards))])
+    placed = durable(placed.unionByName(filler.withColumn("shard", within(F.col("at"), bounds)).drop("at")))
     numbered = running_total(placed, ["shard"], ["id", "group"], F.lit(1), "slot")
     return numbered.select("id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("int").alias("slot"))

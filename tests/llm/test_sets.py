@@ -147,6 +147,24 @@ def test_shards_are_even_gapless_and_keep_groups(docs, rows, empty, spark):
     assert sorted(counts.values()) == [50] * 5 + [51] * 3
 
 
+def test_groups_end_whole_beside_one_too_large_for_a_shard(spark):
+    texts = ["same"] * 1200 + [f"t{i // 2}" for i in range(2400)]
+    got = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(Counter(r.shard for r in got).values()) == [450] * 8
+    groups = defaultdict(set)
+    for r in got:
+        groups[texts[r.id]].add(r.shard)
+    assert len(groups.pop("same")) <= 4 and sum(len(g) > 1 for g in groups.values()) < 8
+    # All rows are linked, and one group takes most of a shard.
+    texts = ["most"] * 400 + [f"t{i // 2}" for i in range(3200)]
+    got = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(Counter(r.shard for r in got).values()) == [450] * 8
+    groups = defaultdict(set)
+    for r in got:
+        groups[texts[r.id]].add(r.shard)
+    assert all(len(g) == 1 for g in groups.values())
+
+
 def plain_sketch(hash_of, text, scale=8):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
     keys = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
