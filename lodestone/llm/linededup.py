@@ -36,28 +36,32 @@ def spaces() -> np.ndarray:
     return table
 
 
-def line_tokens(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def line_tokens(texts: Sequence[str | None], words: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of the lines of texts: hash of 8 * BYTES bits, and line of each; row and number in its row of each line.
 
-    A line's tokens are its adjacent pairs of lower-case words, or its word if it has one. Lines end at line feeds.
+    A line's tokens are its lower-case words if `words`, else the adjacent pairs of these, or its word if it has one.
+    Lines end at line feeds.
     """
     points, begin = code_points([(t or "").lower() for t in texts])
     ends = np.flatnonzero((points == 10) | (points == 0))
     start, end = runs(~spaces()[points])
     of = np.searchsorted(ends, start)
     h = span_hashes(points, start, end)
-    pair = of[1:] == of[:-1]
-    alone = np.ones(len(h), bool)
-    alone[1:] &= ~pair
-    alone[:-1] &= ~pair
-    token = np.concatenate([mix(h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:])[pair], h[alone]]) >> np.uint64(64 - 8 * BYTES)
-    line = np.concatenate([of[:-1][pair], of[alone]])
+    if words:
+        token, line = h >> np.uint64(64 - 8 * BYTES), of
+    else:
+        pair = of[1:] == of[:-1]
+        alone = np.ones(len(h), bool)
+        alone[1:] &= ~pair
+        alone[:-1] &= ~pair
+        token = np.concatenate([mix(h[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[1:])[pair], h[alone]]) >> np.uint64(64 - 8 * BYTES)
+        line = np.concatenate([of[:-1][pair], of[alone]])
     row = np.searchsorted(begin, ends, "right") - 1
     first = np.searchsorted(row, np.arange(len(texts)))
     return token, line, row, np.arange(len(ends)) - first[row]
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+def rarity(docs: DataFrame, text_col: str = "text", words: bool = False) -> np.ndarray:
     """How often the tokens of each bucket occur in all lines: a table of fixed size, added up slab by slab."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,7 +69,7 @@ def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         for pdf in batches:
             texts = [t if isinstance(t, str) else None for t in pdf["text"]]
             for part in slices(texts):
-                token, _, _, _ = line_tokens(texts[part])
+                token, _, _, _ = line_tokens(texts[part], words)
                 sums += np.bincount((token & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         yield pd.DataFrame({"slab": np.arange(BUCKETS // SLAB), "n": [s.astype("<u4").tobytes() for s in np.minimum(sums, 2**32 - 1).reshape(-1, SLAB)]})
 
@@ -90,7 +94,7 @@ def prefix_length(n, near: float = NEAR):
     return n - np.ceil(near * n - 1e-9).astype(np.int64) + 1
 
 
-def lines(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col: str = "text", near: float = NEAR) -> DataFrame:
+def lines(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col: str = "text", near: float = NEAR, words: bool = False) -> DataFrame:
     """A row for each line that has tokens, and one (no = -1) for each row of docs.
 
     k1, k2: hashes of the token set, its class. n: tokens of the set. tokens: the set, rarest first, for the first line of
@@ -104,7 +108,7 @@ def lines(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col:
             texts = [t if isinstance(t, str) else None for t in pdf["text"]]
             for part in slices(texts):
                 ids = pdf["id"].iloc[part]
-                token, line, row, no = line_tokens(texts[part])
+                token, line, row, no = line_tokens(texts[part], words)
                 # Rarest first: by the power of two of the count, then by hash; a fixed order for all lines.
                 rare = np.log2(1 + shared.value[(token & np.uint64(BUCKETS - 1)).astype(np.int64)]).astype(np.uint64)
                 made = []
@@ -354,16 +358,16 @@ def counted(pdf: pd.DataFrame, near: float = NEAR) -> pd.DataFrame:
     return pd.DataFrame({"k1": key[some], "k2": pdf["k2"].to_numpy()[some], "links": total[some], **{c: pdf[c].to_numpy()[who] for c in ("known", "id", "no")}})
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: float = NEAR) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: float = NEAR, words: bool = False) -> DataFrame:
     """Columns id, n_lines (with a word), removed (numbers of lines, from 0), n_links, one row for each id.
 
     A line is removed if an earlier one (by id, then number) has the same token set or one of Jaccard similarity
-    `near` or more. n_links adds up, over the document's lines, the different token sets linked to each. Null texts and
+    `near` or more. A line's tokens are its words if `words`, else its adjacent word pairs. n_links adds up, over the document's lines, the different token sets linked to each. Null texts and
     texts without words have no lines. Rows of one id are taken together; lines of the same id and number are equally
     early. A null id comes first.
     """
-    table = rarity(docs, text_col)
-    found = durable(lines(docs, table, id_col, text_col, near))
+    table = rarity(docs, text_col, words)
+    found = durable(lines(docs, table, id_col, text_col, near, words))
     classes = durable(found.where("no >= 0").groupBy("k1", "k2").agg(F.min(F.struct("id", "no")).alias("first")))
     near_ = durable(links(found, classes, near))
     known = classes.join(near_, ["k1", "k2"], "left").select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.least("first", F.coalesce("other", "first")).alias("first"), F.coalesce("links", F.lit(0)).alias("links"))
@@ -372,9 +376,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return told.groupBy("id").agg(F.count_if(F.col("no") >= 0).alias("n_lines"), F.array_sort(F.collect_list(F.when(late, F.col("no")))).alias("removed"), F.coalesce(F.sum("links"), F.lit(0)).alias("n_links"))
 
 
-def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: float = NEAR) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: float = NEAR, words: bool = False) -> DataFrame:
     """docs with the repeated lines cut out of their texts; all columns and rows stay."""
-    found = repeated_lines(docs, id_col, text_col, near).select(F.col("id").alias("_id"), F.col("removed").alias("_removed"))
+    found = repeated_lines(docs, id_col, text_col, near, words).select(F.col("id").alias("_id"), F.col("removed").alias("_removed"))
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_removed", i)), "\n")
     met = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
     return met.withColumn(text_col, F.when(F.size("_removed") > 0, kept).otherwise(F.col(text_col))).drop("_id", "_removed")

@@ -50,7 +50,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import repeated_lines
 
-    found = repeated_lines(table(spark, sf_dir, "documents"))
+    found = repeated_lines(table(spark, sf_dir, "documents"), words=True)
     return found.select(F.col("id").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "n_links")
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lodestone.llm import langid, linededup, tokens, toxicity
+from lodestone.llm import langid, linededup, queries, tokens, toxicity
 
 
 def sentences(rng, syllables, n):
@@ -198,6 +198,40 @@ def test_repeated_lines_equal_brute_force(spark, docs, empty, monkeypatch):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def plain_word_lines(rows, near=0.8):
+    sets, out = {}, {}
+    for i, t in rows:
+        for no, line in enumerate((t or "").split("\n")):
+            if line.split():
+                sets.setdefault(frozenset(line.lower().split()), []).append((i, no))
+    for i, _ in rows:
+        out[i] = [0, [], 0]
+    for s, places in sets.items():
+        linked = [t for t in sets if t != s and len(s & t) >= near * len(s | t) - 1e-9]
+        first = min(min(sets[t]) for t in [s, *linked])
+        for i, no in places:
+            out[i][0] += 1
+            out[i][1] += [no] * ((i, no) > first)
+            out[i][2] += len(linked)
+    return {i: (n, sorted(r), k) for i, (n, r, k) in out.items()}
+
+
+def test_lines_are_compared_by_words_in_the_query(spark, tmp_path):
+    rng = random.Random(8)
+    rows = []
+    for n in range(4, 19):
+        w = [f"w{n}x{i}" for i in range(n)]
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join([*w[: n // 2], "other", *w[n // 2 + 1 :]]))]
+    w = [f"long{i}" for i in range(50)]
+    rows += [(100, " ".join(w)), (101, " ".join("other" if i in (10, 25, 40) else x for i, x in enumerate(w)))]
+    pool = [f"v{i}" for i in range(14)]
+    rows += [(200 + i, "\n".join(" ".join(rng.choices(pool, k=rng.randint(1, 12))) for _ in range(rng.randint(0, 4)))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, list(r.removed), r.n_links) for r in queries.op4_lines(spark, str(tmp_path)).collect()}
+    assert got == plain_word_lines(rows)
+    assert all(got[2 * (n - 4) + 1][1] == [0] for n in range(9, 19)) and got[101][1] == [0]
+
+
 def test_a_block_counts_alike_in_small_parts(monkeypatch):
     rng = np.random.default_rng(4)
     sets = [np.sort(rng.choice(60, n, replace=False)) for n in rng.integers(4, 40, 80)]
