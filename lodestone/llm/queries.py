@@ -92,9 +92,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sketch import edited_fingerprints
+    from .sketch import SCALE, edited_fingerprints
 
-    found = edited_fingerprints(table(spark, sf_dir, "documents"))
+    found = edited_fingerprints(table(spark, sf_dir, "documents"), scale=SCALE)
     return found.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 

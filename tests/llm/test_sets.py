@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import xxhash
 
-from lodestone.llm import mixing, sharding, simhash, sketch
+from lodestone.llm import mixing, queries, sharding, simhash, sketch
 
 ASCII_SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -205,3 +205,28 @@ def test_sketches_merge_and_estimate_containment(spark):
     s = df.select(*[sketch.sketch(F.col(x)).alias(x) for x in "abc"], sketch.sketch(F.col("b")).alias("all"))
     r = s.select(sketch.containment(F.col("a"), F.col("b")).alias("in"), sketch.likeness(F.col("a"), F.col("b")).alias("like"), (sketch.merge(F.col("a"), F.col("b")) == F.col("all")).alias("same")).first()
     assert r["in"] == 1.0 and abs(r["like"] - 0.03) < 0.01 and r["same"]
+
+
+def true_shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_short_texts_are_compared_by_their_true_shingles(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    texts = [" ".join(f"{'abcdefg'[(i * k) % 7]}{i}" for i in range(n)) for n in range(6, 31) for k in (1, 2)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.near_edited, r.near_next) for r in queries.op10_sketch(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        follow, k = texts[i - 1], len(t) // 3
+        own = true_shingles(t)
+        for value, other in zip(got[i], (t[: len(t) - k] + follow[:k], follow)):
+            assert abs(value - len(own & true_shingles(other)) / len(own | true_shingles(other))) < 1e-9
+    long = " ".join(f"x{i}" for i in range(400))
+    rows = [(t, s) for t in texts for s in (f"{long} {t} {long}", f"{long} {t[: len(t) // 2]}")]
+    for scale in (1, 8):
+        a, b = (sketch.sketch(F.col(c), scale) for c in "ab")
+        for r in spark.createDataFrame(rows, "a string, b string").select("a", "b", sketch.containment(a, b, scale).alias("in")).collect():
+            want = len(true_shingles(r.a) & true_shingles(r.b)) / len(true_shingles(r.a))
+            assert abs(r["in"] - want) < 1e-9 if scale == 1 else want < 1 or r["in"] in (None, 1.0)
