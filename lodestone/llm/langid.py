@@ -7,15 +7,17 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import code_points, mix, slices
+from .common import code_points, durable, mix, slices
 
 #: Buckets of letter sequences; the model is this many rows of one number a language.
 BUCKETS = 1 << 17
-#: Labelled documents that a model is fitted on at most, and characters of a batch.
+#: Labelled documents of each language that a model is fitted on at most.
 FIT_ROWS = 4000
+#: Of its own letters, what a language has more of in each script that it may be used in.
+SCRIPT_SHARE = 0.001
 #: Unicode ranges of scripts.
 SCRIPTS = {
     "latin": [(0x41, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF)],
@@ -127,15 +129,22 @@ SIZES = (1, 2, 3, 4)
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, switch: float = 12.0) -> Model:
-    """A model from at most `rows` different labelled texts, those of the least hash, each taken whole.
+    """A model from at most `rows` different labelled texts of each language, those of the least hash, each taken whole.
 
-    Copies count once, so that no group of them fills the sample. The tasks count letter sequences; what reaches the
-    driver is one number for each bucket and language.
+    Copies count once, so that no group of them fills the sample; a language is never short of texts because others have
+    more. A language may be used in a script that holds over SCRIPT_SHARE of its own sampled letters, whatever other
+    languages have there. The tasks count letter sequences; what reaches the driver is one number for each bucket and
+    language.
     """
     own = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     own = own.withColumn("hash", F.xxhash64("text"))
-    least = own.select(F.col("hash").alias("_hash"), F.col("lang").alias("_lang")).distinct().orderBy("_hash", "_lang").limit(rows)
-    met = own.join(F.broadcast(least), (F.col("hash") == F.col("_hash")) & (F.col("lang") == F.col("_lang")))  # `rows` rows
+    # Only the lowest ranges of hashes that reach `rows` texts are ordered, so that a frequent language is no large task.
+    names = durable(own.select(F.col("hash").alias("_hash"), F.col("lang").alias("_lang"), F.shiftright("hash", 54).cast("int").alias("_range")).distinct())
+    below = F.sum("count").over(Window.partitionBy("_lang").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    low = names.groupBy("_lang", "_range").count().withColumn("_below", F.coalesce(below, F.lit(0))).where(F.col("_below") < rows).select("_lang", "_range")
+    order = Window.partitionBy("_lang").orderBy("_hash")
+    least = names.join(F.broadcast(low), ["_lang", "_range"]).withColumn("_no", F.row_number().over(order)).where(F.col("_no") <= rows).select("_hash", "_lang")
+    met = own.join(F.broadcast(least), (F.col("hash") == F.col("_hash")) & (F.col("lang") == F.col("_lang")))  # `rows` rows a language
     chosen = met.groupBy("hash", "lang").agg(F.min("text").alias("text")).select("text", "lang")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,8 +170,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
         letters[-1 - b[b < 0], i] = n[b < 0]
     weights = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * BUCKETS)) if langs else table
     weights = (weights - weights.mean(axis=1, keepdims=True)) / 2 if langs else weights
-    share = letters / np.maximum(letters.sum(axis=1, keepdims=True), 1)
-    return Model(langs, weights.astype(np.float32), share > 0.001, switch)
+    share = letters / np.maximum(letters.sum(axis=0, keepdims=True), 1)
+    return Model(langs, weights.astype(np.float32), share > SCRIPT_SHARE, switch)
 
 
 def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:

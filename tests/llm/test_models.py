@@ -41,6 +41,18 @@ def test_language_spans_of_mixed_texts(spark, model):
     assert len(one.spans) == 1 and one.lang == "en"
 
 
+def test_a_small_language_beside_a_large_one_is_predicted(spark):
+    rng = random.Random(9)
+    few = [(sentences(rng, B, 60), "de") for _ in range(8)]
+    much = [(sentences(rng, A, 100_000), "en") for _ in range(10)] + [(sentences(rng, A, 3), "en") for _ in range(150)]
+    model = langid.fit(spark.createDataFrame(few + much, "text string, lang string"), rows=20)
+    docs = spark.createDataFrame([(i, sentences(rng, s, 20)) for i, s in enumerate((A, B) * 5)], "doc_id long, text string")
+    assert [r.lang for r in langid.spans(docs, model).orderBy("id").collect()] == ["en", "de"] * 5
+    # Of each language as many texts as there are, up to the bound.
+    sampled = langid.fit(spark.createDataFrame([(sentences(rng, A, 3), "en") for _ in range(400)] + few[:1], "text string, lang string"), rows=5)
+    assert sampled.langs == ["de", "en"]
+
+
 def test_viterbi_equals_brute_force(model):
     rng = random.Random(3)
     texts = [" ".join(rng.choice([*A, *B, "theung", "eier", "ст"]) for _ in range(rng.randint(0, 12))) for _ in range(40)]
