@@ -134,6 +134,12 @@ def test_lineage_ends_on_cycles(spark):
     assert lineage.closure(edges.limit(0)).count() == 0
 
 
+def test_closure_has_no_limit_but_a_given_one(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(53)], "parent long, child long").coalesce(1)
+    assert lineage.closure(chain).where("ancestor = 0 and descendant = 53").count() == 1
+    assert lineage.closure(chain, most=3).agg({"depth": "max"}).first()[0] == 3
+
+
 def test_generic_tests(spark):
     df = spark.createDataFrame([(1, "x"), (1, "y"), (2, None), (None, "z")], "k int, v string")
     to = spark.createDataFrame([(1,)], "id int")
