@@ -32,7 +32,9 @@ def windows(conversations: DataFrame, budget: int = 1024, history: int = 128, co
 
     A turn's tokens are its white-space words and two for its marks. A conversation's prefix sums of turn tokens choose
     spans: a turn is in window floor(tokens before it / own), where own is what the budget leaves beside history. Each
-    window has the system turns that come before its span, then the turns that start within `history` tokens before it, then its span.
+    window has the conversation's first turn if that is a system turn, then the turns that start within `history` tokens before
+    it, then its span. Further system turns are like others: also where they follow the first one, a turn without a number
+    or, at the same number, an assistant turn.
     Only assistant texts of the span are under the loss mask, so a repeated turn is never a target twice. A span may
     pass its part of the budget by its last turn, since turns are whole. System turns in the span stand in it once.
 
