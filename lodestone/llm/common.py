@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from weakref import WeakKeyDictionary
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,21 +23,51 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="lodestone-")
     spark.conf.set("spark.checkpoint.dir", folder)
-    import atexit
-
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
+#: Where the tables of `durable` are, and the folders of applications that are removed at the end.
+_STORED: WeakKeyDictionary = WeakKeyDictionary()
+_FOLDERS: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone, and then what is left is the cluster's to clear
+        _remove(spark, path)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to the shared folder and read back: short lineage that survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/lodestone-{uuid.uuid4().hex}"
+    """df, written as Parquet to the shared folder and read back: short lineage that survives lost executors.
+
+    The tables of an application are in one folder, which is removed when its driver ends; `release` removes one before.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/lodestone-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove_at_exit, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _STORED[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables of `durable` that nothing reads any more: all that was made of them is written."""
+    for df in tables:
+        _remove(df.sparkSession, _STORED.pop(df))
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: Column, out: str) -> DataFrame:
@@ -80,23 +113,9 @@ def code_points(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
-    edge = np.diff(np.concatenate(([0], mask.view(np.int8), [0])))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    if len(_POWERS.get("up", ())) < n:
-        m = max(n, 1 << 19)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(m, base, np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+    wide = np.concatenate(([False], mask, [False]))
+    edge = np.flatnonzero(wide[1:] != wide[:-1])
+    return edge[::2], edge[1::2]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -109,11 +128,25 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of code points: differences of prefix sums of a polynomial, then mixed."""
-    up, down = _powers(len(points) + 1)
-    sums = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """64-bit hash of each span of code points; spans are not empty, in order and do not overlap.
+
+    Each code point is mixed with its place in its span, and the sums are mixed again: what stands before a span does
+    not matter, and no structure of the text makes spans alike.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    first = np.cumsum(size) - size
+    code = np.arange(int(size.sum()), dtype=np.uint64)
+    source = code.astype(np.int64) + np.repeat(starts - first, size)
+    code -= np.repeat((first - 1).astype(np.uint64), size)
+    code <<= np.uint64(21)
+    code |= points[source]
+    code *= np.uint64(0x9E3779B97F4A7C15)
+    code ^= code >> np.uint64(32)
+    code *= np.uint64(0xBF58476D1CE4E5B9)
+    code ^= code >> np.uint64(29)
+    return mix(np.add.reduceat(code, first))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -124,12 +157,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a != b")
     both = durable(pairs.union(pairs.select("b", "a")).distinct())
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")))
+    before = labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")))
     while True:
         heard = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("to")).agg(F.min("label").alias("heard"))
         step = labels.join(heard, F.col("node") == F.col("to"), "left").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
         up = labels.select(F.col("node").alias("via"), F.col("label").alias("up"))
         after = durable(step.join(up, F.col("label") == F.col("via"), "left").select("node", F.least("label", "up").alias("label"), "was"))
-        labels = after.select("node", "label")
+        release(before)
+        before, labels = after, after.select("node", "label")
         if after.where("label != was").isEmpty():
+            release(both)
             return labels

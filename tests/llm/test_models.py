@@ -4,7 +4,7 @@ import random
 from collections import Counter as Tally
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import langid, linededup, queries, tokens, toxicity
@@ -200,8 +200,10 @@ def test_repeated_lines_equal_brute_force(spark, docs, empty, monkeypatch):
         monkeypatch.setattr(linededup, "BUCKETS", buckets)
         monkeypatch.setattr(linededup, "BLOCK", block)
         monkeypatch.setattr(linededup, "HELD", held)
-        got = {r.id: (r.n_lines, list(r.removed), r.n_links) for r in linededup.repeated_lines(df).collect()}
+        got = {r.id: (r.n_lines, list(r.removed), r.n_links) for r in linededup.repeated_lines(df, words=False).collect()}
         assert got == plain_lines(rows)
+        by_words = {r.id: (r.n_lines, list(r.removed), r.n_links) for r in linededup.repeated_lines(df).collect()}
+        assert by_words == plain_word_lines(rows)
     assert any(v[2] for v in got.values())
     cut = {r.doc_id: r.text for r in linededup.without_repeated_lines(df).collect()}
     assert cut[103] == "same line here\n" and cut[100] is None
@@ -246,11 +248,15 @@ def test_lines_are_compared_by_words_in_the_query(spark, tmp_path):
 
 def test_a_block_counts_alike_in_small_parts(monkeypatch):
     rng = np.random.default_rng(4)
-    sets = [np.sort(rng.choice(60, n, replace=False)) for n in rng.integers(4, 40, 80)]
-    sets += [np.sort(np.concatenate([np.delete(sets[0], i % len(sets[0])), [100 + i]])) for i in range(30)]
-    rows = [(int(t), 0, 0, 0, k, k, len(s), at, b"".join(int(x).to_bytes(5, "little") for x in s), 1, k, 0) for k, s in enumerate(sets) for at, t in enumerate(s[: linededup.prefix_length(np.int64(len(s)))])]
-    pdf = pd.DataFrame(sorted(rows), columns=["token", "p", "q", "block", "k1", "k2", "n", "at", "tokens", "known", "id", "no"])
-    pdf["prior"] = [sets[k][at - 1] if at else -1 for k, at in zip(pdf["k1"], pdf["at"])]
+    order = np.sort(rng.integers(0, 2**63, 200).astype(np.uint64))
+    sets = [np.sort(rng.choice(order[:60], n, replace=False)) for n in rng.integers(4, 40, 80)]
+    sets += [np.sort(np.concatenate([np.delete(sets[0], i % len(sets[0])), order[100 + i : 101 + i]])) for i in range(30)]
+    sizes = np.array([len(s) for s in sets])
+    sketch = linededup.sketches(np.concatenate(sets), np.cumsum(sizes) - sizes, sizes).view(np.int64)
+    rows = sorted((int(t), k, at) for k, s in enumerate(sets) for at, t in enumerate(s[: linededup.prefix_length(np.int64(len(s)))]))
+    token, k, at = (np.array(x, np.int64) for x in zip(*rows))
+    met = {"token": token, "k1": k, "size": sizes[k] << 32 | at, **{f"s{i}": sketch[k, i] for i in range(4)}}
+    table = pa.table({"token": token, "p": 0 * k, "q": 0 * k, "block": 0 * k, "k1": k, "k2": k, "n": sizes[k], "at": at, "tokens": [sets[i].tobytes() for i in k], "known": 0 * k + 1, "id": k, "no": 0 * k})
     want = {}
     for a, x in enumerate(sets):
         near = [b for b, y in enumerate(sets) if a != b and len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)) - 1e-9]
@@ -260,7 +266,29 @@ def test_a_block_counts_alike_in_small_parts(monkeypatch):
         monkeypatch.setattr(linededup, "PAIRS", pairs)
         monkeypatch.setattr(linededup, "TOKENS", tokens_)
         monkeypatch.setattr(linededup, "LOOK", look)
-        live = pdf[linededup.partnered(pdf)]
-        got = linededup.counted(live).groupby("k1").agg({"links": "sum", "id": "min"})
+        live = table.filter(pa.array(linededup.partnered(met)))
+        got = linededup.counted(live).to_pandas().groupby("k1").agg({"links": "sum", "id": "min"})
         assert {k: (r.links, r.id) for k, r in got.iterrows()} == want
-    assert not len(linededup.counted(pdf[:0]))
+    assert not len(linededup.counted(table[:0]))
+
+
+def test_sketches_of_any_size_never_hide_a_near_set():
+    rng = np.random.default_rng(5)
+    for n in (10, 90, 95, 96, 110, 190, 210, 400):
+        base = rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)
+        other = np.concatenate([base[n // 12 :], rng.integers(0, 2**63, n // 12 + n // 40).astype(np.uint64)])
+        far = rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)
+        sizes = np.array([n, len(other), n])
+        sketch = linededup.sketches(np.concatenate([base, other, far]), np.cumsum(sizes) - sizes, sizes)
+        differ = len(np.setxor1d(base, other))
+        i, j = np.array([0, 0]), np.array([1, 2])
+        assert linededup.near_sketches(sketch, sizes, i, j, np.array([differ, n // 5])).tolist() == [True, False]
+
+
+def test_ids_of_any_type_and_repeated_ids(spark):
+    line = "one two three four five six seven eight nine ten"
+    rows = [("b", f"{line}\n{line} eleven"), ("a", line.upper()), (None, "other words\nOTHER words"), ("a", "other words"), (None, None)]
+    got = linededup.repeated_lines(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert {r.id: (r.n_lines, list(r.removed), r.n_links) for r in got.collect()} == {"b": (2, [0, 1], 2), "a": (2, [0], 1), None: (2, [1], 0)}
+    cut = {(r.doc_id, r.text) for r in linededup.without_repeated_lines(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert ("b", "") in cut and (None, "other words") in cut
