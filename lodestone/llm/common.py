@@ -127,26 +127,39 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Spans of more code points than this are hashed by sums over their places.
+SHORT = 48
+
+
 def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of code points; spans are not empty, in order and do not overlap.
+    """64-bit hash of each span of code points; spans are not empty.
 
-    Each code point is mixed with its place in its span, and the sums are mixed again: what stands before a span does
-    not matter, and no structure of the text makes spans alike.
+    A span's code points are mixed in one after the other, for all spans at once. In a long span each is mixed with its
+    place, and the sums are mixed again. What stands before a span does not matter, and no structure makes spans alike.
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
     size = ends - starts
-    first = np.cumsum(size) - size
-    code = np.arange(int(size.sum()), dtype=np.uint64)
-    source = code.astype(np.int64) + np.repeat(starts - first, size)
-    code -= np.repeat((first - 1).astype(np.uint64), size)
-    code <<= np.uint64(21)
-    code |= points[source]
-    code *= np.uint64(0x9E3779B97F4A7C15)
-    code ^= code >> np.uint64(32)
-    code *= np.uint64(0xBF58476D1CE4E5B9)
-    code ^= code >> np.uint64(29)
-    return mix(np.add.reduceat(code, first))
+    order = np.argsort(np.uint8(SHORT + 1) - np.minimum(size, SHORT + 1).astype(np.uint8), kind="stable")
+    starts, size = starts[order], size[order]
+    live = np.searchsorted(-size, -np.arange(SHORT + 2), "left")  # spans of more than k code points
+    h = size.astype(np.uint64)
+    long = slice(0, live[SHORT])
+    for k in range(SHORT):
+        m = live[k]
+        if m == long.stop:
+            break
+        g = h[long.stop : m]
+        g ^= points[starts[long.stop : m] + k]
+        g *= np.uint64(0x9E3779B97F4A7C15)
+        g ^= g >> np.uint64(29)
+    if long.stop:
+        first = np.cumsum(size[long]) - size[long]
+        code = np.arange(int(size[long].sum()), dtype=np.uint64)
+        source = code.astype(np.int64) + np.repeat(starts[long] - first, size[long])
+        code -= np.repeat((first - 1).astype(np.uint64), size[long])
+        h[long] += np.add.reduceat(mix(code << np.uint64(21) | points[source]), first)
+    out = np.empty(len(h), np.uint64)
+    out[order] = mix(h)
+    return out
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -9,16 +9,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import code_points, durable, mix, release, runs, slices, span_hashes
 
 #: Counters of the rarity table, and counters that one row of it holds.
 BUCKETS, SLAB = 1 << 19, 1 << 14
-#: Bytes of a token where classes meet; sets are compared by all 8 bytes of their tokens.
-BYTES = 5
-LOW = np.uint64((1 << 8 * BYTES) - 1)
+LOW = np.uint64((1 << 40) - 1)
 #: Classes that a task remembers, so that it stores what is known of each once.
 SEEN = 300_000
 #: Lines that are ordered at once by one number for each token.
@@ -177,22 +175,19 @@ def near_sketches(s: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, mo
     return near
 
 
-def packed(token: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, of: np.ndarray, rows: int) -> pa.Array:
-    """A binary array of `rows` values: for row of[k] the first size[k] tokens from start[k], of `width` bytes each; others null."""
-    data = gathered(token, start, size).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+def packed(token: np.ndarray, start: np.ndarray, size: np.ndarray, of: np.ndarray, rows: int) -> pa.Array:
+    """A binary array of `rows` values: for row of[k] the first size[k] tokens from start[k], 8 bytes each; others null."""
     long = np.zeros(rows + 1, np.int64)
-    long[of + 1] = size * width
+    long[of + 1] = 8 * size
     there = np.zeros(rows, bool)
     there[of] = True
+    data = gathered(token, start, size).astype("<u8").tobytes()
     return pa.Array.from_buffers(pa.binary(), rows, [pa.py_buffer(np.packbits(there, bitorder="little")), pa.py_buffer(np.cumsum(long).astype(np.int32)), pa.py_buffer(data)])
 
 
-def unpacked(tokens: pa.Array, width: int) -> np.ndarray:
+def unpacked(tokens: pa.Array) -> np.ndarray:
     """The tokens of a binary array as numbers, one value after the other."""
-    data = np.frombuffer(b"".join(tokens.to_pylist()), np.uint8)
-    wide = np.zeros((len(data) // width, 8), np.uint8)
-    wide[:, :width] = data.reshape(-1, width)
-    return wide.view(np.uint64).ravel()
+    return np.frombuffer(b"".join(tokens.to_pylist()), "<u8")
 
 
 def lines(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col: str = "text", near: float = NEAR, words: bool = True) -> DataFrame:
@@ -227,7 +222,7 @@ def lines(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col:
                 kinds = np.zeros((len(own), 4), np.uint64)
                 at = np.cumsum(n[rep]) - n[rep]
                 kinds[rep] = sketches(gathered(token, start[rep], n[rep]), at, n[rep])
-                heads = packed(token, start[rep], prefix_length(n[rep], near), BYTES, rep, len(own))
+                heads = packed(token, start[rep], prefix_length(n[rep], near), rep, len(own))
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[own] + part.start)), pa.array(no[own].astype(np.int32)), pa.array(k1), pa.array(k2), pa.array(n.astype(np.int32)), heads, *(pa.array(kinds[:, i].view(np.int64), mask=there) for i in range(4))], NAMES)
             none = pa.nulls(len(texts), pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(texts), -1, np.int32)), none, none, pa.array(many), pa.nulls(len(texts), pa.binary()), none, none, none, none], NAMES)
@@ -285,48 +280,61 @@ def joining(found: DataFrame, near: float = NEAR) -> DataFrame:
     """Prefix tokens (token, k1, n, at) of classes that meet another class there which the filters on length, position and
     sketch let through: one row a class and token, however many classes meet.
 
+    A second look leaves out the rows whose partners there share the token before this one too: those have met there.
     Tokens that no two sets have in their prefixes are left out before the shuffle, as far as a table of fixed size tells.
     """
     own = found.where("heads is not null").select("k1", "n", "heads", "s0", "s1", "s2", "s3")
-    shared = found.sparkSession.sparkContext.broadcast(seen_cells(own.select("heads"), lambda batch: unpacked(batch.column(0), BYTES), 2))
+    shared = found.sparkSession.sparkContext.broadcast(seen_cells(own.select("heads"), lambda batch: unpacked(batch.column(0)), 2))
     kind = f"token long, k1 long, size long, {SKETCH}"
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = numbers(batch.column(1)).astype(np.int64)
-            token, size = unpacked(batch.column(2), BYTES), prefix_length(n, near)
+            token, size = unpacked(batch.column(2)), prefix_length(n, near)
             at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             met = is_set(shared.value, token)
             of = np.repeat(np.arange(len(n)), size)[met]
             yield pa.RecordBatch.from_arrays([pa.array(token[met].view(np.int64)), pa.array(numbers(batch.column(0))[of]), pa.array(n[of] << 32 | at[met]), *(pa.array(numbers(batch.column(i))[of]) for i in range(3, 7))], ["token", "k1", "size", "s0", "s1", "s2", "s3"])
 
-    def rows(a: dict[str, np.ndarray], keep) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"token": pa.array(a["token"][keep]), "k1": pa.array(a["k1"][keep]), "n": pa.array((a["size"][keep] >> 32).astype(np.int32)), "at": pa.array((a["size"][keep] & 0xFFFFFFFF).astype(np.int32))})
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, hot = None, None
-        for batch in batches:
-            whole = {c: numbers(batch.column(i)) for i, c in enumerate(("token", "k1", "size", "s0", "s1", "s2", "s3"))}
+    def meet(out: str, prior: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        names = [c.split()[0] for c in out.split(", ")]
+
+        def rows(a: dict[str, np.ndarray], keep) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a[c][keep]) for c in names], names)
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, hot = None, None
+            for batch in batches:
+                whole = {c: numbers(batch.column(i)) for i, c in enumerate(batch.schema.names)}
+                if held is not None:
+                    whole = {c: np.concatenate([held[c], whole[c]]) for c in whole}
+                if hot is not None:  # the rest of a token that was too frequent to hold
+                    same = whole["token"] == hot
+                    yield rows(whole, same)
+                    whole = {c: v[~same] for c, v in whole.items()}
+                held = None
+                if not len(whole["token"]):
+                    continue
+                last = int(np.searchsorted(whole["token"], whole["token"][-1], "left"))
+                yield rows(first := {c: v[:last] for c, v in whole.items()}, partnered(first, near, prior))
+                held = {c: v[last:] for c, v in whole.items()}
+                if len(held["token"]) > HELD:
+                    yield rows(held, slice(None))
+                    held, hot = None, whole["token"][-1]
             if held is not None:
-                whole = {c: np.concatenate([held[c], whole[c]]) for c in whole}
-            if hot is not None:  # the rest of a token that was too frequent to hold
-                same = whole["token"] == hot
-                yield rows(whole, same)
-                whole = {c: v[~same] for c, v in whole.items()}
-            held = None
-            if not len(whole["token"]):
-                continue
-            last = int(np.searchsorted(whole["token"], whole["token"][-1], "left"))
-            yield rows(first := {c: v[:last] for c, v in whole.items()}, partnered(first, near))
-            held = {c: v[last:] for c, v in whole.items()}
-            if len(held["token"]) > HELD:
-                yield rows(held, slice(None))
-                held, hot = None, whole["token"][-1]
-        if held is not None:
-            yield rows(held, partnered(held, near))
+                yield rows(held, partnered(held, near, prior))
+
+        return look
 
     dealt = own.mapInArrow(head, kind).repartition("token").sortWithinPartitions("token")
-    return dealt.mapInArrow(meet, "token long, k1 long, n int, at int").distinct()
+    # A class may come from several tasks, with the same tokens and sketch.
+    some = durable(dealt.mapInArrow(meet(kind, None), kind).groupBy("token", "k1").agg(F.any_value("size").alias("size"), *[F.any_value(f"s{i}").alias(f"s{i}") for i in range(4)]))
+    at = F.col("size").bitwiseAND(F.lit(0xFFFFFFFF))
+    before = Window.partitionBy("k1").orderBy("at")
+    follows = F.lag("at").over(before) == F.col("at") - 1
+    some = some.withColumn("at", at).select(*[c for c in some.columns], F.coalesce(F.when(follows, F.lag("token").over(before)), F.lit(0)).alias("prior"), F.coalesce(follows, F.lit(False)).cast("long").alias("follows"))
+    again = some.repartition("token").sortWithinPartitions("token").mapInArrow(meet("token long, k1 long, size long", "prior"), "token long, k1 long, size long")
+    return again.select("token", "k1", F.shiftright("size", 32).cast("int").alias("n"), at.cast("int").alias("at"))
 
 
 def fits(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, near: float) -> np.ndarray:
@@ -334,13 +342,16 @@ def fits(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, near: floa
     return np.minimum(n[i] - at[i], n[j] - at[j]) >= least_overlap(n[i], n[j], near)
 
 
-def partnered(a: dict[str, np.ndarray], near: float = NEAR) -> np.ndarray:
-    """Rows that another class meets at the same token. Rows that are undecided after LOOK neighbours count as met."""
+def partnered(a: dict[str, np.ndarray], near: float = NEAR, prior: str | None = None) -> np.ndarray:
+    """Rows that another class meets at the same token, not having met it at `prior` (if follows is 1). Rows that are
+    undecided after LOOK neighbours count as met."""
     n, at = a["size"] >> 32, a["size"] & 0xFFFFFFFF
     order = np.lexsort((n, a["token"]))
     n, at, token, key = n[order], at[order], a["token"][order], a["k1"][order]
     sketch = np.stack([a[f"s{i}"][order].view(np.uint64) for i in range(4)], axis=1)
     met = np.zeros(len(order), bool)
+    if prior:
+        before, follows = a[prior][order], a["follows"][order] > 0
     # Rows are by token, then size: each looks at those after and before it until sizes are too far apart.
     open_ = {1: np.arange(len(order)), -1: np.arange(len(order))}
     for d in range(1, LOOK + 1):
@@ -352,6 +363,8 @@ def partnered(a: dict[str, np.ndarray], near: float = NEAR) -> np.ndarray:
             open_[way] = i = i[live]
             j = j[live]
             good = fits(n, at, i, j, near) & (key[i] != key[j])
+            if prior:
+                good &= (before[i] != before[j]) | ~(follows[i] & follows[j])
             i, j = i[good], j[good]
             good = near_sketches(sketch, n, i, j, n[i] + n[j] - 2 * least_overlap(n[i], n[j], near))
             met[i[good]] = met[j[good]] = True
@@ -390,7 +403,7 @@ def token_sets(docs: DataFrame, table: np.ndarray, needed: DataFrame, found: Dat
                 seen.update(k1[rep].tolist())
                 if len(seen) > SEEN:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(k1[rep]), pa.array(k2[rep]), packed(token, start[rep], n[rep], 8, np.arange(len(rep)), len(rep))], ["k1", "k2", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(k1[rep]), pa.array(k2[rep]), packed(token, start[rep], n[rep], np.arange(len(rep)), len(rep))], ["k1", "k2", "tokens"])
 
     some = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).cast("string").alias("text")).mapInArrow(again, "k1 long, k2 long, tokens binary")
     return some.join(needed, F.col("k1") == F.col("need"), "left_semi").groupBy("k1", "k2").agg(F.any_value("tokens").alias("tokens"))
@@ -451,16 +464,13 @@ def counted(rows: pa.Table, near: float = NEAR) -> pa.Table:
     first = pa.table({"known": rows["known"], "id": rows["id"], "no": rows["no"]})
     rank = np.empty(len(rows), np.int64)
     rank[pc.sort_indices(first, sort_keys=[(c, "ascending") for c in ("known", "id", "no")]).to_numpy()] = np.arange(len(rows))
-    token, start = unpacked(rows["tokens"].combine_chunks(), 8), np.cumsum(n) - n
+    token, start = unpacked(rows["tokens"].combine_chunks()), np.cumsum(n) - n
     sketch = sketches(token, start, n)
     token = np.unique(token, return_inverse=True)[1].astype(np.int64)  # small numbers, the same for the same token
     total, best = np.zeros(len(rows), np.int64), np.full(len(rows), len(rows))
 
     def settle(i: np.ndarray, j: np.ndarray) -> None:
-        # The pair counts where its rarest common token is: this token is common, and no rarer one.
-        new = token[start[i] + at[i]] == token[start[j] + at[j]]
-        i, j = i[new], j[new]
-        new = common(token, start, i, j, at[i], at[j]) == 0
+        new = common(token, start, i, j, at[i], at[j]) == 0  # no rarer token in common: this is where the pair counts
         i, j = i[new], j[new]
         same = common(token, start, i, j, n[i], n[j])
         linked = same >= near * (n[i] + n[j] - same) - 1e-9

@@ -266,7 +266,13 @@ def test_a_block_counts_alike_in_small_parts(monkeypatch):
         monkeypatch.setattr(linededup, "PAIRS", pairs)
         monkeypatch.setattr(linededup, "TOKENS", tokens_)
         monkeypatch.setattr(linededup, "LOOK", look)
-        live = table.filter(pa.array(linededup.partnered(met)))
+        keep = linededup.partnered(met)
+        some = {c: v[keep] for c, v in met.items()}
+        there = set(zip(some["k1"].tolist(), (some["size"] & 0xFFFFFFFF).tolist()))
+        some["follows"] = np.array([(i, t - 1) in there for i, t in zip(some["k1"].tolist(), (some["size"] & 0xFFFFFFFF).tolist())], np.int64)
+        some["prior"] = np.array([sets[i][t - 1].view(np.int64) for i, t in zip(some["k1"], some["size"] & 0xFFFFFFFF)])
+        live = table.filter(pa.array(keep)).filter(pa.array(linededup.partnered(some, prior="prior")))
+        assert len(live) < keep.sum() or look == 1
         got = linededup.counted(live).to_pandas().groupby("k1").agg({"links": "sum", "id": "min"})
         assert {k: (r.links, r.id) for k, r in got.iterrows()} == want
     assert not len(linededup.counted(table[:0]))
