@@ -70,6 +70,19 @@ def release(*tables: DataFrame) -> None:
         _remove(df.sparkSession, _STORED.pop(df))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as make it no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """df's columns, whatever their names hold."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: Column, out: str) -> DataFrame:
     """df with `out`: the sum of `amount` over the rows of the same keys that come before, in a fixed order.
 

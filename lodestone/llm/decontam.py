@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, runs, slices, span_hashes
+from .common import code_points, durable, fresh, release, runs, slices, span_hashes
 
 WINDOW = 13
-#: Words of items that are searched for in one pass over the documents.
-PASS_WORDS = 2_000_000
-#: Symbols of an index; more are dealt to further indexes.
-SHARD_SYMBOLS = 1_000_000
+#: Words of items that are searched for in one pass over the indexes.
+PASS_WORDS = 200_000
+#: Words of a shard, about; a longer document is a shard of its own.
+SHARD_SYMBOLS = 150_000
 SAMPLE = 8
 
-FOUND = "_spans array<struct<from:int,to:int,first:int,last:int>>, _items array<string>, _n_words long"
+SPANS = "array<struct<first:long,last:long,from:long,to:long>>"
 
 
 def words_of(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,26 +46,36 @@ class FMIndex:
     def __init__(self, text: np.ndarray, n_symbols: int):
         n = len(text)
         ends = np.flatnonzero(text == 0)
-        rank = text.astype(np.int64) + len(ends)
-        rank[ends] = np.arange(len(ends))
-        step = 1
-        while True:
-            later = np.full(n, -1, np.int64)
-            later[: n - step] = rank[step:]
-            key = rank * (int(later.max()) + 2) + later + 1
-            order = np.argsort(key, kind="stable")
-            fresh = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
-            rank = np.empty(n, np.int64)
-            rank[order] = fresh
-            if fresh[-1] == n - 1:
-                break
+        code = text.astype(np.int64) + len(ends)
+        code[ends] = np.arange(len(ends))
+        # First by as many symbols as fit into one number, then doubling; suffixes that are told apart are not sorted again.
+        base = int(code.max(initial=0)) + 1
+        step = max(1, min(4, 62 // base.bit_length()))
+        key = np.zeros(n, np.int64)
+        for k in range(step):
+            key *= base
+            key[: max(n - k, 0)] += code[k:]
+        order = np.argsort(key)
+        fresh = np.concatenate(([True], np.diff(key[order]) != 0))
+        rank = np.empty(n, np.int64)
+        rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+        tied = np.flatnonzero(~(fresh & np.concatenate((fresh[1:], [True]))))
+        while len(tied):
+            some = order[tied]
+            key = rank[some] * n + rank[some + step]
+            by = np.argsort(key)
+            some, key = some[by], key[by]
+            fresh = np.concatenate(([True], np.diff(key) != 0))
+            order[tied] = some
+            rank[some] = np.maximum.accumulate(np.where(fresh, tied, 0))
+            tied = tied[~(fresh & np.concatenate((fresh[1:], [True])))]
             step *= 2
         bwt = text[order - 1]
         self.counts = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=n_symbols + 1))))
         self.depth = max(1, int(n_symbols).bit_length())
         # Each level holds the ranks of one bit; rows with a 0 come first on the next level.
         self.ones, self.zeros = [], []
-        level = bwt
+        level = bwt.astype(np.int32)
         for d in reversed(range(self.depth)):
             bit = (level >> d) & 1
             self.ones.append(np.concatenate(([0], np.cumsum(bit))).astype(np.int32))
@@ -74,6 +86,20 @@ class FMIndex:
         sampled = (start | (np.arange(n) % SAMPLE == 0))[order]
         self.sampled, self.before, self.positions = sampled, np.concatenate(([0], np.cumsum(sampled))), order[sampled]
 
+    def parts(self) -> dict:
+        """What the index is stored as: its bits, and the sampled positions."""
+        return {"ones": [np.packbits(np.diff(x) > 0) for x in self.ones], "zeros": self.zeros, "counts": self.counts.astype(np.uint32), "depth": self.depth, "sampled": np.packbits(self.sampled), "positions": self.positions.astype(np.uint32), "n": len(self.sampled)}
+
+    @classmethod
+    def of(cls, parts: dict) -> FMIndex:
+        """The index that was stored as parts; nothing is sorted again."""
+        self, n = cls.__new__(cls), parts["n"]
+        self.ones = [np.concatenate(([0], np.cumsum(np.unpackbits(x, count=n), dtype=np.int32))) for x in parts["ones"]]
+        self.zeros, self.depth, self.counts = parts["zeros"], parts["depth"], parts["counts"].astype(np.int64)
+        self.sampled = np.unpackbits(parts["sampled"], count=n).astype(bool)
+        self.before, self.positions = np.concatenate(([0], np.cumsum(self.sampled))), parts["positions"].astype(np.int64)
+        return self
+
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol occurs before each row of the last column."""
         low = np.zeros_like(at)
@@ -118,15 +144,100 @@ class FMIndex:
         return out
 
 
+def least_type(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+class Shard:
+    """The words of some documents in an FM-index, and where each of them stands.
+
+    Documents are cut into chunks that overlap by a window less one word, so that each window lies whole in one and no
+    repeated passage makes suffixes long to compare; each chunk ends with a zero.
+    """
+
+    def __init__(self, hashes: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, numbers: np.ndarray, window: int = WINDOW):
+        step = max(116, 8 * window)
+        self.vocabulary, symbol = np.unique(hashes, return_inverse=True)
+        counts = np.bincount(row, minlength=len(numbers))
+        many = np.maximum(1, -(-(counts - window + 1) // step)) * (counts > 0)
+        self.row = np.repeat(np.arange(len(numbers)), many)
+        self.first = (np.arange(len(self.row)) - np.repeat(np.cumsum(many) - many, many)) * step
+        size = np.minimum(step + window - 1, counts[self.row] - self.first)
+        self.begin = np.cumsum(size + 1) - size - 1
+        at = np.arange(int((size + 1).sum())) - np.repeat(self.begin - (np.cumsum(counts) - counts)[self.row] - self.first, size + 1)
+        at = np.minimum(at, max(len(symbol) - 1, 0))
+        text = symbol[at] + 1
+        text[self.begin + size] = 0
+        self.index = FMIndex(text, len(self.vocabulary)) if len(text) else None
+        self.row = numbers[self.row]
+        # Where words stand: the start of a chunk's first word, then gaps and lengths.
+        self.at = start[at[self.begin]] if len(text) else np.zeros(0, np.int64)
+        gap = np.concatenate(([0], start[1:] - end[:-1])) if len(start) else start
+        self.gap, self.long = np.maximum(gap, 0)[at], (end - start)[at]
+        self.gap[self.begin] = 0
+
+    def stored(self) -> bytes:
+        parts = {k: least_type(getattr(self, k)) for k in ("row", "first", "begin", "at", "gap", "long")}
+        return pickle.dumps(parts | {"vocabulary": self.vocabulary, "index": self.index.parts() if self.index else None}, 5)
+
+    @classmethod
+    def of(cls, stored: bytes) -> Shard:
+        self, parts = cls.__new__(cls), pickle.loads(stored)
+        for k in ("row", "first", "begin", "at"):
+            setattr(self, k, parts[k].astype(np.int64))
+        self.gap, self.long, self.vocabulary = parts["gap"], parts["long"], parts["vocabulary"]
+        self.index = FMIndex.of(parts["index"]) if parts["index"] else None
+        return self
+
+    def occurrences(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """(pattern, place in the indexed sequence) of all occurrences, by backward search and sampled positions."""
+        none = np.zeros(0, np.int64)
+        if self.index is None or not len(phrases.patterns):
+            return none, none
+        at = np.minimum(np.searchsorted(self.vocabulary, phrases.vocabulary), len(self.vocabulary) - 1)
+        symbol = np.concatenate(([0], np.where(self.vocabulary[at] == phrases.vocabulary, at + 1, -1)))
+        known = symbol >= 0
+        live = np.flatnonzero(known[phrases.patterns].all(axis=1))
+        low, high = self.index.search(symbol[phrases.patterns[live]], phrases.lengths[live])
+        many = high - low
+        rows = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - low, many)
+        return np.repeat(live, many), self.index.locate(rows)
+
+    def find(self, phrases: Phrases) -> dict[int, tuple[list, list]]:
+        """For each document with hits: spans of words hit, merged (first word, word after the last, from, to), and item ids."""
+        pattern, place = self.occurrences(phrases)
+        if not len(pattern):
+            return {}
+        chunk = np.searchsorted(self.begin, place, "right") - 1
+        row, first = self.row[chunk], self.first[chunk] + place - self.begin[chunk]
+        last = first + phrases.lengths[pattern]
+        # Character positions: from the start of the chunk over the gaps and words before.
+        ends = np.cumsum(self.gap.astype(np.int64) + self.long)
+        base = self.at[chunk] - (ends - self.long)[self.begin[chunk]]
+        start, end = base + (ends - self.long)[place], base + ends[place + phrases.lengths[pattern] - 1]
+        out: dict = {}
+        order = np.lexsort((last, first, row))
+        for r, a, b, c, d in zip(*(x[order].tolist() for x in (row, first, last, start, end))):
+            spans = out.setdefault(r, ([], set()))[0]
+            if spans and a <= spans[-1][1]:
+                if b > spans[-1][1]:
+                    spans[-1] = (spans[-1][0], b, spans[-1][2], d)
+            else:
+                spans.append((a, b, c, d))
+        many = phrases.item_start[pattern + 1] - phrases.item_start[pattern]
+        which = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - phrases.item_start[pattern], many)
+        pairs = np.unique(np.stack([np.repeat(row, many), phrases.item_of[which]], axis=1), axis=0)
+        for r, i in pairs.tolist():
+            out[r][1].add(phrases.items[i])
+        return {r: (spans, sorted(items)) for r, (spans, items) in out.items()}
+
+
 class Phrases:
-    """Distinct windows of items, as symbols of the items' own words."""
+    """Distinct windows of items, as symbols (from 1) of the items' own words."""
 
     def __init__(self, ids: list[str | None], texts: list[str | None], window: int = WINDOW):
         hashes, row, _, _ = words_of(texts)
-        self.vocabulary = np.unique(hashes)
-        self.filter = np.zeros(1 << 22, bool)
-        self.filter[(self.vocabulary & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        symbols = np.searchsorted(self.vocabulary, hashes) + 1
+        self.vocabulary, symbols = np.unique(hashes, return_inverse=True)
         n = np.bincount(row, minlength=len(texts))
         begin = np.concatenate(([0], np.cumsum(n)))[:-1]
         many = np.maximum(n - window + 1, np.minimum(n, 1))
@@ -134,97 +245,38 @@ class Phrases:
         at = np.arange(len(item)) - np.repeat(np.cumsum(many) - many, many) + begin[item]
         lengths = np.minimum(n[item], window)
         shift = np.arange(window) - window + lengths[:, None]
-        table = np.where(shift >= 0, symbols[np.minimum(at[:, None] + np.maximum(shift, 0), max(len(symbols) - 1, 0))] if len(symbols) else 0, 0)
-        self.patterns, which = np.unique(table.reshape(-1, window), axis=0, return_inverse=True)
+        table = np.where(shift >= 0, symbols[np.minimum(at[:, None] + np.maximum(shift, 0), max(len(symbols) - 1, 0))] + 1 if len(symbols) else 0, 0)
+        self.patterns, which = np.unique(table.reshape(-1, window).astype(np.int32), axis=0, return_inverse=True)
         self.lengths = (self.patterns > 0).sum(axis=1)
         pair = np.unique(np.stack([which.ravel(), item], axis=1), axis=0) if len(item) else np.zeros((0, 2), np.int64)
         pair = pair[np.array([ids[i] is not None for i in pair[:, 1]], bool)]
         self.items, self.item_of = ids, pair[:, 1]
         self.item_start = np.searchsorted(pair[:, 0], np.arange(len(self.patterns) + 1))
-        self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
-
-    def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        """The symbol of each word, 0 for words of no item."""
-        out = np.zeros(len(hashes), np.int64)
-        maybe = np.flatnonzero(self.filter[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)])
-        at = np.searchsorted(self.vocabulary, hashes[maybe])
-        at[at == len(self.vocabulary)] = 0
-        hit = self.vocabulary[at] == hashes[maybe]
-        out[maybe[hit]] = at[hit] + 1
-        return out
 
 
-def occurrences(phrases: Phrases, symbol: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(pattern, index of its first word) of all occurrences in words given by symbol and row.
+def indexed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The documents' indexes as a table: a row (row, id, n_words) for each document, and one (shard) for each shard.
 
-    Only runs of item words within a row that could hold a pattern are indexed; that leaves out no occurrence.
+    Shards are made in the tasks that read the documents; nothing is shuffled. `row` numbers the documents. The table is
+    written once, and read for each pass of a search and for any number of benchmarks.
     """
-    if not len(symbol) or not len(phrases.patterns):
-        return
-    cut = np.ones(len(symbol) + 1, bool)
-    cut[1:-1] = row[1:] != row[:-1]
-    known = symbol > 0
-    first = np.flatnonzero(known & (cut[:-1] | ~np.concatenate(([False], known[:-1]))))
-    last = np.flatnonzero(known & (cut[1:] | ~np.concatenate((known[1:], [False])))) + 1
-    long = last - first >= phrases.shortest
-    first, last = first[long], last[long]
-    i = 0
-    while i < len(first):
-        total = np.cumsum(last[i:] - first[i:] + 1)
-        k = i + max(1, int(np.searchsorted(total, SHARD_SYMBOLS, "right")))
-        size = last[i:k] - first[i:k] + 1
-        begin = np.cumsum(size) - size
-        source = np.arange(size.sum()) - np.repeat(begin - first[i:k], size)
-        text = symbol[np.minimum(source, len(symbol) - 1)]
-        text[begin + size - 1] = 0
-        index = FMIndex(text, len(phrases.vocabulary))
-        low, high = index.search(phrases.patterns, phrases.lengths)
-        many = high - low
-        pattern = np.repeat(np.arange(len(many)), many)
-        rows = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + low[pattern]
-        yield pattern, source[index.locate(rows)]
-        i = k
-
-
-def find(phrases: Phrases, texts) -> tuple[list, list, np.ndarray]:
-    """For each text: spans of words hit, merged (first char, end char, first word, last word + 1); item ids; number of words."""
-    hashes, row, start, end = words_of(texts)
-    counts = np.bincount(row, minlength=len(texts))
-    begin = np.concatenate(([0], np.cumsum(counts)))[:-1]
-    change = np.zeros(len(row) + 1, np.int64)
-    pairs = [np.zeros(0, np.int64)]
-    width = max(1, len(phrases.items))
-    for pattern, at in occurrences(phrases, phrases.symbols(hashes), row):
-        np.add.at(change, at, 1)
-        np.add.at(change, at + phrases.lengths[pattern], -1)
-        code = np.unique(row[at] * len(phrases.patterns) + pattern)
-        doc, pattern = code // len(phrases.patterns), code % len(phrases.patterns)
-        many = phrases.item_start[pattern + 1] - phrases.item_start[pattern]
-        which = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(phrases.item_start[pattern], many)
-        pairs.append(np.repeat(doc, many) * width + phrases.item_of[which])
-    spans: list = [[] for _ in texts]
-    items: list = [[] for _ in texts]
-    # Occurrences never pass a row's end, so a run of hit words is cut where the row changes.
-    hit = np.cumsum(change)[:-1] > 0
-    fresh = hit & np.concatenate(([True], ~hit[:-1] | (row[1:] != row[:-1]))) if len(hit) else hit
-    done = hit & np.concatenate((~hit[1:] | (row[1:] != row[:-1]), [True])) if len(hit) else hit
-    for a, b in zip(np.flatnonzero(fresh).tolist(), np.flatnonzero(done).tolist()):
-        r = row[a]
-        spans[r].append((int(start[a]), int(end[b]), int(a - begin[r]), int(b - begin[r] + 1)))
-    for code in np.unique(np.concatenate(pairs)).tolist():
-        items[code // width].append(str(phrases.items[code % width]))
-    return spans, items, counts
-
-
-def merged(old, new) -> list:
-    """Two lists of spans as one list of spans that do not overlap."""
-    out: list = []
-    for s in sorted([tuple(int(x) for x in (s.values() if isinstance(s, dict) else s)) for s in old] + list(new), key=lambda s: s[2]):
-        if out and s[2] <= out[-1][3]:
-            out[-1] = (out[-1][0], max(out[-1][1], s[1]), out[-1][2], max(out[-1][3], s[3]))
-        else:
-            out.append(s)
-    return out
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            numbers = number + np.arange(len(texts))
+            number += len(texts)
+            words = np.zeros(len(texts), np.int64)
+            for part in slices(texts, 7 * SHARD_SYMBOLS):
+                hashes, row, start, end = words_of(texts[part])
+                words[part] = np.bincount(row, minlength=part.stop - part.start)
+                shard = Shard(hashes, row, start, end, numbers[part], window).stored()
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, batch.column(0).type), pa.nulls(1, pa.int64()), pa.array([shard], pa.binary())], ["row", "id", "n_words", "shard"])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), batch.column(0), pa.array(words), pa.nulls(len(texts), pa.binary())], ["row", "id", "n_words", "shard"])
+
+    return durable(own.mapInArrow(build, f"row long, id {own.schema['id'].dataType.simpleString()}, n_words long, shard binary"))
 
 
 def passes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list, list]]:
@@ -241,56 +293,76 @@ def passes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple
         yield ids, texts
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with _spans (words hit, merged, in code points and in words), _items (ids with a window that occurs), _n_words.
+def united(spans: Column) -> Column:
+    """An array of spans as the spans that they cover together, in order."""
+
+    def add(out: Column, s: Column) -> Column:
+        top = F.element_at(out, -1)
+        wider = F.struct(top["first"].alias("first"), F.greatest(top["last"], s["last"]).alias("last"), top["from"].alias("from"), F.greatest(top["to"], s["to"]).alias("to"))
+        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(wider))
+        return F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["last"] >= s["first"]), joined).otherwise(F.array_append(out, s))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), add)
+
+
+def search(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """Columns id, n_words, spans (words hit, merged, by words and by code points), items (sorted ids), for each document.
 
     A window is `window` consecutive words of an item; a shorter item with any word is one window. The items are taken
-    in blocks of bounded size, each searched for in one pass over all documents; nothing is shuffled. Null texts have
-    no words and null item ids are not listed. A benchmark without words hits nothing.
+    in blocks of bounded size, each searched for in one pass over the stored indexes; what a pass finds is written, so
+    that no block outlives its pass. Null texts have no words; null item ids are not listed; repeated ids are listed
+    once. A benchmark without words hits nothing.
     """
-    spark = docs.sparkSession
-    text = docs.schema[text_col].name
-    blocks = list(passes(benchmark, item_col, item_text)) if benchmark.count() * 20 < PASS_WORDS else passes(benchmark, item_col, item_text)
-    out, first = docs, True
-    for ids, texts in blocks or [([], [])]:
+    spark = index.sparkSession
+    shards = index.where("shard is not null").select("shard")
+    found = None
+    for ids, texts in passes(benchmark, item_col, item_text):
         shared = spark.sparkContext.broadcast(Phrases(ids, texts, window))
-        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), FOUND])
-
-        def look(batches: Iterator[pd.DataFrame], shared=shared, first=first) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                spans, items, counts = [], [], []
-                column = [t if isinstance(t, str) else None for t in pdf[text]]
-                for part in slices(column, 4_000_000):
-                    s, i, c = find(shared.value, column[part])
-                    spans, items, counts = spans + s, items + i, [*counts, *c.tolist()]
-                if not first:
-                    spans = [merged(a, b) for a, b in zip(pdf["_spans"], spans)]
-                    items = [sorted({*a, *b}) for a, b in zip(pdf["_items"], items)]
-                made = pdf.drop(columns=["_spans", "_items", "_n_words"], errors="ignore")
-                made["_spans"] = [[dict(zip(("from", "to", "first", "last"), x)) for x in s] for s in spans]
-                made["_items"], made["_n_words"] = items, np.array(counts, np.int64)
-                yield made
-
-        out, first = out.mapInPandas(look, schema), False
-    return out
+
+        def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("first", "last", "from", "to")]))
+            for batch in batches:
+                for stored in batch.column(0):
+                    got = Shard.of(stored.as_py()).find(shared.value)
+                    if got:
+                        spans = [[dict(zip(("first", "last", "from", "to"), s)) for s in spans] for spans, _ in got.values()]
+                        yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(spans, kind), pa.array([items for _, items in got.values()], pa.list_(pa.string()))], ["row", "spans", "items"])
+
+        part = durable(shards.mapInArrow(look, f"row long, spans {SPANS}, items array<string>"))
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    base = index.where("row is not null").select("row", "id", "n_words")
+    if found is None:
+        return base.select("id", "n_words", F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    found = found.groupBy(F.col("row").alias("_row")).agg(united(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    met = base.join(found, F.col("row") == F.col("_row"), "left")
+    return met.select("id", "n_words", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def n_hit() -> Column:
-    return F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
 
 
 def contaminated(share: int = 20) -> Column:
     """Any word is hit, and at least one of `share` words is."""
-    return (n_hit() > 0) & (share * n_hit() >= F.col("_n_words"))
+    return (n_hit() > 0) & (share * n_hit() >= F.col("n_words"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns id, n_words, n_hit, items (sorted as strings), removal (spans of code points), contaminated."""
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = hits(own, benchmark)
-    return found.select("id", F.col("_n_words").alias("n_words"), n_hit().alias("n_hit"), F.array_sort("_items").alias("items"), F.transform("_spans", lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"))).alias("removal"), contaminated().alias("contaminated"))
+    """Columns id, n_words, n_hit, items (sorted as strings), removal (spans of code points), contaminated, for every row."""
+    found = search(indexed(docs, id_col, text_col), benchmark)
+    return found.select("id", "n_words", n_hit().alias("n_hit"), "items", F.transform("spans", lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to"))).alias("removal"), contaminated().alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the contaminated documents; all others stay as they are."""
-    return hits(docs, benchmark, text_col).where(~contaminated()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without the contaminated documents; all others stay as they are, null texts and repeated rows included.
+
+    Whether a document is contaminated depends on its text alone, so that documents go by the digest of their text. The
+    digests that go are written first: Spark broadcasts them if they are few, else both sides are joined by key.
+    """
+    digest = F.md5(F.col(f"`{text_col}`").cast("string"))
+    index = indexed(docs.select(digest.alias("digest"), F.col(f"`{text_col}`").alias("text")), "digest", "text")
+    name = fresh(docs, "_gone")
+    gone = durable(search(index, benchmark).where(contaminated()).select(F.col("id").alias(name)).distinct())
+    release(index)
+    return docs.join(gone, digest == F.col(name), "left_anti")

@@ -47,6 +47,40 @@ def test_index_finds_all_occurrences():
             assert got == [i for i in range(len(text) - len(p) + 1) if text[i : i + len(p)].tolist() == p]
 
 
+def test_a_stored_index_finds_and_places_all_occurrences():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["aa", "b", "ccc", "é"], k=n)) for n in (0, 1, 12, 13, 115, 116, 128, 129, 500, 1000)] + ["aa b " * 400, None]
+    hashes, row, start, end = decontam.words_of(texts)
+    shard = decontam.Shard.of(decontam.Shard(hashes, row, start, end, np.arange(len(texts)) + 70).stored())
+    items = [("x", "aa b " * 20), ("y", " ".join(texts[8].split()[100:130])), ("z", "ccc"), ("z", "é é"), (None, "b")]
+    got = shard.find(decontam.Phrases(*map(list, zip(*items))))
+    for i, t in enumerate(texts):
+        n, hit, ids, words = plain_hits(t, items)
+        spans, found = got.get(i + 70, ([], []))
+        assert {w for a, b, _, _ in spans for w in range(a, b)} == hit and found == ids
+        assert all((words[a].start(), words[b - 1].end()) == (c, d) for a, b, c, d in spans)
+
+
+def test_one_index_serves_many_benchmarks(spark, docs, rows):
+    whole, bench, all_rows, items = cases(spark, docs, rows)
+    index = decontam.indexed(whole)
+    for some in ("item_id < 9", "item_id >= 9 or item_id is null", "item_id > 999"):
+        part = [(r.item_id, r.text) for r in bench.where(some).collect()]
+        got = Counter((r.id, r.n_words, tuple(r["items"])) for r in decontam.search(index, bench.where(some)).collect())
+        assert got == Counter((r[0], *(lambda h: (h[0], tuple(h[2])))(plain_hits(r[1], part))) for r in all_rows)
+
+
+def test_clashing_names_string_ids_and_benchmarks_of_nulls(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    docs = spark.createDataFrame([("a", text, 1), ("a", text, 1), (None, None, 2), ("b", "other", 3)], "doc_id string, text string, _items int").withColumn("shard", F.lit("x")).withColumn("_gone", F.lit("y"))
+    bench = spark.createDataFrame([(1, text), (1, text)], "item_id long, text string")
+    kept = decontam.clean(docs, bench)
+    assert kept.columns == docs.columns and sorted((r.doc_id or "", r.shard) for r in kept.collect()) == [("", "x"), ("b", "x")]
+    assert [r["items"] for r in decontam.report(docs, bench).where("id = 'a'").collect()] == [["1"]] * 2
+    nulls = spark.range(3).selectExpr("id as item_id", "cast(null as string) as text")
+    assert decontam.report(docs, nulls).where("n_hit = 0").count() == 4
+
+
 def cases(spark, docs, rows):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(9)]
