@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, running_total
+from .common import durable, fresh, release, running_total
 
 BLOCK = 64
 ROUNDS = 12
+#: Numbers that one row is made into.
+PART = 4096
 
 
 def words(text: Column) -> Column:
@@ -48,40 +50,64 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), total: flo
     return level.select("source", "source_size", F.least(at * F.col("_weight"), most * F.col("source_size")).cast("double").alias("target"))
 
 
+def in_parts(first: Column, count: Column, name: str, df: DataFrame) -> DataFrame:
+    """df with a row for each of the `count` numbers from `first`; ranges are cut and dealt before they are numbered."""
+    cut = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((count - 1) / PART)))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_part", cut).repartition(parts, F.xxhash64(*df.columns, "_part"))
+    return dealt.withColumn(name, F.explode(F.sequence(first + F.col("_part") * PART, first + F.least((F.col("_part") + 1) * PART, count) - 1))).drop("_part")
+
+
+def draws(plan: DataFrame, shards: int, seed: int) -> DataFrame:
+    """plan (source, epoch, slots) with a row for each output shard: shard, count, first, place.
+
+    Each slot of a source draws its output shard by a hash, so the counts of a source over the shards are multinomial, and
+    add up to its slots. `first` numbers the source's slots shard by shard, `place` the slots of a shard, of all sources.
+    """
+    own = plan.select("source", "epoch", "slots")
+    drawn = in_parts(F.lit(0).cast("long"), F.col("slots"), "k", own).groupBy("source", "epoch", F.pmod(F.xxhash64(F.lit(seed), "source", "epoch", "k"), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("count"))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("count").over(before("source", "epoch").orderBy("shard")), F.lit(0))
+    place = F.coalesce(F.sum("count").over(before("shard").orderBy("source", "epoch")), F.lit(0))
+    return durable(drawn.select("source", "epoch", "shard", "count", first.alias("first"), place.alias("place")))
+
+
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), total: float = 1.5, most: float = 2.0, block: int = BLOCK, shards: int = 64, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """The mix of docs: (rows, pieces).
 
-    rows: row id (a hash of id and text, and a number among equal ones), id, source, size, source_size, target, start.
-    pieces: row_id, epoch, shard, slot, word_from, word_to: words of a row that a slot of an output shard takes.
+    rows: id, tag (a hash of id and text), source, size, source_size, target, start (words of the source before the row).
+    pieces: words word_from to word_to of the row of source, id, tag and start, which slot `slot` of output shard `shard`
+    takes in `epoch`.
 
     Each source's words, its rows in a fixed order, are packed into blocks of `block` words; the last may be short.
-    A source's slots are numbered; each draws its output shard by a hash, so the counts of a source over the shards are
-    multinomial draws that add up to its target. Slot k of an epoch takes the block to which the epoch's permutation
-    maps k (the short block comes last); the very last slot takes only the words that are left of the target, which is
-    thereby met exactly once rounded. Epochs are whole passes, so no word is taken more than ceil(most) times.
-    Null text has no words; null sources are a source of their own; rows that are equal are kept apart.
+    Each output shard takes as many blocks of a source as were drawn for it (`draws`); its slots go through the epoch's
+    permutation of the source's blocks (the short one comes last), and blocks are joined by that index. The very last
+    slot takes only the words that are left of the target, which is thereby met exactly once rounded. Epochs are whole
+    passes, so no word is taken more than ceil(most) times. Null text has no words; null sources are a source of their
+    own; rows that are equal are kept apart.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("tag"))
     own = durable(own)
     sizes = own.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = durable(targets(sizes, weights, total, most))
     placed = durable(running_total(own, ["source"], ["id", "tag", "size"], F.col("size"), "start"))
-    goal = goals.select(F.col("source").alias("_source"), "source_size", "target")
+    release(own)
+    goal = F.broadcast(goals.select(F.col("source").alias("_source"), "source_size", "target"))
     rows = placed.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
 
     cut = F.explode(F.sequence((F.col("start") / block).cast("long"), ((F.col("start") + F.col("size") - 1) / block).cast("long")))
     held = placed.where("size > 0").select("source", "id", "tag", "start", "size", cut.alias("block"))
     plan = goals.withColumn("words", F.round("target").cast("long")).where("words > 0 and source_size > 0")
-    plan = plan.withColumn("full", F.floor(F.col("source_size") / block)).withColumn("blocks", F.ceil(F.col("source_size") / block))
     plan = plan.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("words") - 1) / F.col("source_size")))))
     plan = plan.withColumn("left", F.least(F.col("words") - F.col("epoch") * F.col("source_size"), F.col("source_size")))
-    # A source may need many slots, so its range is cut up before it is numbered.
-    slot_count = F.ceil(F.col("left") / block)
-    plan = plan.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((slot_count - 1) / 4096)))).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "source", "epoch", "part")
-    plan = plan.withColumn("k", F.explode(F.sequence(F.col("part") * 4096, F.least((F.col("part") + 1) * 4096, slot_count) - 1)))
+    plan = plan.withColumn("slots", F.ceil(F.col("left") / block)).select("source", "epoch", F.floor(F.col("source_size") / block).alias("full"), "left", "slots")
+    told = draws(plan, shards, seed)
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("epoch") == F.col("_epoch"))
+    told = told.join(F.broadcast(plan.select(F.col("source").alias("_source"), F.col("epoch").alias("_epoch"), "full", "left")), same).drop("_source", "_epoch")
+    slots = in_parts(F.col("first"), F.col("count"), "k", told)
     image = shuffled(F.col("k"), F.greatest(F.col("full"), F.lit(1)), F.xxhash64(F.lit(seed), "source", "epoch"))
     at = F.when(F.col("k") < F.col("full"), image).otherwise(F.col("k"))
-    slots = plan.select(F.col("source").alias("_source"), "epoch", F.col("k").alias("slot"), F.pmod(F.xxhash64(F.lit(seed), "source", "epoch", "k"), F.lit(shards)).cast("int").alias("shard"), at.alias("_block"), F.least(F.lit(block).cast("long"), F.col("left") - F.col("k") * block).alias("take"))
+    slots = slots.select(F.col("source").alias("_source"), "epoch", "shard", (F.col("place") + F.col("k") - F.col("first")).alias("slot"), at.alias("_block"), F.least(F.lit(block).cast("long"), F.col("left") - F.col("k") * block).alias("take"))
     # Both sides grow with the words, though the plan takes the slots for few; so neither is broadcast.
     met = held.join(slots.hint("merge"), (F.col("block") == F.col("_block")) & F.col("source").eqNullSafe(F.col("_source")))
     low = F.greatest(F.col("start"), F.col("block") * block)
@@ -104,26 +130,30 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     number of characters renewed. Documents of which nothing is taken, so also those without words, are left out.
     """
     rows, pieces = mixture(docs, id_col, text_col, source_col, **settings)
+    names = {c: fresh(docs, c) for c in ("_i", "_t", "_s", "_copy", "_copies", "_epochs", "_e", "_listed", "_new")}
     size = rows.where("size > 0").select(F.col("id").alias("_i"), F.col("tag").alias("_t"), "size", F.col("start").alias("_b"), F.col("source").alias("_s"))
     taken = pieces.groupBy("source", "id", "tag", "start", "epoch").agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("_runs"), F.sum(F.col("word_to") - F.col("word_from")).alias("_taken"))
+    taken = taken.groupBy("source", "id", "tag", "start").agg(F.collect_list(F.struct("epoch", "_runs", "_taken")).alias("_epochs"))
     on = F.col("id").eqNullSafe(F.col("_i")) & (F.col("tag") == F.col("_t")) & (F.col("start") == F.col("_b")) & F.col("source").eqNullSafe(F.col("_s"))
-    taken = taken.join(size, on).withColumn("_whole", F.col("_taken") == F.col("size"))
-    # Equal rows are interchangeable: the copies of a row are numbered on both sides.
-    ranked = taken.groupBy("id", "tag", "_b").agg(F.collect_list(F.struct("epoch", "_runs", "_whole")).alias("_epochs"))
-    numbered = ranked.withColumn("_copy", F.row_number().over(Window.partitionBy("id", "tag").orderBy("_b"))).select(F.col("id").alias("_id"), F.col("tag").alias("_tag"), "_copy", "_epochs")
-    names = docs.columns
-    tagged = docs.withColumn("_tag_of", F.xxhash64(F.col(id_col), F.col(text_col)))
-    one = numbered.where("_copy = 1").drop("_copy")
-    if numbered.where("_copy > 1").isEmpty():
-        met = tagged.join(one, (F.col("_tag_of") == F.col("_tag")) & F.col(id_col).eqNullSafe(F.col("_id")))
-    else:
-        tagged = tagged.withColumn("_copy_of", F.row_number().over(Window.partitionBy("_tag_of", id_col).orderBy(F.lit(0))))
-        met = tagged.join(numbered, (F.col("_tag_of") == F.col("_tag")) & F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_copy_of") == F.col("_copy")))
-    out = met.withColumn("_e", F.explode("_epochs"))
-    listed = F.regexp_extract_all(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    joined = F.array_join(F.transform(F.col("_e._runs"), lambda r: F.array_join(F.slice(F.col("_listed"), (r["word_from"] + 1).cast("int"), (r["word_to"] - r["word_from"]).cast("int")), " ")), " ")
-    out = out.withColumn("_listed", F.when(~F.col("_e._whole"), listed)).withColumn("_new", F.when(F.col("_e._whole"), F.col(text_col)).otherwise(joined))
-    changed = {text_col: F.col("_new")}
-    if chars_col and chars_col in names:
-        changed[chars_col] = F.when(F.col("_e._whole"), F.col(chars_col)).otherwise(F.length("_new").cast("long"))
-    return out.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(f"`{c}`") for c in names])
+    # Rows of equal id, text and source are interchangeable; they are numbered on both sides, so each is taken as itself.
+    copies = rows.where("size > 0").groupBy("source", "id", "tag").agg(F.count("*").alias("_copies"))
+    each = Window.partitionBy("source", "id", "tag").orderBy("start")
+    listed = size.join(taken, on, "left").select(F.col("_s").alias("source"), F.col("_i").alias("id"), F.col("_t").alias("tag"), F.col("_b").alias("start"), "size", "_epochs").withColumn("_copy", F.row_number().over(each)).where("_epochs is not null")
+    listed = listed.join(copies.withColumnsRenamed({"source": "_cs", "id": "_ci", "tag": "_ct"}), F.col("source").eqNullSafe(F.col("_cs")) & F.col("id").eqNullSafe(F.col("_ci")) & (F.col("tag") == F.col("_ct")))
+    listed = durable(listed.select(F.col("source").alias(names["_s"]), F.col("id").alias(names["_i"]), F.col("tag").alias(names["_t"]), F.col("_copy").alias(names["_copy"]), F.col("_copies").alias(names["_copies"]), F.transform("_epochs", lambda e: F.struct(e["_runs"].alias("runs"), (e["_taken"] == F.col("size")).alias("whole"))).alias(names["_epochs"])))
+    one = {"id": F.col(f"`{id_col}`"), "text": F.col(f"`{text_col}`"), "source": F.col(f"`{source_col}`").cast("string")}
+    same = (F.xxhash64(one["id"], one["text"]) == F.col(names["_t"])) & one["id"].eqNullSafe(F.col(names["_i"])) & one["source"].eqNullSafe(F.col(names["_s"]))
+    several = listed.where(F.col(names["_copies"]) > 1)
+    copy = fresh(listed, fresh(docs, "_copy_of"))
+    number = F.row_number().over(Window.partitionBy(one["id"], one["source"], F.xxhash64(one["id"], one["text"])).orderBy(F.lit(0)))
+    some = docs.join(several.select(names["_t"], names["_i"], names["_s"]).distinct(), same, "left_semi").withColumn(copy, number)
+    out = docs.join(listed.where(F.col(names["_copies"]) == 1), same).unionByName(some.join(several, same & (F.col(copy) == F.col(names["_copy"]))).drop(copy))
+    e = names["_e"]
+    out = out.withColumn(e, F.explode(names["_epochs"]))
+    split = F.regexp_extract_all(one["text"], F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    joined = F.array_join(F.transform(F.col(f"{e}.runs"), lambda r: F.array_join(F.slice(F.col(names["_listed"]), (r["word_from"] + 1).cast("int"), (r["word_to"] - r["word_from"]).cast("int")), " ")), " ")
+    out = out.withColumn(names["_listed"], F.when(~F.col(f"{e}.whole"), split)).withColumn(names["_new"], F.when(F.col(f"{e}.whole"), one["text"]).otherwise(joined))
+    changed = {text_col: F.col(names["_new"])}
+    if chars_col and chars_col in docs.columns:
+        changed[chars_col] = F.when(F.col(f"{e}.whole"), F.col(f"`{chars_col}`")).otherwise(F.length(names["_new"]).cast("long"))
+    return out.select(*[changed[c].cast(docs.schema[c].dataType).alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])

@@ -113,6 +113,36 @@ def test_slots_use_a_permutation_and_spread_over_shards(spark):
     assert sorted(x) == list(range(1000)) and sum(abs(a - i) for i, a in enumerate(x)) > 200_000
 
 
+def test_the_mix_comes_from_the_counts_drawn_for_each_shard(spark, docs):
+    from pyspark.sql import functions as F
+
+    rows, pieces = mixing.mixture(docs, block=8, shards=4)
+    plan = spark.createDataFrame([("a", 0, 1000), ("a", 1, 7), (None, 0, 9000)], "source string, epoch long, slots long")
+    drawn = mixing.draws(plan, 4, 42).collect()
+    assert {(s, e): sum(r["count"] for r in drawn if (r.source, r.epoch) == (s, e)) for s, e in (("a", 0), ("a", 1), (None, 0))} == {("a", 0): 1000, ("a", 1): 7, (None, 0): 9000}
+    big = [r["count"] for r in drawn if r.source is None]
+    assert 0 < max(big) - min(big) < 400  # drawn, not dealt evenly
+    # Slots of a shard are numbered without gaps over all sources, and a slot takes words of one block of one source.
+    slots = pieces.groupBy("shard", "slot").agg(F.count_distinct("source", "epoch").alias("k"), F.sum(F.col("word_to") - F.col("word_from")).alias("w"), F.min((F.col("start") + F.col("word_from")) / 8).alias("a"), F.max((F.col("start") + F.col("word_to") - 1) / 8).alias("b")).collect()
+    for shard in range(4):
+        assert sorted(r.slot for r in slots if r.shard == shard) == list(range(sum(r.shard == shard for r in slots)))
+    assert all(r.k <= 1 and r.w <= 8 and int(r.a) == int(r.b) for r in slots) and len({sum(r.shard == s for r in slots) for s in range(4)}) > 1
+    assert sum(r.w for r in slots) == sum(r.taken for r in mixing.words_taken(rows, pieces).collect())
+
+
+def test_equal_rows_of_two_sources_are_taken_apart(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, text, "A"), (1, text, "B"), (2, text, "A"), (2, text, "A"), (3, text + " end", "B"), (None, text, None), (None, text, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as _copies")
+    taken = Counter()
+    for r in mixing.words_taken(*mixing.mixture(docs)).collect():
+        taken[r.id, r.source] += r.taken
+    held = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        held[r.doc_id, r.source] += len(r.text.split())
+    assert held == taken
+
+
 def test_mixed_documents_hold_the_words_taken(docs, empty):
     taken = Counter()
     for r in mixing.words_taken(*mixing.mixture(docs, block=8)).collect():
