@@ -83,6 +83,17 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
+def spread_join(rows: DataFrame, key: str, table: DataFrame, name: str, n: str, total: int) -> DataFrame:
+    """rows joined with table, which has a row for each key (`name`), not null, and the number `n` of rows with it.
+
+    Keys that over a 4096th of all `total` rows have are fewer than 4096: these are broadcast, so that no hot key is one
+    task; the other keys are joined as Spark chooses.
+    """
+    on = F.col(key) == F.col(name)
+    hot = table.where(F.col(n) > total / 4096)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(name)), on, "left_anti").join(table, on))
+
+
 def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: Column, out: str) -> DataFrame:
     """df with `out`: the sum of `amount` over the rows of the same keys that come before, in a fixed order.
 

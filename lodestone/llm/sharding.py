@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 
 from pyspark.sql import DataFrame, Window
@@ -73,17 +74,18 @@ def in_pieces(rows: DataFrame, pieces: list[tuple[str, int, int, int]]) -> DataF
     return out
 
 
-def propagate(state: DataFrame, room: list[int], rounds: int = 6) -> DataFrame:
+def propagate(state: DataFrame, room: list[int], rounds: int | None = None) -> DataFrame:
     """Labels after propagation. state: group, shard, n rows of the group in the shard; room: rows a shard may hold.
 
     In each round a group's rows elsewhere would go to the shard that holds most of the group (of equal ones, a fixed
     choice by group). A shard accepts moves while its quota lasts, those of the largest gain first: moves are summed by
     target, gain and a hash cell, and all cells up to the quota are accepted. Groups and cells that alone pass the
-    quota are left out of the sums. It ends when no move is accepted.
+    quota are left out of the sums. It ends when no move is accepted, which it comes to, as a group that has moved is
+    whole; or after `rounds`, if given.
     """
     spark = state.sparkSession
     shards = len(room)
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
         free = F.broadcast(spark.createDataFrame([(s, max(0, room[s] - load.get(s, 0))) for s in range(shards)], "_s int, free long"))
         best = state.groupBy(F.col("group").alias("_g")).agg(F.max(F.struct(F.col("n").alias("most"), F.pmod(F.xxhash64("group", "shard"), F.lit(1 << 20)).alias("_tie"), F.col("shard").alias("to"))).alias("b"), F.sum("n").alias("all"))
@@ -131,7 +133,7 @@ def settled(state: DataFrame, room: list[int]) -> tuple[DataFrame, list[tuple[st
     return whole.select("group", "shard").unionByName(fit.select("group", "shard")), pack(across, free)
 
 
-def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, rounds: int = 6) -> DataFrame:
+def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8, rounds: int | None = None) -> DataFrame:
     """Columns id, size, text_crc32, law, shard, slot for every row of docs.
 
     Documents of equal text are linked. Law `rows`: the shards' row counts are at most one apart. Groups of more than
@@ -151,7 +153,10 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     limit = max(1, total // shards // LARGE)
     pieces = pack([(r["_g"], r["n"]) for r in counts.where(F.col("n") > limit).collect()], room)  # about LARGE rows a shard
     small = counts.where(F.col("n") <= limit)
-    linked = durable(own.join(small, F.col("group") == F.col("_g"), "left_semi"))
+    # The few large groups are told by broadcast, so that no join deals one to a single task.
+    large = docs.sparkSession.createDataFrame([(g,) for g in {p[0] for p in pieces}], "_g string")
+    others = own.join(F.broadcast(large), F.col("group") == F.col("_g"), "left_anti")
+    linked = durable(others.join(small, F.col("group") == F.col("_g"), "left_semi"))
     tied = linked.count()
     placed = in_pieces(own, pieces)
     if tied:
@@ -166,9 +171,9 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             placed = placed.unionByName(in_pieces(linked, across))
     placed = durable(placed)
     load = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row a shard
-    alone = own.join(counts, F.col("group") == F.col("_g"), "left_anti")
+    alone = others.join(small, F.col("group") == F.col("_g"), "left_anti")
     filler = running_total(alone, [], ["id", "group"], F.lit(1), "at")
     bounds = ends([r - load.get(s, 0) for s, r in enumerate(capacities(total, shards))])
     placed = durable(placed.unionByName(filler.withColumn("shard", within(F.col("at"), bounds)).drop("at")))
     numbered = running_total(placed, ["shard"], ["id", "group"], F.lit(1), "slot")
-    return numbered.select("id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("int").alias("slot"))
+    return numbered.select("id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))

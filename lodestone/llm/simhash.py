@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable
+from .common import columns, components, durable, fresh, spread_join
 
 #: Longer runs of equal masked bits are split by further masks before their members are compared.
 RUN_LIMIT = 4096
@@ -37,15 +37,16 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """Columns id and fp (the fingerprint as a signed long) for every row of docs."""
+    """Columns id (of its own type), tag (a hash of the text) and fp (the fingerprint as a signed long), for every row of docs."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = np.array([fingerprint(t, width) for t in pdf["text"]], np.uint64)
-            yield pd.DataFrame({"id": pdf["id"], "fp": fp.view(np.int64)})
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(2)), np.uint64, len(batch))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], ["id", "tag", "fp"])
 
-    part = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return part.mapInPandas(sign, "id long, fp long")
+    text = F.col(f"`{text_col}`").cast("string")
+    part = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    return part.mapInArrow(sign, f"id {part.schema['id'].dataType.simpleString()}, tag long, fp long")
 
 
 def covering_masks(radius: int, bits: int = 64, seed: int = 7) -> list[int]:
@@ -90,15 +91,35 @@ def spanning_links(values: np.ndarray, radius: int, masks: list[int] | None = No
     return out
 
 
+def split_groups(rows: DataFrame, masks: list[int], levels: int = 3) -> DataFrame:
+    """rows (path, key, fp) with the groups of more than RUN_LIMIT rows split by each of the masks, up to `levels` times.
+
+    Two fingerprints within the radius agree under one of the masks, in a group as well as among all; so they meet in
+    a part. Only the numbers of the large groups' rows are counted, as sums.
+    """
+    table = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)]))
+    done = None
+    for _ in range(levels):
+        large = durable(rows.groupBy(F.col("path").alias("_path"), F.col("key").alias("_key")).count().where(F.col("count") > RUN_LIMIT).drop("count"))
+        if large.isEmpty():
+            break
+        on = (F.col("path") == F.col("_path")) & (F.col("key") == F.col("_key"))
+        small = rows.join(large, on, "left_anti")
+        done = small if done is None else done.unionByName(small)
+        cut = rows.join(large, on, "left_semi").select("path", "key", "fp", table.alias("t"))
+        rows = durable(cut.select(F.xxhash64("path", "key", "t.mask").alias("path"), F.col("t.bits").alias("key"), "fp"))
+    return rows if done is None else done.unionByName(rows)
+
+
 def links(distinct: DataFrame, radius: int = 4, fp: str = "fp") -> DataFrame:
     """Links a, b between distinct fingerprints: enough of the pairs within `radius` bits to join each component."""
     masks = covering_masks(radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    table = F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)]))
-    rows = distinct.select(F.col(fp).alias("fp")).where("fp is not null").select("fp", table.alias("t")).select("t.mask", "t.key", "fp")
+    table = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("path"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)]))
+    rows = distinct.select(F.col(fp).alias("fp")).where("fp is not null").select("fp", table.alias("t")).select("t.path", "t.key", "fp")
 
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def close(group: np.ndarray, value: np.ndarray) -> pd.DataFrame:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(group: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
             cuts = np.flatnonzero((np.diff(group, axis=0) != 0).any(axis=1)) + 1
             starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(value)]))
             n = ends - starts
@@ -108,47 +129,70 @@ def links(distinct: DataFrame, radius: int = 4, fp: str = "fp") -> DataFrame:
             for s, e in zip(starts[n > 2].tolist(), ends[n > 2].tolist()):
                 found += spanning_links(value[s:e], radius, masks)
             out = np.concatenate(found).view(np.int64)
-            return pd.DataFrame({"a": out.min(axis=1, initial=2**63 - 1), "b": out.max(axis=1, initial=-(2**63))})
+            return pa.RecordBatch.from_arrays([pa.array(out.min(axis=1, initial=2**63 - 1)), pa.array(out.max(axis=1, initial=-(2**63)))], ["a", "b"])
 
-        held_group, held = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
-        for pdf in batches:
-            group = np.concatenate([held_group, pdf[["mask", "key"]].to_numpy(np.int64)])
-            value = np.concatenate([held, pdf["fp"].to_numpy(np.int64).view(np.uint64)])
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # parts of the group that is not over yet
+        for batch in batches:
+            path, key, value = (batch.column(i).to_numpy() for i in range(3))
             if not len(value):
                 continue
-            last = len(value) - 1 - int(np.argmax((group[::-1] != group[-1]).any(axis=1))) if (group != group[-1]).any() else -1
-            if last >= 0:
-                yield close(group[: last + 1], value[: last + 1])
-            held_group, held = group[last + 1 :], value[last + 1 :]
-        if len(held):
-            yield close(held_group, held)
-
-    dealt = rows.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
-    return dealt.mapInPandas(join, "a long, b long").distinct()
+            group = np.stack([path, key], axis=1)
+            value = value.view(np.uint64)
+            other = np.flatnonzero((group != group[-1]).any(axis=1))
+            last = int(other[-1]) + 1 if len(other) else 0
+            if last or held and (held[0][0][0] != group[0]).any():
+                held.append((group[:last], value[:last]))
+                yield close(*map(np.concatenate, zip(*held)))
+                held = []
+            held.append((group[last:], value[last:]))
+        if held:
+            yield close(*map(np.concatenate, zip(*held)))
+
+    dealt = split_groups(rows, signed).repartition("path", "key").sortWithinPartitions("path", "key", "fp")
+    return dealt.mapInArrow(join, "a long, b long").distinct()
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of docs, and for each fingerprint (node): n rows, its least row, its component's label and least row.
+
+    A row goes by (whether its id is null, id, tag), so that null ids come last; the label is a fingerprint.
+    """
+    fps = durable(fingerprints(docs, id_col, text_col, width))
+    row = F.struct(F.col("id").isNull().alias("no_id"), "id", "tag")
+    nodes = durable(fps.groupBy(F.col("fp").alias("node")).agg(F.min(row).alias("least"), F.count("*").alias("n")))
+    labels = components(links(nodes, radius, "node")).withColumnRenamed("node", "_node")
+    nodes = durable(nodes.join(labels, F.col("node") == F.col("_node"), "left").select("node", "n", "least", F.coalesce("label", "node").alias("label")))
+    tops = nodes.groupBy(F.col("label").alias("_label")).agg(F.min("least").alias("top"))
+    return fps, durable(nodes.join(tops, F.col("label") == F.col("_label")).select("node", "n", "label", "top"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """Columns id, fp, component (the least id that links of at most `radius` bits reach) for every row of docs.
 
     Equal fingerprints are one node, so copies are never paired. Rows with a null id belong to the component of
-    their fingerprint, whose least id is null if it has no other. Empty input gives an empty table.
+    their fingerprint, whose least id is null if it has no other. Ids keep their type. Empty input gives an empty table.
     """
-    fps = durable(fingerprints(docs, id_col, text_col, width))
-    nodes = durable(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    labels = components(links(nodes, radius))
-    linked = nodes.join(labels, F.col("fp") == F.col("node")).select("fp", "least", "label")
-    tops = linked.groupBy(F.col("label").alias("top")).agg(F.min("least").alias("lowest"))
-    named = linked.join(tops, F.col("label") == F.col("top")).select(F.col("fp").alias("linked_fp"), "lowest")
-    whole = nodes.join(named, F.col("fp") == F.col("linked_fp"), "left").select(F.col("fp").alias("node_fp"), F.when(F.col("linked_fp").isNull(), F.col("least")).otherwise(F.col("lowest")).alias("component"))
-    return fps.join(whole, F.col("fp") == F.col("node_fp")).select("id", "fp", "component")
+    fps, nodes = _classes(docs, id_col, text_col, width, radius)
+    met = spread_join(fps, "fp", nodes, "node", "n", fps.count())
+    return met.select("id", "fp", F.col("top.id").alias("component"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """docs with one row of each component: that of the least id (of equal ids, the first by text). All columns stay."""
-    found = durable(near_duplicates(docs, id_col, text_col, width, radius))
-    keep = found.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("component", "id").count()
-    stay = docs.join(keep.select(F.col("id").alias("_keep_id")), F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")), "left_semi")
-    if keep.where("count > 1").isEmpty():
-        return stay
-    first = Window.partitionBy(id_col).orderBy(text_col)
-    return stay.withColumn("_first_of_id", F.row_number().over(first)).where("_first_of_id = 1").drop("_first_of_id")
+    """docs with one row of each component: that of the least id, null ids last (of equal ids, of one text). All columns stay.
+
+    Components go by a label of their own, so that repeated and null ids make no two of them one. Of rows that are equal
+    in id and text, that of the least columns by text stays.
+    """
+    fps, nodes = _classes(docs, id_col, text_col, width, radius)
+    names = {c: fresh(docs, c) for c in ("_id", "_tag", "_times", "_row")}
+    tops = nodes.select("top.id", "top.tag").distinct()  # one for each component: rows of equal text have one fingerprint
+    on = F.col("id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag"))
+    times = fps.groupBy(F.col("id").alias("_id"), F.col("tag").alias("_tag")).agg(F.count("*").alias("_times"))
+    stay = durable(tops.join(times, on).select(*[F.col(c).alias(names[c]) for c in ("_id", "_tag", "_times")]))
+    one, tag = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    same = one.eqNullSafe(F.col(names["_id"])) & (tag == F.col(names["_tag"]))
+    alone = docs.join(stay.where(F.col(names["_times"]) == 1), same, "left_semi")
+    # Repeated rows: partial minima meet, so that not even a third of all rows is one task.
+    several = docs.join(stay.where(F.col(names["_times"]) > 1), same, "left_semi")
+    first = several.groupBy(one.alias(names["_id"]), tag.alias(names["_tag"])).agg(F.min_by(F.struct(*columns(docs)), F.to_json(F.struct(*columns(docs)))).alias(names["_row"]))
+    return alone.unionByName(first.select(f"{names['_row']}.*"))

@@ -74,6 +74,32 @@ def test_keep_one_keeps_columns_and_one_row_of_each_component(docs, rows, empty)
     assert simhash.keep_one(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
+def test_keep_one_keeps_unrelated_rows_of_equal_and_null_ids(spark):
+    words = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    rows = [(2, words[0], "x"), (2, words[1], "x"), (None, words[2], "x"), (None, words[3], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    assert Counter(map(tuple, simhash.keep_one(docs).collect())) == Counter(rows)
+    more = [*rows, (2, words[0], "y"), (None, words[2], None), (5, words[2], "x"), (7, None, "n"), (7, None, "n"), (None, "", "n"), (9, words[0].upper(), "x")]
+    got = Counter(map(tuple, simhash.keep_one(spark.createDataFrame(more, docs.schema)).collect()))
+    kept = Counter(r[:2] for r in got.elements())
+    assert kept == Counter([(2, words[0]), (2, words[1]), (5, words[2]), (None, words[3]), (7, None)])
+    named = spark.createDataFrame([("b", words[0]), ("a", words[0]), ("c", None)], "doc_id string, text string")
+    assert {(r.id, r.component) for r in simhash.near_duplicates(named).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+
+
+def test_large_groups_under_a_mask_are_split_before_the_join(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**62, 40)
+    values = sorted({int(v) for v in [*base, *(base ^ 7), *(base ^ (1 << 50 | 1 << 20)), *(base[:20] ^ 0b111110000)]})
+    monkeypatch.setattr(simhash, "RUN_LIMIT", 3)
+    got = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long")).collect()
+    want, label = classes(values, 4), {v: v for v in values}
+    for _ in values:
+        for a, b in got:
+            label[a] = label[b] = min(label[a], label[b])
+    assert all((label[a] == label[b]) == (want[a] == want[b]) for a in values for b in values)
+
+
 def plain_targets(sizes, weights=(3, 1, 2)):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
@@ -195,6 +221,17 @@ def test_groups_end_whole_beside_one_too_large_for_a_shard(spark):
     assert all(len(g) == 1 for g in groups.values())
 
 
+def test_linked_pairs_meet_when_every_row_is_linked(spark):
+    rows = [(i, f"t{i % 80}") for i in range(160)]
+    out = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = out.collect()
+    groups = defaultdict(set)
+    for r in got:
+        groups[rows[r.id][1]].add(r.shard)
+    assert all(len(g) == 1 for g in groups.values()) and sorted(Counter(r.shard for r in got).values()) == [20] * 8
+    assert dict(out.dtypes)["slot"] == "bigint"
+
+
 def plain_sketch(hash_of, text, scale=8):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
     keys = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
