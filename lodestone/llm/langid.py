@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import code_points, durable, mix, slices
+from .common import code_points, durable, mix, runs, slices, span_hashes
 
 #: Buckets of letter sequences; the model is this many rows of one number a language.
 BUCKETS = 1 << 17
 #: Labelled documents of each language that a model is fitted on at most.
 FIT_ROWS = 4000
+#: Characters of the texts that are taken through the best-path search together, about.
+TOGETHER = 1_500_000
 #: Of its own letters, what a language has more of in each script that it may be used in.
 SCRIPT_SHARE = 0.001
 #: Unicode ranges of scripts.
@@ -47,9 +49,9 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of texts (runs of letters, lower case) and the letter sequences in them.
+    """Words of texts (runs of letters, lower case), and the letter sequences in the different ones among them.
 
-    grams: buckets of the 1 to 4 letters that end at each letter, over a word with a mark before and after it.
+    `each` tells which of the different words a word is. Sequences are taken of each different word once.
     """
 
     def __init__(self, texts: Sequence[str | None]):
@@ -57,21 +59,26 @@ class Words:
         same = [len(a) == len(t or "") for a, t in zip(low, texts)]
         points, begin = code_points([a if s else "".join(c.lower()[:1] for c in t) for a, s, t in zip(low, same, texts)])
         letter, script = tables()
-        is_letter = letter[points]
-        edge = np.diff(np.concatenate(([0], is_letter.view(np.int8), [0])))
-        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.row = np.searchsorted(begin, self.start, "right") - 1
-        self.begin, self.script = begin, script[points[self.start]] if len(self.start) else np.zeros(0, np.int8)
-        marked = np.where(is_letter, points, 0).astype(np.uint64)
-        # A position belongs to the word whose letters or closing mark it holds.
-        self.inside = is_letter | np.concatenate(([False], is_letter[:-1]))
-        self.marked = marked
+        self.start, self.end = runs(letter[points])
+        self.begin, self.row = begin, np.searchsorted(begin, self.start, "right") - 1
+        self.script = script[points[self.start]] if len(self.start) else np.zeros(0, np.int8)
+        _, first, self.each = np.unique(span_hashes(points, self.start, self.end), return_index=True, return_inverse=True)
+        # The different words one after the other, a mark before each and after each.
+        self.first = first
+        size = (self.end - self.start)[first]
+        self.size = size + 1
+        self.at = np.cumsum(self.size) - self.size
+        self.place = np.arange(int(self.size.sum())) - np.repeat(self.at, self.size)
+        source = np.minimum(self.place + np.repeat(self.start[first], self.size), max(len(points) - 1, 0))
+        self.marked = np.where(self.place < np.repeat(size, self.size), points[source], 0).astype(np.uint64)
 
     def grams(self, n: int) -> np.ndarray:
-        """Bucket of the n code points that end at each position (whatever stands there)."""
+        """Bucket of the n code points that end at each letter and at the mark behind each word; none reach before the word's
+        own mark."""
         h = self.marked.copy()
         for k in range(1, n):
-            h[k:] = h[k:] * np.uint64(0x100000001B3) + self.marked[:-k]
+            h[k:] = h[k:] * np.uint64(0x100000001B3) + np.where(self.place[k:] >= k, self.marked[:-k], np.uint64(0))
+            h[:k] *= np.uint64(0x100000001B3)
         return (mix(h + np.uint64(n << 40)) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
@@ -82,18 +89,16 @@ class Model:
         self.langs, self.weights, self.allowed, self.switch = langs, weights, allowed, switch
 
     def scores(self, words: Words) -> np.ndarray:
-        """Score of each word in each language; languages not seen in the word's script are far below."""
-        k = len(self.langs)
-        total = np.zeros((len(words.marked) + 1, k), np.float32)
-        for n in SIZES:
-            total[1:] += self.weights[words.grams(n)]
-        total[1:][~words.inside] = 0
-        run = np.cumsum(total, axis=0, dtype=np.float64)
-        # A word's letters and its closing mark; the next word starts after that mark.
-        stop = np.minimum(words.end + 1, len(words.marked))
-        out = run[stop] - run[words.start]
-        ok = self.allowed[words.script]
-        return np.where(ok | ~ok.any(axis=1, keepdims=True), out, out.min(axis=1, initial=0.0)[:, None] - 50.0)
+        """Score of each word in each language, from the word alone; languages not seen in its script are far below."""
+        if not len(words.at):
+            return np.zeros((0, len(self.langs)))
+        total = self.weights[words.grams(SIZES[0])]
+        for n in SIZES[1:]:
+            total += self.weights[words.grams(n)]
+        own = np.add.reduceat(total, words.at, axis=0).astype(np.float64)
+        ok = self.allowed[words.script[words.first]]
+        own = np.where(ok | ~ok.any(axis=1, keepdims=True), own, own.min(axis=1, initial=0.0)[:, None] - 50.0)
+        return own[words.each]
 
     def paths(self, words: Words, n_rows: int) -> np.ndarray:
         """The language of each word on the best path of its text, switches being penalised.
@@ -104,24 +109,27 @@ class Model:
         counts = np.bincount(words.row, minlength=n_rows)
         first = np.cumsum(counts) - counts
         order = np.argsort(-counts, kind="stable")
-        width = counts[order]
+        first = first[order]
         best = np.zeros((n_rows, len(self.langs)))
-        back = np.zeros(score.shape, np.int8)
-        longest = int(width[0]) if n_rows else 0
-        live = np.searchsorted(-width, -np.arange(longest), "left")
+        back = np.zeros(score.shape, np.int32)
+        longest = int(counts[order[0]]) if n_rows else 0
+        live = np.searchsorted(-counts[order], -np.arange(longest), "left")
+        every = np.arange(len(self.langs), dtype=np.int32)
         for t in range(longest):
-            rows = order[: live[t]]
-            v = best[: live[t]]
+            m = live[t]
+            v, at = best[:m], first[:m] + t
             top = v.argmax(axis=1)
-            over = v.max(axis=1, keepdims=True) - self.switch
-            back[first[rows] + t] = np.where(v >= over, np.arange(v.shape[1]), top[:, None])
-            best[: live[t]] = np.maximum(v, over) + score[first[rows] + t]
-        out = np.zeros(len(score), np.int8)
-        state = best.argmax(axis=1).astype(np.int8)
+            over = v[np.arange(m), top][:, None] - self.switch
+            stay = v >= over
+            back[at] = np.where(stay, every, top[:, None])
+            best[:m] = np.where(stay, v, over) + score[at]
+        out = np.zeros(len(score), np.int32)
+        state = best.argmax(axis=1).astype(np.int32)
         for t in reversed(range(longest)):
-            at = first[order[: live[t]]] + t
-            out[at] = state[: live[t]]
-            state[: live[t]] = back[at, out[at]]
+            m = live[t]
+            at = first[:m] + t
+            out[at] = state[:m]
+            state[:m] = back[at, state[:m]]
         return out
 
 
@@ -155,7 +163,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", row
                 for part in slices(texts):
                     words = Words(texts[part])
                     for n in SIZES:
-                        sums += np.bincount(words.grams(n)[words.inside], minlength=BUCKETS)
+                        many = np.repeat(np.bincount(words.each, minlength=len(words.at)), words.size)
+                        sums += np.bincount(words.grams(n), weights=many, minlength=BUCKETS).astype(np.int64)
                     letters += np.bincount(words.script, weights=words.end - words.start, minlength=len(letters)).astype(np.int64)
                 seen = np.flatnonzero(sums)
                 yield pd.DataFrame({"lang": lang, "bucket": np.concatenate([seen, -1 - np.arange(len(letters))]), "n": np.concatenate([sums[seen], letters])})
@@ -191,7 +200,7 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for pdf in batches:
             texts = [t if isinstance(t, str) else None for t in pdf["text"]]
             langs, scores, found = [], [], []
-            for piece in slices(texts):
+            for piece in slices(texts, TOGETHER):
                 one = texts[piece]
                 words = Words(one)
                 sums = np.zeros((len(one), max(1, len(model.langs))))

@@ -13,8 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _remainder(n: int) -> Column:
-    """crc32 of doc_id as text, modulo n."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+    """crc32 of doc_id as text, modulo n; -1 if it is null."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n)), F.lit(-1))
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +22,8 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(_remainder(4) != 2))
-    found = spans(docs, model)
-    return found.select(F.col("id").alias("doc_id"), (F.pmod(F.crc32(F.col("id").cast("string")), F.lit(4)) == 2).alias("held_out"), F.col("lang").alias("lang_pred"), "score", "spans")
+    found = spans(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), F.col("lang").alias("lang_pred"), "score", "spans")
 
 
 def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import base64
+import os
+import pickle
 from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Environment variable with the path of the vocabulary file, and the path if it is not set.
+SETTING = "LODESTONE_VOCABULARY"
+VOCABULARY = os.environ.get(SETTING, "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: how texts are split before pair merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-tokens before an edit that are split anew: how they end may depend on what follows.
@@ -26,6 +31,8 @@ class Counter:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        # A pre-token is merged as it is: it is not split again, which a run of a million blanks would not survive.
+        self.merge = self.encoding._core_bpe.encode_single_piece
         self.split = regex.compile(pattern)
         self.known: dict[str, int] = {}
 
@@ -34,7 +41,7 @@ class Counter:
         if n is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            n = self.known[piece] = len(self.encoding.encode_ordinary(piece))
+            n = self.known[piece] = len(self.merge(piece.encode("utf-8", "replace")))
         return n
 
 
@@ -53,6 +60,9 @@ class CountTree:
     def _build(self, text: str, chars: list[int], tokens: list[int]) -> None:
         self.text = text
         self.blocks = [(chars[i : i + BLOCK], tokens[i : i + BLOCK]) for i in range(0, len(chars), BLOCK)] or [([], [])]
+        self._sums()
+
+    def _sums(self) -> None:
         self.leaves = 1 << (len(self.blocks) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.leaves), [0] * (2 * self.leaves)
         for i, (c, t) in enumerate(self.blocks):
@@ -60,6 +70,24 @@ class CountTree:
         for i in reversed(range(1, self.leaves)):
             self._add(i)
 
+    def stored(self) -> bytes:
+        """The tree without its text, to be kept beside it."""
+        flat = [np.array([n for b in self.blocks for n in b[k]], np.int64) for k in (0, 1)]
+        sizes = np.array([len(c) for c, _ in self.blocks], np.int64)
+        return pickle.dumps([x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (sizes, *flat)], 5)
+
+    @classmethod
+    def of(cls, text: str, stored: bytes, counter: Counter) -> CountTree:
+        """The tree that was stored beside text; nothing is counted again."""
+        self = cls.__new__(cls)
+        self.counter, self.recounted, self.text = counter, 0, text
+        sizes, chars, tokens = pickle.loads(stored)
+        ends = np.cumsum(sizes, dtype=np.int64).tolist()
+        chars, tokens = chars.tolist(), tokens.tolist()
+        self.blocks = [(chars[a:b], tokens[a:b]) for a, b in zip([0, *ends], ends)]
+        self._sums()
+        return self
+
     def _add(self, i: int) -> None:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
         self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
@@ -147,28 +175,74 @@ def ranks_of(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
+def vocabulary_of(vocabulary: str) -> dict[bytes, int]:
+    """The ranks of a vocabulary file on the driver; its size is fixed, whatever the documents."""
+    if not os.path.exists(vocabulary):
+        raise FileNotFoundError(f"no vocabulary file {vocabulary}: give its path as `vocabulary`, or set {SETTING}")
+    return ranks_of(vocabulary)
+
+
+def trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """Columns id, text, tree, n_tokens, for every row of docs: what is kept of each document, for edits to come.
+
+    A null text is empty. Ids keep their type. Written as a table, it is what `edited` takes, now or later.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary_of(vocabulary))
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(shared.value)
+        for batch in batches:
+            made = [CountTree(t, counter) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.stored() for t in made], pa.binary()), pa.array([t.total for t in made], pa.int64())], ["id", "text", "tree", "n_tokens"])
+
+    return own.mapInArrow(plant, f"id {own.schema['id'].dataType.simpleString()}, text string, tree binary, n_tokens long")
+
+
+def edited(kept: DataFrame, edits: Column, vocabulary: str = VOCABULARY) -> DataFrame:
+    """kept (of `trees`, or of this) after edits: id, text, tree, n_tokens, and recounted, the pre-tokens counted anew.
+
+    edits is an array of (start, end, text), applied one after the other to the text as it then stands; null means none.
+    Only what an edit touches and its context is encoded; all other counts come from the stored tree.
+    """
+    shared = kept.sparkSession.sparkContext.broadcast(vocabulary_of(vocabulary))
+    own = kept.select("id", "text", "tree", edits.cast("array<struct<start:int,end:int,text:string>>").alias("edits"))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(shared.value)
+        for batch in batches:
+            made = []
+            for text, stored, changes in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                tree = CountTree.of(text, stored, counter)
+                for e in changes or ():
+                    tree.edit(e["start"] or 0, e["end"] or 0, e["text"] or "")
+                made.append(tree)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.text for t in made], pa.string()), pa.array([t.stored() for t in made], pa.binary()), pa.array([t.total for t in made], pa.int64()), pa.array([t.recounted for t in made], pa.int64())], ["id", "text", "tree", "n_tokens", "recounted"])
+
+    return own.mapInArrow(apply, f"id {own.schema['id'].dataType.simpleString()}, text string, tree binary, n_tokens long, recounted long")
+
+
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """Columns id, n_tokens, edited_tokens, edited_chars, recounted, for every row of docs.
 
-    edits_col holds an array of (start, end, text), applied one after the other to the text as it then stands; null
-    means none. recounted is the number of pre-tokens that the edits had to count anew. A null text is empty. The
-    vocabulary is read on the driver and sent to the tasks; its size is fixed.
+    edits_col holds edits as `edited` takes them. The trees are made, stored and edited within the tasks, row by row;
+    to keep them for later edits, write what `trees` and `edited` return.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(ranks_of(vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary_of(vocabulary))
     kind = "array<struct<start:int,end:int,text:string>>"
-    edits = F.col(edits_col).cast(kind) if edits_col else F.lit(None).cast(kind)
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), edits.alias("edits"))
+    edits = F.col(f"`{edits_col}`").cast(kind) if edits_col else F.lit(None).cast(kind)
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), edits.alias("edits"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(shared.value)
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for text, changes in zip(pdf["text"], pdf["edits"]):
-                tree = CountTree(text if isinstance(text, str) else "", counter)
-                before = tree.total
-                for e in changes if changes is not None else ():
-                    tree.edit(e["start"], e["end"], e["text"] or "")
-                rows.append((before, tree.total, len(tree.text), tree.recounted))
-            yield pd.DataFrame({"id": pdf["id"]} | dict(zip(("n_tokens", "edited_tokens", "edited_chars", "recounted"), zip(*rows) if rows else [()] * 4)))
-
-    return own.mapInPandas(count, f"id {own.schema['id'].dataType.simpleString()}, n_tokens long, edited_tokens long, edited_chars long, recounted long")
+            for text, changes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                kept = CountTree(text, counter)
+                tree = CountTree.of(text, kept.stored(), counter)
+                for e in changes or ():
+                    tree.edit(e["start"] or 0, e["end"] or 0, e["text"] or "")
+                rows.append((kept.total, tree.total, len(tree.text), tree.recounted))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(4))], ["id", "n_tokens", "edited_tokens", "edited_chars", "recounted"])
+
+    return own.mapInArrow(count, f"id {own.schema['id'].dataType.simpleString()}, n_tokens long, edited_tokens long, edited_chars long, recounted long")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import code_points, mix, runs, slices, span_hashes
+from .common import code_points, columns, fresh, mix, runs, slices, span_hashes
 from .langid import tables
 
 #: Words of a window, and words from one window's start to the next's.
@@ -29,9 +30,14 @@ def parts(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     start, end = runs(inside)
     word = (span_hashes(points, start, end) & np.uint64(BUCKETS - 1)).astype(np.int64)
     marked = np.where(inside, points, 0).astype(np.uint64)
+    # Letters since the mark before the word, so that no triple reaches over it.
+    place = np.arange(len(points))
+    place -= np.maximum.accumulate(np.where(inside, 0, place + 1)) if len(points) else 0
+    place[1:] = np.where(inside[1:], place[1:], place[:-1] + 1)
     h = marked.copy()
     for k in (1, 2):
-        h[k:] = h[k:] * np.uint64(0x100000001B3) + marked[:-k]
+        h[k:] = h[k:] * np.uint64(0x100000001B3) + np.where(place[k:] >= k, marked[:-k], np.uint64(0))
+        h[:k] *= np.uint64(0x100000001B3)
     gram = (mix(h) & np.uint64(BUCKETS - 1)).astype(np.int64)
     # The triple that ends at a letter or at the mark after a word belongs to that word.
     size = end - start + 1
@@ -181,8 +187,9 @@ def gather(x: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarr
 def train(texts: Sequence[str], labels: Sequence[int], share: float, epochs: int = 10, seed: int = 1) -> Scorer:
     """Fit on texts and labels. A text is a bag of windows: its most toxic one bears its label, another clean one too.
 
-    A text's own occurrences are left out of the evidence that its words have in training. share: the toxic share of
-    all labelled rows, to which the scores are set back.
+    A text's own occurrences are left out of the evidence that its words have in training, and words of clean windows are
+    made unknown at any rate, so that unknown words do not tell. share: the toxic share of all labelled rows, half the way
+    to which the scores are moved.
     """
     labels = np.asarray(labels, int)
     # Texts are taken apart twice rather than kept apart: the parts are many times as large.
@@ -216,12 +223,16 @@ def train(texts: Sequence[str], labels: Sequence[int], share: float, epochs: int
         for i in range(0, len(use), 128):
             b = use[i : i + 128]
             step += 1
-            for k, g in network.gradients(*gather(x, first[b], size[b]), labels[bag[b]].astype(np.float32)).items():
+            y = labels[bag[b]].astype(np.float32)
+            read, mask = gather(x, first[b], size[b])
+            read[rng.random(mask.shape) < np.where(y > 0, 0.05, rng.random(len(b)) ** 4)] = 0
+            for k, g in network.gradients(read, mask, y).items():
                 m = moments[k]
                 m[0] += 0.1 * (g - m[0])
                 m[1] += 0.01 * (g * g - m[1])
                 network.p[k] -= (0.01 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    # The sample's odds, as the share of its bags, are set back to those of all labelled rows.
+    # The sample's odds, as the share of its bags, are moved half the way back to those of all labelled rows: in full,
+    # a rare class would be missed where its words were seen in few texts.
     odds = lambda p: float(np.log(p / (1 - p)))
     return Scorer(evidence, network, 0.5 * (odds(np.clip(share, 1e-4, 1 - 1e-4)) - odds(labels.mean())), float(share))
 
@@ -229,7 +240,8 @@ def train(texts: Sequence[str], labels: Sequence[int], share: float, epochs: int
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
     """A model from a bounded sample of the labelled documents: of each class, rows of the least hash of their id.
 
-    At most FIT_TOXIC and FIT_CLEAN labels are drawn; texts of more than FIT_CHARS characters are passed over. Labels
+    At most FIT_TOXIC and FIT_CLEAN labels are drawn; texts of more than FIT_CHARS characters are passed over. Of rows of
+    one id the least text is taken, so that the same rows always give the same model. Labels
     other than 0 and 1 are none. Without rows of both classes every score is the share of toxic rows (0 if none).
     """
     own = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)").groupBy("_id").agg(F.max("_label").alias("_label"))
@@ -238,30 +250,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     pick = lambda y, n: own.where(F.col("_label") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
     chosen = docs.sparkSession.createDataFrame([tuple(r) for y, n in ((1, FIT_TOXIC), (0, FIT_CLEAN)) for r in pick(y, n).collect()], own.schema)
     text = F.col(text_col).cast("string")
-    rows = docs.where(text.isNotNull() & (F.length(text) <= FIT_CHARS)).join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(text.alias("t"), "_label")
-    got = sorted(map(tuple, rows.limit(2 * (FIT_TOXIC + FIT_CLEAN)).collect()))
+    rows = docs.where(text.isNotNull() & (F.length(text) <= FIT_CHARS)).join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).groupBy("_id").agg(F.min(text).alias("t"), F.max("_label").alias("_label"))
+    got = sorted((r.t, r["_label"]) for r in rows.collect())  # at most one text a drawn label
     return train([t for t, _ in got], [y for _, y in got], share)
 
 
 def scored(docs: DataFrame, scorer: Scorer, text_col: str = "text", out: str = "score", least: float | None = None, most: float | None = None) -> DataFrame:
-    """docs with `out`, the probability of toxicity of each whole text; only rows from `least` up to below `most`."""
+    """docs with `out`, the probability of toxicity of each whole text; only rows from `least` up to below `most`.
+
+    A column of docs named `out` is replaced. A score depends on the text alone.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{out}` double"])
+    others = [f for f in docs.schema if f.name.lower() != out.lower()]
+    schema = T.StructType([*others, T.StructField(out, T.DoubleType())])
+    at = [f.name for f in others].index(text_col)
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf[text_col]]
-            pdf[out] = np.concatenate([shared.value.score(texts[s]) for s in slices(texts)] or [np.zeros(0)])
-            keep = np.ones(len(pdf), bool)
-            if least is not None:
-                keep &= (pdf[out] >= least).to_numpy()
-            if most is not None:
-                keep &= (pdf[out] < most).to_numpy()
-            yield pdf[keep]
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            score = np.concatenate([shared.value.score(texts[s]) for s in slices(texts)] or [np.zeros(0)])
+            keep = (score >= (-np.inf if least is None else least)) & (score < (np.inf if most is None else most))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, out]).filter(pa.array(keep))
 
-    return docs.mapInPandas(look, schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in others]).mapInArrow(look, schema)
 
 
 def keep_clean(docs: DataFrame, scorer: Scorer, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """docs without those that score `limit` or more; all columns stay."""
-    return scored(docs, scorer, text_col, "_toxicity", most=limit).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scored(docs, scorer, text_col, fresh(docs, "_toxicity"), most=limit).select(*columns(docs))

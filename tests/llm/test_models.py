@@ -70,6 +70,18 @@ def test_viterbi_equals_brute_force(model):
         assert abs(top - mine) < 1e-4
 
 
+def test_scores_are_of_words_alone_and_many_languages_fit(model):
+    words = langid.Words(["hello", "a hello", "über hello there", "x-hello, hello"])
+    score = model.scores(words)
+    own = [score[i] for i in range(len(words.row)) if words.end[i] - words.start[i] == 5 and i != len(words.row) and (words.row[i] != 2 or words.start[i] < words.begin[2] + 8)]
+    assert len(own) == 5 and all((s == own[0]).all() for s in own)
+    langs = [f"l{i:03}" for i in range(200)]
+    rng = np.random.default_rng(1)
+    wide = langid.Model(langs, rng.standard_normal((langid.BUCKETS, 200)).astype(np.float32), np.ones((len(langid.SCRIPTS) + 1, 200), bool), 0.0)
+    words = langid.Words([" ".join("abcdefgh"[i % 8] * (i % 5 + 1) + "xyz"[i % 3] for i in range(120))])
+    assert wide.paths(words, 1).tolist() == wide.scores(words).argmax(axis=1).tolist() and wide.scores(words).argmax(axis=1).max() > 127
+
+
 def test_no_labels_give_und(spark, empty):
     model = langid.fit(empty)
     got = langid.spans(spark.createDataFrame([(1, "some text")], "doc_id long, text string"), model).first()
@@ -106,6 +118,17 @@ def test_toxicity_on_held_out_rows(spark, docs, empty):
     assert {r.score for r in toxicity.scored(df, flat).collect()} == {0.0}
 
 
+def test_scores_do_not_depend_on_the_batch(spark):
+    rows = toxic_corpus(120)
+    df = spark.createDataFrame([(i, t, 0.5) for i, t, _ in rows], "doc_id long, text string, score double")
+    scorer = toxicity.train([t for _, t, _ in rows], [y for _, _, y in rows], 0.25, epochs=2)
+    together = scorer.score([t for _, t, _ in rows])
+    assert np.allclose(together, [scorer.score([t])[0] for _, t, _ in rows], atol=1e-5)
+    got = {r.doc_id: r.score for r in toxicity.scored(df, scorer).collect()}
+    assert np.allclose([got[i] for i, _, _ in rows], together, atol=1e-5)
+    assert toxicity.keep_clean(df.withColumnRenamed("score", "_toxicity"), scorer).columns == ["doc_id", "text", "_toxicity"]
+
+
 def test_all_windows_overlap_and_cover():
     row = np.repeat([0, 2, 3], [5, 64, 200])
     which, first, size = toxicity.windows(row, 5)
@@ -159,6 +182,34 @@ def test_counts_after_edits_equal_counting_anew(spark, docs, empty):
     assert tokens.token_counts(empty).count() == 0
 
 
+def test_stored_trees_take_edits_without_counting_anew(spark, docs, tmp_path):
+    counter = tokens.Counter(tokens.ranks_of(tokens.VOCABULARY))
+    whole = lambda t: sum(map(counter.of, counter.split.findall(t)))
+    from pyspark.sql import functions as F
+
+    tokens.trees(docs).write.parquet(f"{tmp_path}/kept")
+    kept = spark.read.parquet(f"{tmp_path}/kept")
+    assert Tally((r.id, r.n_tokens) for r in kept.collect()) == Tally((r.doc_id, whole(r.text or "")) for r in docs.collect())
+    edits = F.expr("array(struct(2, 4, 'new word'), struct(length(text), length(text), ' tail'))")
+    once = tokens.edited(kept, edits)
+    twice = tokens.edited(once, F.expr("array(struct(0, 1, ''))")).collect()
+    expected = Tally((r.doc_id, (lambda t: ((t[:2] + "new word" + t[4:])[: len(t)] + " tail" + (t[:2] + "new word" + t[4:])[len(t) :])[1:])(r.text or "")) for r in docs.collect())
+    assert Tally((r.id, r.text) for r in twice) == expected
+    assert all(r.n_tokens == whole(r.text) for r in twice)
+    assert max(r.recounted for r in once.collect() if len(r.text) > 5000) < 20
+    # A tree that was changed by hand shows in the counts: what edits do not touch comes from it.
+    false = kept.where("length(text) > 5000").withColumn("text", F.expr("overlay(text placing '7!7!7!7!' from 3000)"))
+    assert all(r.n_tokens != whole(r.text) for r in tokens.edited(false, edits).collect())
+
+
+def test_very_long_runs_are_counted(spark):
+    df = spark.createDataFrame([(1, " " * 1_000_000), (2, "x" * 300_000), (3, "\n" * 200_000 + "a"), (None, None)], "doc_id long, text string")
+    got = {r.id: r for r in tokens.token_counts(df).collect()}
+    assert got[1].n_tokens > 0 and got[None].n_tokens == 0 and got[2].n_tokens > 1000 and got[3].edited_chars == 200_001
+    with pytest.raises(FileNotFoundError, match="LODESTONE_VOCABULARY"):
+        tokens.token_counts(df, vocabulary="/nowhere")
+
+
 def plain_lines(rows, near=0.8):
     places, out = {}, {}
     for i, t in rows:
