@@ -15,16 +15,27 @@ def metadata(body: Column) -> Column:
     return F.from_json(body, "metadata variant, malformed string", {"columnNameOfCorruptRecord": "malformed"})
 
 
+def facts(body: Column) -> Column:
+    """Struct of a JSON text, which is parsed once however often its fields are used: url and bad.
+
+    url: the text of metadata.dbt_schema_version; null if that is absent, empty or no string. bad: whether the text is no
+    JSON; a JSON value that is no object, such as null, is JSON without metadata.
+    """
+
+    def told(m: Column) -> Column:
+        value, text = (F.try_variant_get(m["metadata"], "$.dbt_schema_version", kind) for kind in ("variant", "string"))
+        url = F.when((F.schema_of_variant(value) == "STRING") & (text != ""), text)
+        return F.struct(url.alias("url"), (body.isNotNull() & m["malformed"].isNotNull() & F.try_parse_json(body).isNull()).alias("bad"))
+
+    return F.element_at(F.transform(F.array(metadata(body)), told), 1)
+
+
 def schema_url(body: Column) -> Column:
-    """The text of metadata.dbt_schema_version; null if that is absent, empty or no string."""
-    value = F.try_variant_get(metadata(body)["metadata"], "$.dbt_schema_version", "variant")
-    text = F.try_variant_get(metadata(body)["metadata"], "$.dbt_schema_version", "string")
-    return F.when((F.schema_of_variant(value) == "STRING") & (text != ""), text)
+    return facts(body)["url"]
 
 
 def malformed(body: Column) -> Column:
-    """Whether a text is no JSON. A JSON value that is no object, such as null, is JSON without metadata."""
-    return body.isNotNull() & metadata(body)["malformed"].isNotNull() & F.try_parse_json(body).isNull()
+    return facts(body)["bad"]
 
 
 def _digits(kind: str, url: Column) -> Column:
@@ -51,9 +62,27 @@ def pinned_error(kind: str, version: int, url: Column) -> Column:
     return F.when(~ok, F.lit(f"Not a {kind}.json v{version}"))
 
 
+def _fresh(df: DataFrame) -> str:
+    name = "_facts"
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def outcomes(df: DataFrame, body: str = "body") -> DataFrame:
+    """df with a row for each parser, automatic and pinned, of each kind: parser and error. A document is parsed once."""
+    name = _fresh(df)
+    out = df.withColumn(name, facts(F.col(body)))
+    url = F.col(name)["url"]
+    said = [(f"{kind} auto", auto_error(kind, url)) for kind in LATEST] + [(f"{kind} v{v}", pinned_error(kind, v, url)) for kind, top in LATEST.items() for v in range(1, top + 1)]
+    each = [F.struct(F.lit(p).alias("parser"), F.when(F.col(name)["bad"], F.lit(MALFORMED)).otherwise(e).alias("error")) for p, e in said]
+    return out.select(*df.columns, F.inline(F.array(*each)))
+
+
 def _parsed(df: DataFrame, body: str, error: Column, version: Column, strict: bool) -> DataFrame:
-    bad = malformed(F.col(body))
-    out = df.withColumn("schema_url", schema_url(F.col(body))).withColumn("error", F.when(bad, F.lit(MALFORMED)).otherwise(error))
+    name = _fresh(df)
+    out = df.withColumn(name, facts(F.col(body))).withColumn("schema_url", F.col(name)["url"])
+    out = out.withColumn("error", F.when(F.col(name)["bad"], F.lit(MALFORMED)).otherwise(error)).drop(name)
     out = out.withColumn("version", F.when(F.col("error").isNull(), version))
     if strict:
         out = out.withColumn(body, F.when(F.col("error").isNull(), F.col(body)).otherwise(F.raise_error(F.col("error")).cast("string")))
@@ -79,8 +108,9 @@ def detect(df: DataFrame, body: str = "body") -> DataFrame:
 
     If none does, the kind is the first that the URL names and the error is that kind's; null without such a kind.
     """
-    bad = malformed(F.col(body))
-    out = df.withColumn("schema_url", schema_url(F.col(body)))
+    name = _fresh(df)
+    out = df.withColumn(name, facts(F.col(body))).withColumn("schema_url", F.col(name)["url"])
+    bad = F.col(name)["bad"]
     url, kind, named = F.col("schema_url"), F.lit(None).cast("string"), F.lit(None).cast("string")
     for k in reversed(LATEST):
         kind = F.when(auto_error(k, url).isNull(), F.lit(k)).otherwise(kind)
@@ -90,4 +120,4 @@ def detect(df: DataFrame, body: str = "body") -> DataFrame:
     for k in LATEST:
         version = F.when((F.col("kind") == k) & auto_error(k, url).isNull(), _digits(k, url).try_cast("int")).otherwise(version)
         error = F.when(F.col("kind") == k, auto_error(k, url)).otherwise(error)
-    return out.withColumn("version", version).withColumn("error", F.when(bad, F.lit(MALFORMED)).otherwise(error))
+    return out.withColumn("version", version).withColumn("error", F.when(bad, F.lit(MALFORMED)).otherwise(error)).drop(name)

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Fields of catalogs.
 _TABLE = "struct<unique_id:string,metadata:struct<type:string,schema:string,name:string,database:string,comment:string,owner:string>,columns:map<string,struct<type:string,index:bigint,name:string,comment:string>>,stats:map<string,struct<id:string,label:string,value:variant,include:boolean,description:string>>>"
 CATALOG = f"nodes map<string,{_TABLE}>, sources map<string,{_TABLE}>, errors array<string>"
 

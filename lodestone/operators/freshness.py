@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fields of source freshness.
 _TIME = "struct<count:bigint,period:string>"
 FRESHNESS = f"elapsed_time double, results array<struct<unique_id:string,error:variant,status:string,max_loaded_at:string,snapshotted_at:string,max_loaded_at_time_ago_in_s:double,criteria:struct<warn_after:{_TIME},error_after:{_TIME},filter:string>,adapter_response:map<string,variant>,timing:array<struct<name:string,started_at:string,completed_at:string>>,thread_id:string,execution_time:double>>"
 
@@ -21,5 +22,5 @@ def seconds(limit: Column) -> Column:
 
 
 def freshness_status(ago_s: Column, criteria: Column) -> Column:
-    """Status of a source of which the newest row is ago_s old: a limit counts once it is passed."""
-    return F.when(ago_s > seconds(criteria["error_after"]), "error").when(ago_s > seconds(criteria["warn_after"]), "warn").otherwise("pass")
+    """Status of a source of which the newest row is ago_s old: a limit counts once it is passed. Null if the age is not known."""
+    return F.when(ago_s.isNull(), F.lit(None).cast("string")).when(ago_s > seconds(criteria["error_after"]), "error").when(ago_s > seconds(criteria["warn_after"]), "warn").otherwise("pass")

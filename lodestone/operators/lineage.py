@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from lodestone.sources.shared import checkpoint_folder
 
 
-def closure(edges: DataFrame, parent: str = "parent", child: str = "child", most: int | None = None) -> DataFrame:
-    """Columns ancestor, descendant, depth: all pairs that edges connect, with the least number of steps, up to `most` if given.
+def closure(edges: DataFrame, parent: str = "parent", child: str = "child", most: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Columns of `keys`, ancestor, descendant, depth: all pairs that edges connect, with the least number of steps, up to `most` if given.
 
-    Each round joins the pairs found last with the edges and drops known ones, so cycles end it. Lineage is cut by
+    Paths stay within rows of equal keys, such as ("artifact_id",) where documents use the same names. Each round joins the pairs found last with the edges and drops known ones, so cycles end it. Lineage is cut by
     checkpoints, which need a checkpoint folder.
     """
     checkpoint_folder(edges.sparkSession)
-    step = edges.select(F.col(parent).alias("from"), F.col(child).alias("to")).where("from is not null and to is not null").distinct().checkpoint()
-    found = last = step.select(F.col("from").alias("ancestor"), F.col("to").alias("descendant"), F.lit(1).alias("depth"))
+    step = edges.select(*keys, F.col(parent).alias("from"), F.col(child).alias("to")).where("from is not null and to is not null").distinct().checkpoint()
+    found = last = step.select(*keys, F.col("from").alias("ancestor"), F.col("to").alias("descendant"), F.lit(1).alias("depth"))
     for depth in count(2) if most is None else range(2, most + 1):
-        on = F.col("descendant") == F.col("from")
-        new = last.join(step, on).select("ancestor", F.col("to").alias("descendant")).distinct().join(found.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti")
+        onward = step.withColumnRenamed("from", "descendant")
+        new = last.join(onward, [*keys, "descendant"]).select(*keys, "ancestor", F.col("to").alias("descendant")).distinct()
+        new = new.join(found.select(*keys, "ancestor", "descendant"), [*keys, "ancestor", "descendant"], "left_anti")
         last = new.withColumn("depth", F.lit(depth)).checkpoint()
         if last.isEmpty():
             break

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Root keys of manifests, and the fields of each that are columns (name, path, type).
 FIELDS = {
-    "nodes": "resource_type name database schema package_name path original_file_path alias language description compiled:boolean relation_name access version group docs.node_color checksum.checksum config.materialized config.enabled:boolean created_at:double fqn:array<string> root_path",
+    "nodes": "resource_type name database schema package_name path original_file_path alias language description compiled:boolean relation_name access version group docs.node_color checksum.checksum config.materialized config.enabled:boolean config.incremental_strategy config.on_schema_change config.freshness.build_after.count:bigint config.freshness.build_after.period config.freshness.build_after.updates_on config.event_time contract.enforced:boolean created_at:double fqn:array<string> root_path",
     "sources": "resource_type name source_name identifier database schema package_name loader loaded_at_field relation_name description fqn:array<string> freshness:variant external:variant created_at:double",
     "macros": "resource_type name package_name path macro_sql description arguments:variant created_at:double",
     "docs": "resource_type name package_name path block_contents",
@@ -25,9 +25,18 @@ FIELDS = {
 
 
 def entries(docs: DataFrame, root: str) -> DataFrame:
-    """A row for each key under a root key: artifact_id, unique_id, value. Missing roots give none."""
+    """A row for each key under a root key: artifact_id, pos (in the document, from 0), unique_id, value. Missing roots
+    give none."""
     got = F.from_json("body", f"`{root}` map<string,variant>")[root]
-    return docs.select("artifact_id", F.explode(got).alias("unique_id", "value"))
+    return docs.select("artifact_id", F.posexplode(got).alias("pos", "unique_id", "value"))
+
+
+def containers(docs: DataFrame) -> DataFrame:
+    """The root keys of each document and what each holds: object, array, null or value."""
+    each = docs.select("artifact_id", F.explode(F.from_json("body", "map<string,variant>")).alias("key", "value"))
+    kind = F.schema_of_variant("value")
+    told = F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(F.is_variant_null("value") | F.col("value").isNull(), "null").otherwise("value")
+    return each.select("artifact_id", "key", told.alias("container"))
 
 
 def _get(value: str, path: str, kind: str = "string") -> Column:
@@ -53,7 +62,7 @@ def nodes(docs: DataFrame) -> DataFrame:
     """All nodes: raw and compiled code under either name, tags as a list, and the kind of a test."""
     code = [F.coalesce(_get("value", f"{a}_code"), _get("value", f"{a}_sql")).alias(f"{a}_code") for a in ("raw", "compiled")]
     test = F.when(F.col("resource_type") == "test", F.when(_get("value", "test_metadata", "variant").isNotNull(), "generic").otherwise("singular"))
-    return table(docs, "nodes").select("*", *code, text_list("value", "tags").alias("tags"), test.alias("test_kind"))
+    return table(docs, "nodes").select("*", *code, text_list("value", "tags").alias("tags"), test.alias("test_kind"), text_list("value", "config.unique_key").alias("config_unique_key"))
 
 
 def node_columns(docs: DataFrame, root: str = "nodes") -> DataFrame:
@@ -70,18 +79,40 @@ def node_refs(docs: DataFrame) -> DataFrame:
 
 def edges(docs: DataFrame) -> DataFrame:
     """Edges parent, child from depends_on of all entries and from the maps of parents, children and groups."""
-    parts = []
-    for root in ("nodes", "exposures", "metrics", "semantic_models", "saved_queries", "unit_tests", "functions"):
-        for what in ("nodes", "macros"):
-            parts.append(entries(docs, root).select("artifact_id", F.explode(_get("value", f"depends_on.{what}", "array<string>")).alias("parent"), F.col("unique_id").alias("child"), F.lit("depends_on").alias("origin")))
-    for root in ("parent_map", "child_map", "group_map"):
-        got = docs.select("artifact_id", F.explode(F.from_json("body", f"`{root}` map<string,array<string>>")[root]).alias("key", "list")).select("artifact_id", "key", F.explode("list").alias("item"))
-        parent, child = ("item", "key") if root == "parent_map" else ("key", "item")
-        parts.append(got.select("artifact_id", F.col(parent).alias("parent"), F.col(child).alias("child"), F.lit(root).alias("origin")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    depending = ("nodes", "exposures", "metrics", "semantic_models", "saved_queries", "unit_tests", "functions")
+    maps = ("parent_map", "child_map", "group_map")
+    kinds = [*(f"{r} map<string,struct<depends_on:struct<nodes:array<string>,macros:array<string>>>>" for r in depending), *(f"{m} map<string,array<string>>" for m in maps)]
+
+    def listed(entries_: Column, items, down: bool, origin: str) -> Column:
+        """(parent, child, origin) for each item of each entry of a map."""
+        pair = lambda e: lambda x: F.struct((x if down else e["key"]).alias("parent"), (e["key"] if down else x).alias("child"), F.lit(origin).alias("origin"))
+        return F.flatten(F.transform(F.coalesce(F.map_entries(entries_), F.array()), lambda e: F.coalesce(F.transform(items(e["value"]), pair(e)), F.array())))
+
+    # The body is parsed once, to the roots that hold edges; one array of all edges is exploded.
+    got = docs.select("artifact_id", F.from_json("body", ", ".join(kinds)).alias("m"))
+    arrays = [listed(F.col(f"m.{r}"), lambda v, w=w: v["depends_on"][w], True, "depends_on") for r in depending for w in ("nodes", "macros")]
+    arrays += [listed(F.col(f"m.{m}"), lambda v: v, m == "parent_map", m) for m in maps]
+    return got.select("artifact_id", F.inline(F.concat(*arrays)))
+
+
+_CONSTRAINT = ("type", "name", "expression", "to")
+
+
+def constraints(docs: DataFrame, root: str = "nodes") -> DataFrame:
+    """Constraints of nodes (column is null; columns lists those named) and of their columns, with whether the contract is enforced."""
+    each = entries(docs, root).select("artifact_id", "unique_id", F.coalesce(_get("value", "contract.enforced", "boolean"), F.lit(False)).alias("enforced"), "value")
+    own = each.select("artifact_id", "unique_id", "enforced", F.lit(None).cast("string").alias("column"), F.explode(_get("value", "constraints", "array<variant>")).alias("value"))
+    inner = each.select("artifact_id", "unique_id", "enforced", F.explode(_get("value", "columns", "map<string,variant>")).alias("column", "value"))
+    inner = inner.select("artifact_id", "unique_id", "enforced", "column", F.explode(_get("value", "constraints", "array<variant>")).alias("value"))
+    return own.unionByName(inner).select("artifact_id", "unique_id", "enforced", "column", *[_get("value", c).alias(c) for c in _CONSTRAINT], _get("value", "columns", "array<string>").alias("columns"), _get("value", "to_columns", "array<string>").alias("to_columns"))
+
+
+def unit_test_rows(docs: DataFrame) -> DataFrame:
+    """What unit tests give and expect: part (given or expect), pos, input, format, rows (a variant)."""
+    each = entries(docs, "unit_tests").select("artifact_id", "unique_id", "value")
+    given = each.select("artifact_id", "unique_id", F.lit("given").alias("part"), F.posexplode(_get("value", "given", "array<variant>")).alias("pos", "value"))
+    expect = each.select("artifact_id", "unique_id", F.lit("expect").alias("part"), F.lit(0).alias("pos"), _get("value", "expect", "variant").alias("value")).where("value is not null")
+    return given.unionByName(expect).select("artifact_id", "unique_id", "part", "pos", _get("value", "input").alias("input"), _get("value", "format").alias("format"), _get("value", "rows", "variant").alias("rows"))
 
 
 def semantic_parts(docs: DataFrame, part: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Fields of run results.
 RESULTS = (
     "elapsed_time double, args map<string,variant>, results array<struct<status:string,timing:array<struct<name:string,started_at:string,completed_at:string>>,"
     "thread_id:string,execution_time:double,message:variant,failures:bigint,adapter_response:map<string,variant>,unique_id:string,compiled:boolean,"
@@ -11,11 +12,14 @@ RESULTS = (
 )
 
 
-def run_results(docs: DataFrame) -> DataFrame:
-    """A row for each result of each document. message is text, also where version 1 has a number."""
-    each = docs.select("artifact_id", F.posexplode(F.from_json("body", RESULTS)["results"]).alias("pos", "r"))
+def run_results(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each result of each document, with the columns of docs named by `keep`, such as version.
+
+    message is text, also where version 1 has a number.
+    """
+    each = docs.select("artifact_id", *keep, F.posexplode(F.from_json("body", RESULTS)["results"]).alias("pos", "r"))
     plain = [F.col(f"r.{c}").alias(c) for c in ("unique_id", "status", "thread_id", "execution_time", "failures", "compiled", "compiled_code", "relation_name", "adapter_response", "timing", "batch_results", "overload_results")]
-    return each.select("artifact_id", "pos", F.try_variant_get("r.message", "$", "string").alias("message"), *plain)
+    return each.select("artifact_id", *keep, "pos", F.try_variant_get("r.message", "$", "string").alias("message"), *plain)
 
 
 def run_totals(docs: DataFrame) -> DataFrame:

@@ -67,3 +67,49 @@ def saved_query(df: DataFrame, metrics: dict[str, Column], group_by: list[Column
     out = where_all(df, list(where)).groupBy(*group_by).agg(*[c.alias(n) for n, c in metrics.items()])
     out = out.orderBy(*order_by) if order_by else out
     return out if limit is None else out.limit(limit)
+
+
+def derived(totals: DataFrame, name: str, expr: str, period: str, inputs: dict[str, tuple], by: list[str] = ()) -> DataFrame:
+    """totals with a metric worked out of others by `expr`.
+
+    inputs: by alias (metric, offset window, offset grain). A window such as "1 month" takes the metric of the period that
+    long before; a grain that of the first period of the longer one; with neither, the metric itself. What is not there is
+    null. Offsets are joins by period and `by`, not windows, so that gaps between periods do not shift them.
+    """
+    out = totals
+    for alias, (metric, window, grain_) in inputs.items():
+        if not window and not grain_:
+            out = out.withColumn(alias, F.col(metric))
+            continue
+        at = F.col(period) + F.expr(f"interval {window}") if window else F.col(period)
+        other = totals.select(*[F.col(k).alias(f"_{k}") for k in by], at.cast(totals.schema[period].dataType).alias("_at"), F.col(metric).alias(alias))
+        on = F.date_trunc(grain_, period) == F.col("_at") if grain_ else F.col(period) == F.col("_at")
+        for k in by:
+            on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        out = out.join(other, on, "left").drop("_at", *[f"_{k}" for k in by])
+    return out.withColumn(name, F.expr(expr))
+
+
+def conversion(base: DataFrame, conversions: DataFrame, name: str, entity: str, at: str, window: str | None = None, rate: bool = True, by: list[str] = ()) -> DataFrame:
+    """By columns of base: base events, conversions and, if `rate`, their quotient.
+
+    A conversion counts for the last base event of its entity that is not later, if that is no longer than `window` before.
+    Events of an entity are put in order once; no pairs of events are made.
+    """
+    first = base.select(F.col(entity).alias("_e"), F.col(at).cast("timestamp").alias("_at"), F.lit(0).alias("_kind"), F.struct(F.lit(1).alias("_"), *by).alias("_by"))
+    then = conversions.select(F.col(entity).alias("_e"), F.col(at).cast("timestamp").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(first.schema["_by"].dataType).alias("_by"))
+    order = Window.partitionBy("_e").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mine = F.when(F.col("_kind") == 0, F.struct("_at", "_by"))
+    met = first.union(then).where("_e is not null and _at is not null").withColumn("_base", F.last(mine, ignorenulls=True).over(order))
+    near = F.col("_base").isNotNull() if window is None else F.col("_at") <= F.col("_base._at") + F.expr(f"interval {window}")
+    got = met.where(F.col("_base").isNotNull()).groupBy(*[F.col(f"_base._by.{k}").alias(k) for k in by]).agg(F.count_if(F.col("_kind") == 0).alias("n_base"), F.count_if((F.col("_kind") == 1) & near).alias(name))
+    return got.withColumn(f"{name}_rate", F.try_divide(name, "n_base")) if rate else got
+
+
+def non_additive(df: DataFrame, time: str, choice: str = "max", groupings: list[str] = ()) -> DataFrame:
+    """The rows that a measure which cannot be added over time is taken from: those of the last (first) time of each group."""
+    ends = df.groupBy(*[F.col(g).alias(f"_{g}") for g in groupings]).agg({"max": F.max, "min": F.min}[choice](time).alias("_end"))
+    on = F.col(time) == F.col("_end")
+    for g in groupings:
+        on = on & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    return df.join(ends, on, "left_semi")

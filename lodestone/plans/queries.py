@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.detect import LATEST, detect, parse, parse_version
-from lodestone.operators import catalog, checks, freshness, lineage, manifest, run_results, semantic
+from lodestone.functions.detect import detect, outcomes, parse, parse_version
+from lodestone.operators import catalog, checks, freshness, lineage, manifest, metadata, run_results, semantic, snapshot
 
 from .encode import document, envelope, event_urls, node_map, order_runs, rows
 
@@ -31,15 +31,7 @@ DETECT_VERSIONS = f"""WITH {_EVENTS} SELECT told kind, CASE WHEN error IS NULL T
 
 def pinned_vs_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of every automatic and every pinned parser over all documents."""
-    docs = event_urls(spark, sf_dir)
-    out = []
-    for kind, top in LATEST.items():
-        out.append(parse(docs, kind).select(F.concat(F.lit(kind), F.lit(" auto")).alias("parser"), "error"))
-        out += [parse_version(docs, kind, v).select(F.lit(f"{kind} v{v}").alias("parser"), "error") for v in range(1, top + 1)]
-    whole = out[0]
-    for o in out[1:]:
-        whole = whole.union(o)
-    return whole.groupBy("parser", F.coalesce("error", F.lit("ok")).alias("outcome")).agg(F.count("*").alias("n_docs"))
+    return outcomes(event_urls(spark, sf_dir)).groupBy("parser", F.coalesce("error", F.lit("ok")).alias("outcome")).agg(F.count("*").alias("n_docs"))
 
 
 PINNED_VS_AUTO = f"""WITH {_EVENTS}, k AS (SELECT * FROM (VALUES ('manifest', 12), ('catalog', 1), ('run-results', 6), ('sources', 3)) t(kind, m)),
@@ -87,8 +79,7 @@ def union_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = o.where("o_orderkey % 2 = 0").select(*document(F.col("o_orderkey"), metadata=envelope("run-results", 1), results=one(F.col("o_custkey"))))
     new = o.where("o_orderkey % 2 = 1").select(*document(F.col("o_orderkey"), metadata=envelope("run-results", 6), results=one(F.col("o_orderpriority"))))
     docs = parse(old.union(new), "run-results").where("error is null")
-    got = run_results.run_results(docs).join(docs.select("artifact_id", "version"), "artifact_id")
-    return got.groupBy("version", "message").agg(F.count("*").alias("n_results"))
+    return run_results.run_results(docs, keep=("version",)).groupBy("version", "message").agg(F.count("*").alias("n_results"))
 
 
 UNION_VERSIONS = """SELECT CASE o_orderkey % 2 WHEN 0 THEN 1 ELSE 6 END AS "version", CASE o_orderkey % 2 WHEN 0 THEN o_custkey::VARCHAR ELSE o_orderpriority END message, count(*) n_results FROM orders GROUP BY ALL"""
@@ -114,7 +105,8 @@ def _catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
     stat = lambda value: F.concat(F.lit('{"id":"s","label":"S","include":true,"value":'), value, F.lit("}"))
     stats = F.concat(F.lit('{"rows":'), stat(F.col("p_size").cast("string")), F.lit(',"has":'), stat(F.when(F.col("p_size") > 25, "true").otherwise("false")), F.lit(',"brand":'), stat(F.concat(F.lit('"'), F.col("p_brand"), F.lit('"'))), F.lit(',"none":'), stat(F.lit("null")), F.lit("}"))
     table = F.concat(F.lit('"model.shop.p'), F.col("p_partkey"), F.lit('":{"metadata":'), F.to_json(F.struct(F.lit("BASE TABLE").alias("type"), F.col("p_brand").alias("schema"), F.col("p_name").alias("name"))), F.lit(',"columns":'), F.to_json(columns), F.lit(',"stats":'), stats, F.lit("}"))
-    got = p.groupBy("p_brand").agg(F.array_join(F.collect_list(table), ",").alias("nodes"))
+    # Several documents of one id, so that none grows with the table.
+    got = p.groupBy("p_brand", F.floor(F.col("p_partkey") / 1000)).agg(F.array_join(F.collect_list(table), ",").alias("nodes"))
     return got.select(F.col("p_brand").alias("artifact_id"), F.concat(F.lit('{"metadata":'), F.to_json(envelope("catalog", 1)), F.lit(',"errors":null,"sources":{},"nodes":{'), F.col("nodes"), F.lit("}}")).alias("body"))
 
 
@@ -196,8 +188,8 @@ MANIFEST_EDGES = """SELECT 'source.shop.c' || o_custkey parent, 'depends_on' ori
 def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions, nations and customers as a map of parents: descendants of each region and nation by distance."""
     n, c = rows(spark, sf_dir, "nation"), rows(spark, sf_dir, "customer")
-    links = n.select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("child"), F.concat(F.lit("r"), F.col("n_regionkey")).alias("parent")).union(c.select(F.concat(F.lit("c"), F.col("c_custkey")), F.concat(F.lit("n"), F.col("c_nationkey"))))
-    docs = links.groupBy("parent").agg(F.map_from_entries(F.collect_list(F.struct("child", F.array("parent")))).alias("m")).select(*document(F.col("parent"), metadata=envelope("manifest", 12), parent_map=F.col("m")))
+    links = n.select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("child"), F.concat(F.lit("r"), F.col("n_regionkey")).alias("parent"), F.lit(0).cast("long").alias("block")).union(c.select(F.concat(F.lit("c"), F.col("c_custkey")), F.concat(F.lit("n"), F.col("c_nationkey")), F.floor(F.col("c_custkey") / 1000)))
+    docs = links.groupBy("parent", "block").agg(F.map_from_entries(F.collect_list(F.struct("child", F.array("parent")))).alias("m")).select(*document(F.col("parent"), metadata=envelope("manifest", 12), parent_map=F.col("m")))
     got = lineage.closure(manifest.edges(docs).where("origin = 'parent_map'"))
     return got.groupBy("ancestor", "depth").agg(F.count("*").alias("n_nodes"))
 
@@ -295,7 +287,162 @@ def saved_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SAVED_QUERY = """SELECT o_custkey, sum(o_totalprice::DECIMAL(18,2))::DOUBLE revenue, count(*) n_orders FROM orders WHERE o_totalprice > 100 AND o_orderstatus <> 'P' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"""
 
-_QUERIES = (detect_versions, pinned_vs_auto, metadata_guard, run_status_totals, run_first_results, union_versions, run_timings, catalog_columns, catalog_stats, manifest_nodes, node_lookup, node_refs_both_forms, disabled_nodes, manifest_edges, lineage_closure, freshness_status, generic_tests, measure_aggs, metric_ratio, metric_cumulative, saved_query)
+def artifact_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs by invocation: one run-results document for each order, several of one invocation."""
+    o = rows(spark, sf_dir, "orders")
+    told = F.struct(F.lit("x/run-results/v6.json").alias("dbt_schema_version"), F.lit("1.11.0").alias("dbt_version"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("generated_at"), F.concat(F.lit("run"), F.col("o_custkey")).alias("invocation_id"), F.create_map(F.lit("TIER"), F.col("o_orderpriority")).alias("env"), F.when(F.col("o_orderkey") % 2 == 0, "spark").alias("adapter_type"))
+    got = metadata.metadata_table(o.select(*document(F.col("o_orderkey"), metadata=told)))
+    return got.groupBy("invocation_id", "dbt_version").agg(F.count("*").alias("n_docs"), F.count("adapter_type").alias("n_adapters"), F.count_distinct(F.col("env")["TIER"]).alias("n_tiers"), F.date_format(F.max("generated_ts"), "yyyy-MM-dd").alias("newest"))
+
+
+ARTIFACT_METADATA = """SELECT 'run' || o_custkey invocation_id, '1.11.0' dbt_version, count(*) n_docs, count(*) FILTER (o_orderkey % 2 = 0) n_adapters, count(DISTINCT o_orderpriority) n_tiers, strftime(max(o_orderdate), '%Y-%m-%d') newest FROM orders GROUP BY 1"""
+
+
+def entry_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first key of each document and its value, and the number of keys."""
+    n = rows(spark, sf_dir, "nation")
+    node = F.concat(F.lit('"n'), F.col("n_nationkey"), F.lit('":{"name":"'), F.col("n_name"), F.lit('"}'))
+    listed = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct((-F.col("n_nationkey")).alias("k"), node.alias("j")))).alias("l"))
+    docs = listed.select(F.col("n_regionkey").cast("string").alias("artifact_id"), F.concat(F.lit('{"nodes":{'), F.array_join(F.col("l.j"), ","), F.lit("}}")).alias("body"))
+    got = manifest.entries(docs, "nodes")
+    return got.groupBy("artifact_id").agg(F.min_by("unique_id", "pos").alias("first_key"), F.min_by(F.try_variant_get("value", "$.name", "string"), "pos").alias("first_name"), F.count("*").alias("n_keys"))
+
+
+ENTRY_POSITIONS = """SELECT n_regionkey::VARCHAR artifact_id, 'n' || max(n_nationkey) first_key, arg_max(n_name, n_nationkey) first_name, count(*) n_keys FROM nation GROUP BY n_regionkey"""
+
+
+def container_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the root keys of one document for each order hold."""
+    o = rows(spark, sf_dir, "orders")
+    odd = F.when(F.col("o_orderkey") % 3 == 0, F.lit("null")).when(F.col("o_orderkey") % 3 == 1, F.lit('"text"')).otherwise(F.lit("[1]"))
+    docs = o.select(F.col("o_orderkey").cast("string").alias("artifact_id"), F.concat(F.lit('{"nodes":{"a":1},"results":[],"odd":'), odd, F.lit("}")).alias("body"))
+    return manifest.containers(docs).groupBy("key", "container").agg(F.count("*").alias("n_docs"))
+
+
+CONTAINER_KINDS = """SELECT 'nodes' AS "key", 'object' container, count(*) n_docs FROM orders UNION ALL SELECT 'results', 'array', count(*) FROM orders
+UNION ALL SELECT 'odd', ['null', 'value', 'array'][o_orderkey % 3 + 1], count(*) FROM orders GROUP BY ALL"""
+
+
+def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest for each hundred parts: models with a contract, constraints, an incremental configuration and unit tests."""
+    p = rows(spark, sf_dir, "part")
+    q = lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    even = F.col("p_partkey") % 2 == 0
+    key = F.when(even, q(F.lit("id"))).otherwise(F.lit('["id","day"]'))
+    model = F.concat(q(F.concat(F.lit("model.p"), F.col("p_partkey"))), F.lit(':{"resource_type":"model","contract":{"enforced":'), F.when(even, F.lit("true")).otherwise(F.lit("false")), F.lit('},"config":{"materialized":"incremental","incremental_strategy":'), F.when(even, q(F.lit("merge"))).otherwise(q(F.lit("append"))), F.lit(',"on_schema_change":"fail","unique_key":'), key, F.lit(',"freshness":{"build_after":{"count":'), F.col("p_size").cast("string"), F.lit(',"period":"hour"}}},"constraints":[{"type":"primary_key","columns":["id"]}],"columns":{"id":{"name":"id","constraints":[{"type":"not_null"},{"type":"check","expression":"id > 0"}]},"day":{"name":"day"}}}'))
+    test = F.concat(q(F.concat(F.lit("unit_test.p"), F.col("p_partkey"))), F.lit(':{"model":"m","given":[{"input":"ref(a)","rows":[{"id":'), F.col("p_size").cast("string"), F.lit('}]},{"input":"ref(b)","format":"csv","rows":"id"}],"expect":{"rows":[]}}'))
+    got = p.groupBy(F.floor(F.col("p_partkey") / 100).alias("block")).agg(F.array_join(F.collect_list(model), ",").alias("nodes"), F.array_join(F.collect_list(test), ",").alias("tests"))
+    return got.select(F.col("block").cast("string").alias("artifact_id"), F.concat(F.lit('{"nodes":{'), F.col("nodes"), F.lit('},"unit_tests":{'), F.col("tests"), F.lit("}}")).alias("body"))
+
+
+def node_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = manifest.nodes(_models(spark, sf_dir))
+    return got.groupBy("config_incremental_strategy", "config_on_schema_change", F.array_join("config_unique_key", ",").alias("unique_key"), "contract_enforced").agg(F.count("*").alias("n_nodes"), F.sum("config_freshness_build_after_count").alias("build_after"))
+
+
+NODE_CONFIG = """SELECT CASE p_partkey % 2 WHEN 0 THEN 'merge' ELSE 'append' END config_incremental_strategy, 'fail' config_on_schema_change, CASE p_partkey % 2 WHEN 0 THEN 'id' ELSE 'id,day' END unique_key,
+p_partkey % 2 = 0 contract_enforced, count(*) n_nodes, sum(p_size)::BIGINT build_after FROM part GROUP BY ALL"""
+
+
+def node_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.constraints(_models(spark, sf_dir)).groupBy("enforced", "column", "type", "expression", F.array_join("columns", ",").alias("columns")).agg(F.count("*").alias("n_constraints"))
+
+
+NODE_CONSTRAINTS = """SELECT p_partkey % 2 = 0 enforced, c AS "column", t AS "type", e AS "expression", l AS "columns", count(*) n_constraints
+FROM part, (VALUES (NULL, 'primary_key', NULL, 'id'), ('id', 'not_null', NULL, NULL), ('id', 'check', 'id > 0', NULL)) x(c, t, e, l) GROUP BY ALL"""
+
+
+def unit_test_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = manifest.unit_test_rows(_models(spark, sf_dir))
+    return got.groupBy("part", "pos", "input", "format").agg(F.count("*").alias("n_parts"), F.sum(F.try_variant_get("rows", "$[0].id", "long")).alias("total"))
+
+
+UNIT_TEST_PARTS = """SELECT 'given' part, 0 AS pos, 'ref(a)' AS "input", NULL::VARCHAR AS "format", count(*) n_parts, sum(p_size)::BIGINT total FROM part
+UNION ALL SELECT 'given', 1, 'ref(b)', 'csv', count(*), NULL FROM part UNION ALL SELECT 'expect', 0, NULL, NULL, count(*), NULL FROM part"""
+
+
+def unit_test_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by nation as a model, against those that are expected if one nation is left out and another counted twice."""
+    c = rows(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment")
+    expected = c.where("c_nationkey <> 3").union(c.where("c_nationkey = 7"))
+    return checks.differences(c, expected).groupBy("side", "c_nationkey").agg(F.count("*").alias("n_rows"))
+
+
+UNIT_TEST_DIFFERENCES = """SELECT 'actual' side, c_nationkey, count(*) n_rows FROM customer WHERE c_nationkey = 3 GROUP BY ALL UNION ALL SELECT 'expected', c_nationkey, count(*) FROM customer WHERE c_nationkey = 7 GROUP BY ALL"""
+
+
+def snapshot_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers seen twice: some balances change, some customers are gone, others new."""
+    c = rows(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    before = snapshot.start(c.where("c_custkey % 10 <> 1"), F.lit("2024-01-01"))
+    after = c.where("c_custkey % 10 <> 2").withColumn("c_acctbal", F.when(F.col("c_custkey") % 10 == 3, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
+    got = snapshot.snapshot(before, after, "c_custkey", F.lit("2024-02-01"), close_missing=True)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return got.groupBy((F.col("c_custkey") % 10).alias("digit"), day("valid_from").alias("valid_from"), day("valid_to").alias("valid_to")).agg(F.count("*").alias("n_rows"))
+
+
+SNAPSHOT_HISTORY = """WITH c AS (SELECT c_custkey % 10 digit FROM customer)
+SELECT digit, CASE digit WHEN 1 THEN '2024-02-01' ELSE '2024-01-01' END valid_from, CASE WHEN digit IN (2, 3) THEN '2024-02-01' END valid_to, count(*) n_rows FROM c GROUP BY ALL
+UNION ALL SELECT digit, '2024-02-01', NULL, count(*) FROM c WHERE digit = 3 GROUP BY ALL"""
+
+
+def tests_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = rows(spark, sf_dir, "orders")
+    return checks.summary("unique_custkey_open", checks.unique(o, "o_custkey", where="o_orderstatus = 'O'")).union(checks.summary("accepted_priority_dear", checks.accepted_values(o, "o_orderpriority", ["1-URGENT"], where="o_totalprice > 200000"), severity="warn"))
+
+
+TESTS_WHERE = """WITH f AS (SELECT 'unique_custkey_open' test_name, (SELECT count(*) FROM (SELECT 1 FROM orders WHERE o_orderstatus = 'O' AND o_custkey IS NOT NULL GROUP BY o_custkey HAVING count(*) > 1)) failures
+UNION ALL SELECT 'accepted_priority_dear', (SELECT count(DISTINCT o_orderpriority) FROM orders WHERE o_totalprice > 200000 AND o_orderpriority <> '1-URGENT'))
+SELECT test_name, failures, CASE WHEN failures = 0 THEN 'pass' WHEN test_name LIKE 'acc%' THEN 'warn' ELSE 'fail' END status FROM f"""
+
+
+def metric_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by month against the month before and against the first month of the year."""
+    totals = semantic.simple(rows(spark, sf_dir, "orders"), "n", "count", "o_orderkey", [semantic.grain(F.col("o_orderdate"), "month").alias("month"), F.col("o_orderstatus")])
+    got = semantic.derived(totals, "growth", "n - before", "month", {"before": ("n", "1 month", None), "opening": ("n", None, "year")}, ["o_orderstatus"])
+    return got.select(F.date_format("month", "yyyy-MM").alias("month"), "o_orderstatus", "n", "before", "opening", "growth")
+
+
+METRIC_DERIVED = """WITH t AS (SELECT date_trunc('month', o_orderdate)::TIMESTAMP m, o_orderstatus, count(*) n FROM orders GROUP BY ALL)
+SELECT strftime(t.m, '%Y-%m') AS "month", t.o_orderstatus, t.n, b.n AS "before", o.n opening, t.n - b.n growth FROM t
+LEFT JOIN t b ON b.o_orderstatus = t.o_orderstatus AND b.m + INTERVAL 1 MONTH = t.m LEFT JOIN t o ON o.o_orderstatus = t.o_orderstatus AND o.m = date_trunc('year', t.m)"""
+
+
+def metric_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases that follow a view of the same user within seven days."""
+    e = rows(spark, sf_dir, "events")
+    got = semantic.conversion(e.where("event_type = 'view'"), e.where("event_type = 'purchase'"), "conversions", "user_id", "ts", "7 days")
+    return got.select("n_base", "conversions", F.round("conversions_rate", 6).alias("rate"))
+
+
+METRIC_CONVERSION = """WITH b AS (SELECT user_id, ts FROM events WHERE event_type = 'view'), c AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase'),
+m AS (SELECT c.user_id, c.ts, b.ts last FROM c ASOF JOIN b ON b.user_id = c.user_id AND b.ts <= c.ts),
+n AS (SELECT (SELECT count(*) FROM b) n_base, (SELECT count(*) FROM m WHERE ts <= last + INTERVAL 7 DAY) conversions)
+SELECT n_base, conversions, round(conversions / n_base, 6) rate FROM n"""
+
+
+def metric_non_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What customers paid on the last day on which they ordered, by status."""
+    o = rows(spark, sf_dir, "orders").withColumn("day", F.date_trunc("day", "o_orderdate"))
+    return semantic.simple(semantic.non_additive(o, "day", "max", ["o_custkey"]), "n_orders", "count", "o_orderkey", [F.col("o_orderstatus")])
+
+
+METRIC_NON_ADDITIVE = """WITH o AS (SELECT *, date_trunc('day', o_orderdate) d, max(date_trunc('day', o_orderdate)) OVER (PARTITION BY o_custkey) top FROM orders) SELECT o_orderstatus, count(*) n_orders FROM o WHERE d = top GROUP BY 1"""
+
+
+def lineage_by_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of two to six steps, one document for each nation, all documents using the same node names: no path leaves a document."""
+    c = rows(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
+    step = F.transform(F.sequence(F.lit(1), F.lit(2) + F.col("k") % 5), lambda i: F.struct(F.concat(F.lit("n"), i).alias("k"), F.array(F.concat(F.lit("n"), i - 1)).alias("v")))
+    docs = c.select(*document(F.col("k"), metadata=envelope("manifest", 12), parent_map=F.map_from_entries(step)))
+    got = lineage.closure(manifest.edges(docs), keys=("artifact_id",))
+    return got.groupBy("artifact_id").agg(F.count("*").alias("n_pairs"), F.max("depth").alias("depth"))
+
+
+LINEAGE_BY_ARTIFACT = """SELECT n_nationkey::VARCHAR artifact_id, ((2 + n_nationkey % 5) * (3 + n_nationkey % 5) / 2)::BIGINT n_pairs, 2 + n_nationkey % 5 AS depth FROM nation"""
+
+
+_QUERIES = (detect_versions, pinned_vs_auto, metadata_guard, run_status_totals, run_first_results, union_versions, run_timings, catalog_columns, catalog_stats, manifest_nodes, node_lookup, node_refs_both_forms, disabled_nodes, manifest_edges, lineage_closure, freshness_status, generic_tests, measure_aggs, metric_ratio, metric_cumulative, saved_query, artifact_metadata, entry_positions, container_kinds, node_config, node_constraints, unit_test_parts, unit_test_differences, snapshot_history, tests_where, metric_derived, metric_conversion, metric_non_additive, lineage_by_artifact)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,6 +11,6 @@ def checkpoint_folder(spark: SparkSession) -> None:
     if context.getCheckpointDir():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not context.master.startswith("local["):
+    if not folder and context.master != "local" and not context.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-"))

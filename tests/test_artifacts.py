@@ -99,7 +99,7 @@ def test_freshness(spark):
     at = lambda s: {"unique_id": f"s{s}", "status": "pass", "max_loaded_at_time_ago_in_s": s, "criteria": limits}
     df = frame(spark, body("sources", 3, results=[at(60.0), at(61.0), at(86401.0), {"unique_id": "x", "status": "runtime error", "error": 4}]), body("sources", 1, results=[]))
     got = freshness.freshness(df).withColumn("judged", freshness.freshness_status(F.col("ago_s"), F.col("criteria"))).orderBy("pos").collect()
-    assert [(r.judged, r.error) for r in got] == [("pass", None), ("warn", None), ("error", None), ("pass", "4")]
+    assert [(r.judged, r.error) for r in got] == [("pass", None), ("warn", None), ("error", None), (None, "4")]  # an age that is not known is not judged
 
 
 def test_manifest_forms(spark):
@@ -198,3 +198,60 @@ def test_stream(spark, tmp_path):
     q = watch(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.kind, r.version, r.error) for r in spark.table("seen").collect()] == [("catalog", 1, None)]
+
+
+def test_documents_are_loaded_by_kind_version_project_and_file(spark, tmp_path):
+    import lodestone
+    from lodestone.sources.artifacts import load_manifest, load_run_results
+
+    folder = tmp_path / "manifest" / "v12" / "shop one"
+    folder.mkdir(parents=True)
+    (folder / "manifest.json").write_text('{"metadata":{"dbt_schema_version":"x/manifest/v12.json"},"nodes":{}}')
+    (folder / "manifest_1.8.json").write_text('{"metadata":{"dbt_schema_version":"x/manifest/v11.json"}}')
+    got = load_manifest(spark, str(tmp_path), version=12, project="shop one").collect()
+    assert [(r.version, r.error) for r in got] == [(12, None)]
+    other = load_manifest(spark, str(tmp_path), version="v12", project="shop one", filename="manifest_1.8.json").first()
+    assert other.error == "Not a manifest.json v12"
+    assert load_run_results(spark, str(tmp_path), version=6, project="none").count() == 0
+    with pytest.raises(ValueError):
+        check_name("  ")
+    assert lodestone.parse_manifest is lodestone.manifest.parse and lodestone.LATEST["manifest"] == 12
+
+
+def test_metadata_of_odd_documents(spark):
+    from lodestone.operators.manifest import containers as containers_of
+    from lodestone.operators.metadata import metadata_table as metadata_of
+
+    bodies = ['{"metadata":{"invocation_id":"i","env":{"A":"1"},"generated_at":"no time"}}', '{"metadata":[1]}', "{}", "null", None, '{"a']
+    docs = spark.createDataFrame(list(enumerate(bodies)), "artifact_id long, body string")
+    got = {r.artifact_id: r for r in metadata_of(docs).collect()}
+    assert len(got) == 6 and got[0].invocation_id == "i" and got[0].env == {"A": "1"} and got[0].generated_ts is None
+    assert all(got[i].invocation_id is None for i in range(1, 6))
+    assert {(r.key, r.container) for r in containers_of(docs).collect()} == {("metadata", "object"), ("metadata", "array")}
+
+
+def test_snapshots_by_update_time_and_exports(spark):
+    from lodestone.operators import snapshot as s
+    from lodestone.sources.artifacts import export
+
+    old = spark.createDataFrame([(1, None, "2024-01-01"), (2, "b", "2024-01-01")], "id int, v string, at string")
+    new = spark.createDataFrame([(1, "a", "2024-01-01"), (2, None, "2024-03-01"), (3, "c", "2024-02-01")], "id int, v string, at string")
+    got = s.snapshot(s.start(old, F.lit("2024-01-01")), new, "id", F.lit("2024-04-01"), updated_at="at")
+    rows = {(r.id, r.v, str(r.valid_from)[:10], str(r.valid_to)[:10]) for r in got.collect()}
+    assert rows == {(1, None, "2024-01-01", "None"), (2, "b", "2024-01-01", "2024-03-01"), (2, None, "2024-03-01", "None"), (3, "c", "2024-02-01", "None")}
+    again = s.snapshot(got, new, "id", F.lit("2024-05-01"), updated_at="at")
+    assert again.count() == got.count()
+    checked = s.snapshot(s.start(old, F.lit("2024-01-01")), new, "id", F.lit("2024-04-01"), check=["v"], close_missing=True)
+    assert checked.where("id = 1").count() == 2
+    export(new, "kept_view", "view")
+    assert spark.table("kept_view").count() == 3
+    with pytest.raises(ValueError):
+        export(new, "x", "file")
+
+
+def test_lineage_of_a_long_chain(spark):
+    from lodestone.operators import lineage
+
+    edges = spark.createDataFrame([(a, f"n{i}", f"n{i + 1}") for a in ("x", "y") for i in range(12)], "artifact_id string, parent string, child string")
+    got = lineage.closure(edges.where("not (artifact_id = 'y' and parent = 'n5')"), keys=("artifact_id",))
+    assert {(r.artifact_id, r["n"]) for r in got.groupBy("artifact_id").agg(F.count("*").alias("n")).collect()} == {("x", 78), ("y", 15 + 21)}
