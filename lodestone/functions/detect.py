@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def facts(body: Column) -> Column:
         url = F.when((F.schema_of_variant(value) == "STRING") & (text != ""), text)
         return F.struct(url.alias("url"), (body.isNotNull() & m["malformed"].isNotNull() & F.try_parse_json(body).isNull()).alias("bad"))
 
-    return F.element_at(F.transform(F.array(metadata(body)), told), 1)
+    return let(metadata(body), told)
 
 
 def schema_url(body: Column) -> Column:
@@ -44,16 +46,28 @@ def _digits(kind: str, url: Column) -> Column:
     return F.regexp_replace(found, r"^0+(?=\d)", "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def judged(kind: str, url: Column) -> Column:
+    """Struct (error, version): what the automatic parser of a kind says about a URL; error is null if it accepts it."""
+    bad = F.lit(f"Not a {kind}.json")
+
+    def told(digits: Column) -> Column:
+        known = F.coalesce(digits.try_cast("decimal(38,0)").between(1, LATEST[kind]), F.lit(False))
+        error = F.when(digits.isNull(), bad).when(~known, F.concat(F.lit(f"Unsupported {kind} version: "), digits))
+        error = error.when(~F.contains(url, F.concat(F.lit(f"/{kind}/v"), digits, F.lit(".json"))), F.concat(bad, F.lit(" v"), digits))
+        return F.struct(error.alias("error"), F.when(error.isNull(), digits.try_cast("int")).alias("version"))
+
+    named = F.coalesce(F.contains(url, F.lit(f"/{kind}/v")), F.lit(False))
+    return F.when(named, let(_digits(kind, url), told)).otherwise(F.struct(bad.alias("error"), F.lit(None).cast("int").alias("version")))
+
+
 def auto_error(kind: str, url: Column) -> Column:
     """What the automatic parser of a kind says about a URL; null if it accepts the document."""
-    digits, bad = _digits(kind, url), F.lit(f"Not a {kind}.json")
-    number = digits.try_cast("decimal(38,0)")
-    known = F.coalesce(number.between(1, LATEST[kind]), F.lit(False))
-    return (
-        F.when(url.isNull() | ~F.contains(url, F.lit(f"/{kind}/v")) | digits.isNull(), bad)
-        .when(~known, F.concat(F.lit(f"Unsupported {kind} version: "), digits))
-        .when(~F.contains(url, F.concat(F.lit(f"/{kind}/v"), digits, F.lit(".json"))), F.concat(bad, F.lit(" v"), digits))
-    )
+    return judged(kind, url)["error"]
 
 
 def pinned_error(kind: str, version: int, url: Column) -> Column:
@@ -79,11 +93,15 @@ def outcomes(df: DataFrame, body: str = "body") -> DataFrame:
     return out.select(*df.columns, F.inline(F.array(*each)))
 
 
-def _parsed(df: DataFrame, body: str, error: Column, version: Column, strict: bool) -> DataFrame:
-    name = _fresh(df)
-    out = df.withColumn(name, facts(F.col(body))).withColumn("schema_url", F.col(name)["url"])
-    out = out.withColumn("error", F.when(F.col(name)["bad"], F.lit(MALFORMED)).otherwise(error)).drop(name)
-    out = out.withColumn("version", F.when(F.col("error").isNull(), version))
+def _parsed(df: DataFrame, body: str, judge: Callable[[Column], Column], strict: bool) -> DataFrame:
+    """df with what judge says of each document's URL. The generator keeps filters on it from parsing documents again."""
+
+    def told(f: Column) -> Column:
+        said = F.when(f["bad"], F.struct(F.lit(MALFORMED).alias("error"), F.lit(None).cast("int").alias("version"))).otherwise(judge(f["url"]))
+        return let(said, lambda s: F.struct(f["url"].alias("schema_url"), s["error"].alias("error"), s["version"].alias("version")))
+
+    others = [F.col(f"`{c}`") for c in df.columns if c not in ("schema_url", "error", "version")]
+    out = df.select(*others, F.inline(F.array(let(facts(F.col(body)), told))))
     if strict:
         out = out.withColumn(body, F.when(F.col("error").isNull(), F.col(body)).otherwise(F.raise_error(F.col("error")).cast("string")))
     return out
@@ -94,13 +112,16 @@ def parse(df: DataFrame, kind: str, body: str = "body", strict: bool = False) ->
 
     The document itself stays as it is. strict raises the error when the body is read; else the error is a column.
     """
-    url = F.col("schema_url")
-    return _parsed(df, body, auto_error(kind, url), _digits(kind, url).try_cast("int"), strict)
+    return _parsed(df, body, lambda url: judged(kind, url), strict)
 
 
 def parse_version(df: DataFrame, kind: str, version: int, body: str = "body", strict: bool = False) -> DataFrame:
     """df as the parser of one version sees it."""
-    return _parsed(df, body, pinned_error(kind, version, F.col("schema_url")), F.lit(version), strict)
+
+    def judge(url: Column) -> Column:
+        return let(pinned_error(kind, version, url), lambda e: F.struct(e.alias("error"), F.when(e.isNull(), F.lit(version)).alias("version")))
+
+    return _parsed(df, body, judge, strict)
 
 
 def detect(df: DataFrame, body: str = "body") -> DataFrame:
@@ -108,16 +129,18 @@ def detect(df: DataFrame, body: str = "body") -> DataFrame:
 
     If none does, the kind is the first that the URL names and the error is that kind's; null without such a kind.
     """
-    name = _fresh(df)
-    out = df.withColumn(name, facts(F.col(body))).withColumn("schema_url", F.col(name)["url"])
-    bad = F.col(name)["bad"]
-    url, kind, named = F.col("schema_url"), F.lit(None).cast("string"), F.lit(None).cast("string")
-    for k in reversed(LATEST):
-        kind = F.when(auto_error(k, url).isNull(), F.lit(k)).otherwise(kind)
-        named = F.when(F.contains(url, F.lit(f"/{k}/v")), F.lit(k)).otherwise(named)
-    out = out.withColumn("kind", F.coalesce(kind, named))
-    version, error = F.lit(None).cast("int"), F.lit("Not an artifact")
-    for k in LATEST:
-        version = F.when((F.col("kind") == k) & auto_error(k, url).isNull(), _digits(k, url).try_cast("int")).otherwise(version)
-        error = F.when(F.col("kind") == k, auto_error(k, url)).otherwise(error)
-    return out.withColumn("version", version).withColumn("error", F.when(bad, F.lit(MALFORMED)).otherwise(error)).drop(name)
+
+    def cell(kind: Column, version: Column, error: Column) -> Column:
+        return F.struct(kind.cast("string").alias("kind"), version.cast("int").alias("version"), error.alias("error"))
+
+    def told(f: Column) -> Column:
+        url = f["url"]
+        named = {k: F.contains(url, F.lit(f"/{k}/v")) for k in LATEST}
+        accepted = lambda k: lambda j: F.when(j["error"].isNull(), cell(F.lit(k), j["version"], j["error"]))
+        taken = [F.when(named[k], let(judged(k, url), accepted(k))) for k in LATEST]
+        refused = [F.when(named[k], cell(F.lit(k), F.lit(None), auto_error(k, url))) for k in LATEST]
+        first = F.coalesce(*taken, *refused, cell(F.lit(None), F.lit(None), F.lit("Not an artifact")))
+        return let(first, lambda c: F.struct(url.alias("schema_url"), c["kind"].alias("kind"), c["version"].alias("version"), F.when(f["bad"], F.lit(MALFORMED)).otherwise(c["error"]).alias("error")))
+
+    others = [F.col(f"`{c}`") for c in df.columns if c not in ("schema_url", "kind", "version", "error")]
+    return df.select(*others, F.inline(F.array(let(facts(F.col(body)), told))))
