@@ -70,6 +70,21 @@ def release(*tables: DataFrame) -> None:
         _remove(df.sparkSession, _STORED.pop(df))
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Within: jobs that start hand tasks' Python workers about `most` bytes at once, and at least one row."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with as many underscores behind it as make it no column of df."""
     taken = {c.lower() for c in df.columns}

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, durable, fresh, release, runs, slices, span_hashes
+from .common import arrow_batches, code_points, durable, fresh, release, runs, slices, span_hashes
 
 WINDOW = 13
 #: Words of items that are searched for in one pass over the indexes.
@@ -19,6 +19,8 @@ PASS_WORDS = 200_000
 #: Words of a shard, about; a longer document is a shard of its own.
 SHARD_SYMBOLS = 150_000
 SAMPLE = 8
+#: Bytes of texts or shards that a Python worker is handed at once, about; a longer one is handed alone.
+BATCH_BYTES = 8 << 20
 
 SPANS = "array<struct<first:long,last:long,from:long,to:long>>"
 
@@ -276,7 +278,9 @@ def indexed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, batch.column(0).type), pa.nulls(1, pa.int64()), pa.array([shard], pa.binary())], ["row", "id", "n_words", "shard"])
             yield pa.RecordBatch.from_arrays([pa.array(numbers), batch.column(0), pa.array(words), pa.nulls(len(texts), pa.binary())], ["row", "id", "n_words", "shard"])
 
-    return durable(own.mapInArrow(build, f"row long, id {own.schema['id'].dataType.simpleString()}, n_words long, shard binary"))
+    made = own.mapInArrow(build, f"row long, id {own.schema['id'].dataType.simpleString()}, n_words long, shard binary")
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        return durable(made)
 
 
 def passes(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list, list]]:
@@ -328,7 +332,8 @@ def search(index: DataFrame, benchmark: DataFrame, item_col: str = "item_id", it
                         spans = [[dict(zip(("first", "last", "from", "to"), s)) for s in spans] for spans, _ in got.values()]
                         yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(spans, kind), pa.array([items for _, items in got.values()], pa.list_(pa.string()))], ["row", "spans", "items"])
 
-        part = durable(shards.mapInArrow(look, f"row long, spans {SPANS}, items array<string>"))
+        with arrow_batches(spark, BATCH_BYTES):
+            part = durable(shards.mapInArrow(look, f"row long, spans {SPANS}, items array<string>"))
         shared.destroy()
         found = part if found is None else found.unionByName(part)
     base = index.where("row is not null").select("row", "id", "n_words")
