@@ -27,32 +27,44 @@ def unescape(text: Column, table: tuple = ESCAPES) -> Column:
     return text
 
 
-def windows(conversations: DataFrame, budget: int = 1024, history: int = 128, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def windows(conversations: DataFrame, budget: int = 1024, history: int = 128, slack: int = 128, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Columns conv, window, text, own_from, loss (spans of code points in text): the training windows of conversations.
 
-    A turn's tokens are its white-space words and two for its marks. A conversation's prefix sums of turn tokens choose
-    spans: a turn is in window floor(tokens before it / own), where own is what the budget leaves beside history. Each
-    window has the conversation's first turn if that is a system turn, then the turns that start within `history` tokens before
-    it, then its span. Further system turns are like others: also where they follow the first one, a turn without a number
-    or, at the same number, an assistant turn.
-    Only assistant texts of the span are under the loss mask, so a repeated turn is never a target twice. A span may
-    pass its part of the budget by its last turn, since turns are whole. System turns in the span stand in it once.
+    A turn's tokens are the white-space words of its formatted line. Each window has the system turns that come before its
+    span, then the turns of the window before that begin within `history` tokens before it, then its span. A conversation's
+    first system turn is kept so, and further ones while their tokens together are a quarter of the budget at most; the
+    others are like any turn.
+
+    Prefix sums of the tokens of all turns but kept ones choose spans. They are cut into lengths of `own` tokens: what the
+    budget leaves beside the kept system turns, history and slack, but at least the slack. A turn belongs to the length it
+    begins in. If it ends in a later one and has more than `slack` tokens, it is a span of its own. So no window passes
+    the budget, unless one turn is too long for it, or the kept system turns leave less than the slack.
+
+    Only assistant texts of the span are under the loss mask, so a repeated turn is never a target twice.
 
     Turns go by number; equal numbers by role and text; nulls first. Null texts and roles are empty. Rows of null
     conversations form one conversation. An empty table gives no windows.
     """
-    own = budget - history
     role, text = F.coalesce(F.col(role_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     turns = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
-    turns = turns.withColumn("tokens", F.regexp_count("text", F.lit(r"\S+")).cast("long") + 2)
-    order = Window.partitionBy("conv").orderBy("turn", "role", "text")
-    turns = turns.withColumn("no", F.row_number().over(order)).withColumn("before", F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    turns = turns.withColumn("span", F.floor(F.col("before") / own))
-    turns = turns.withColumn("next_span", F.max("span").over(Window.partitionBy("conv"))).withColumn("is_system", F.col("role") == "system")
     turns = turns.withColumn("line", F.concat(F.lit(OPEN), escape(F.col("role"), ROLE_ESCAPES), F.lit(MIDDLE), escape(F.col("text")), F.lit(CLOSE)))
-    # A turn is in its own span's window; as history in the next one's, if near its start; a leading system turn in all later ones.
-    last = F.when(F.col("is_system") & (F.col("no") == 1), F.col("next_span")).when(F.col("before") >= (F.col("span") + 1) * own - history, F.least(F.col("span") + 1, F.col("next_span"))).otherwise(F.col("span"))
-    placed = turns.withColumn("window", F.explode(F.sequence(F.col("span"), last)))
+    turns = turns.withColumn("tokens", F.regexp_count("line", F.lit(r"\S+")).cast("long"))
+    whole = Window.partitionBy("conv")
+    order = whole.orderBy("turn", "role", "text")
+    is_system, so_far = F.col("role") == "system", order.rowsBetween(Window.unboundedPreceding, 0)
+    turns = turns.withColumn("no", F.row_number().over(order)).withColumn("systems", F.count(F.when(is_system, 1)).over(so_far)).withColumn("told", F.sum(F.when(is_system, F.col("tokens"))).over(so_far))
+    turns = turns.withColumn("kept", is_system & ((F.col("systems") == 1) | (F.col("told") <= budget // 4)))
+    turns = turns.withColumn("cost", F.when(F.col("kept"), 0).otherwise(F.col("tokens"))).withColumn("before", F.sum("cost").over(so_far) - F.col("cost"))
+    beside = F.coalesce(F.sum(F.when(F.col("kept"), F.col("tokens"))).over(whole), F.lit(0))
+    turns = turns.withColumn("own_tokens", F.greatest(F.lit(max(slack, 1)), budget - history - slack - beside))
+    length = F.floor(F.col("before") / F.col("own_tokens"))
+    alone = (F.col("cost") > slack) & (F.col("before") + F.col("cost") > (length + 1) * F.col("own_tokens"))
+    turns = turns.withColumn("span", 2 * length + alone.cast("long"))
+    later = whole.orderBy("span").rangeBetween(1, Window.unboundedFollowing)
+    turns = turns.withColumn("top", F.max("span").over(whole)).withColumn("next_span", F.min("span").over(later)).withColumn("next_before", F.min("before").over(later))
+    # A turn is in its own span's window; near its end in the next one's, as history; a kept system turn in all later ones.
+    near = F.col("next_before") - F.col("before") <= history
+    placed = turns.withColumn("window", F.explode(F.when(F.col("kept"), F.sequence("span", "top")).when(near, F.array("span", "next_span")).otherwise(F.array("span"))))
     placed = placed.withColumn("own", F.col("window") == F.col("span"))
     parts = placed.groupBy("conv", "window").agg(F.array_sort(F.collect_list(F.struct("no", "own", (F.col("own") & (F.col("role") == "assistant")).alias("target"), "line", (F.length(F.lit(OPEN + MIDDLE)) + F.length(escape(F.col("role"), ROLE_ESCAPES))).alias("head")))).alias("p"))
     # A window in which no turn starts has nothing of its own.

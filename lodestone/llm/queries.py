@@ -122,14 +122,21 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
 OP7 = """
 WITH every AS (SELECT conv_id, turn, role, text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '\\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\\### Assistant: </turn> ok')),
-t AS (SELECT conv_id, turn, coalesce(role, '') role, coalesce(text, '') text, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) + 2 tokens FROM every),
-n AS (SELECT *, row_number() OVER o no, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) before,
+t AS (SELECT *, len(regexp_extract_all('### ' || role || ': ' || text || '</turn>', '[^ \\t\\n\\x0B\\f\\r]+')) tokens
+  FROM (SELECT conv_id, turn, coalesce(role, '') role, coalesce(text, '') text FROM every)),
+n AS (SELECT *, row_number() OVER o no, role = 'system' AND (count(*) FILTER (role = 'system') OVER p = 1 OR sum(tokens) FILTER (role = 'system') OVER p <= 256) kept,
   length(role) + length(text) + len(regexp_extract_all(role, '[\\\\<#:]')) + len(regexp_extract_all(text, '[\\\\<#]')) + 14 chars
-  FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-s AS (SELECT *, (before // 896)::BIGINT span, max((before // 896)::BIGINT) OVER (PARTITION BY conv_id) top FROM n),
-own AS (SELECT DISTINCT conv_id, span FROM s),
-seen AS (SELECT conv_id, no, chars, unnest(range(span, CASE WHEN role = 'system' AND no = 1 THEN top WHEN before >= (span + 1) * 896 - 128 THEN least(span + 1, top) ELSE span END + 1)) span FROM s),
-f AS (SELECT conv_id, sum(chars)::BIGINT formatted_chars FROM seen JOIN own USING (conv_id, span) GROUP BY conv_id)
+  FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text), p AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, CASE WHEN kept THEN 0 ELSE tokens END cost, greatest(128, 768 - coalesce(sum(tokens) FILTER (kept) OVER (PARTITION BY conv_id), 0)) room FROM n),
+b AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY no ROWS UNBOUNDED PRECEDING) - cost before FROM c),
+l AS (SELECT *, (2 * (before // room) + (cost > 128 AND before + cost > (before // room + 1) * room)::INT)::BIGINT span FROM b),
+s AS (SELECT *, max(span) OVER (PARTITION BY conv_id) top FROM l),
+own AS (SELECT conv_id, span, min(before) start, lead(span) OVER (PARTITION BY conv_id ORDER BY span) following FROM s GROUP BY conv_id, span),
+seen AS (SELECT conv_id, span, chars FROM s
+  UNION ALL SELECT s.conv_id, own.span, chars FROM s JOIN own ON s.conv_id = own.conv_id AND own.span > s.span WHERE kept
+  UNION ALL SELECT s.conv_id, after.span, chars FROM s JOIN own USING (conv_id, span) JOIN own after ON own.conv_id = after.conv_id AND own.following = after.span
+  WHERE NOT kept AND after.start - before <= 128),
+f AS (SELECT conv_id, sum(chars)::BIGINT formatted_chars FROM seen GROUP BY conv_id)
 SELECT conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY no)) turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY no) FILTER (role = 'assistant'), '')) loss_sha256, any_value(formatted_chars) formatted_chars

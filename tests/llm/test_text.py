@@ -120,7 +120,7 @@ def test_chat_round_trip(spark):
     rows = [(c, t, rng.choice(["user", "assistant", "system", None, "odd: role#"]), "".join(rng.choices(bits, k=rng.randint(0, 30))) if rng.random() < 0.9 else None, "clash") for c in range(6) for t in range(rng.choice([1, 2, 40]))]
     rows += [(9, 0, "system", "rules", ""), *[(9, t, ["assistant", "user"][t % 2], "w " * 9, "") for t in range(1, 60)], (None, None, "user", "x", ""), rows[0], rows[0]]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window string").repartition(3)
-    out = chat.windows(df, budget=60, history=20)
+    out = chat.windows(df, budget=60, history=15, slack=12)
     back = {r.conv: r for r in chat.read_back(out).collect()}
     want = defaultdict(list)
     for c, t, role, text, _ in rows:
@@ -132,9 +132,33 @@ def test_chat_round_trip(spark):
         assert list(back[c].targets) == [t[2] for t in turns if t[1] == "assistant"]
     nine = sorted((r.window, r.text, r.own_from) for r in out.where("conv = 9").collect())
     assert len(nine) > 5 and all(text.startswith("### system: rules</turn>") for _, text, _ in nine)
-    assert all(len(text.split()) < 60 + 20 and own > 30 for _, text, own in nine[1:])
+    assert all(len(text.split()) <= 60 and own > 30 for _, text, own in nine[1:])
     d = {r.conv: r for r in chat.digests(chat.read_back(out)).collect()}[9]
     told = "".join(f"{r}\n{t}\n" for _, r, t in want[9])
     assert d.turns_sha256 == hashlib.sha256(told.encode()).hexdigest() and d.n_turns == 60
     assert d.formatted_chars == sum(len(t) for _, t, _ in nine) and d.loss_chars == sum(len(t) for _, r, t in want[9] if r == "assistant")
     assert chat.read_back(chat.windows(df.where("false"))).count() == 0
+
+
+def test_chat_windows_keep_the_budget_and_the_system_turns(spark):
+    rng = random.Random(8)
+    rows = [(1, t, "system" if t in (0, 1, 40) else ["user", "assistant"][t % 2], "w " * rng.randint(0, 40)) for t in range(200)]
+    rows += [(2, None, "user", "early"), (2, 3, "assistant", "a " * 30), (2, 3, "system", "rules"), *[(2, t, "user", "u " * rng.choice([1, 150, 400])) for t in range(4, 60)]]
+    rows += [(3, 0, "system", "long " * 900), *[(3, t, "assistant", "b " * 50) for t in range(1, 40)], *[(4, t, "system", "s " * 30) for t in range(50)]]
+    out = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=400, history=50, slack=40).collect()
+    made = defaultdict(list)
+    for r in sorted(out, key=lambda r: (r.conv, r.window)):
+        made[r.conv].append([(x.split(": ")[0][4:], len(x.split()), x) for x in r.text.split("</turn>\n")[:-1]] + [r])
+    count = lambda w: sum(n + (x.endswith(": ")) for _, n, x in w[:-1])
+    for c in (1, 4):
+        assert len(made[c]) > 4 and all(count(w) <= 400 for w in made[c])
+    for w in made[2]:  # over the budget only with one turn that is too long for it
+        assert count(w) <= 400 or w[-1].text[w[-1].own_from :].count("</turn>") == 1
+    firm = [x for _, _, x in made[1][0][:2]]
+    assert all([x for _, _, x in w[:2]] == firm for w in made[1])
+    where = [i for i, w in enumerate(made[2]) if any(r == "system" for r, _, _ in w[:-1])]
+    assert where == list(range(where[0], len(made[2]))) and len(where) > 5
+    assert all(w[0][0] == "system" and count(w[1:]) <= 50 + 40 + 40 for w in made[3][1:])
+    assert all(sum(r == "system" and x in {y for _, _, y in made[4][0][:-1]} for r, _, x in w[:-1]) for w in made[4])
+    repeated = [r.text[: r.own_from] for r in out if r.conv == 1 and r.window]
+    assert all(len("".join(x for x in t.split("### ")[4:]).split()) <= 50 + 60 for t in repeated)
