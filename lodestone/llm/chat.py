@@ -27,7 +27,7 @@ def unescape(text: Column, table: tuple = ESCAPES) -> Column:
     return text
 
 
-def windows(conversations: DataFrame, budget: int = 1024, history: int = 128, slack: int = 128, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def windows(conversations: DataFrame, budget: int = 1024, history: int = 128, slack: int | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Columns conv, window, text, own_from, loss (spans of code points in text): the training windows of conversations.
 
     A turn's tokens are the white-space words of its formatted line. Each window has the system turns that come before its
@@ -36,7 +36,7 @@ def windows(conversations: DataFrame, budget: int = 1024, history: int = 128, sl
     others are like any turn.
 
     Prefix sums of the tokens of all turns but kept ones choose spans. They are cut into lengths of `own` tokens: what the
-    budget leaves beside the kept system turns, history and slack, but at least the slack. A turn belongs to the length it
+    budget leaves beside the kept system turns, history and slack (as much as history if None), but at least the slack. A turn belongs to the length it
     begins in. If it ends in a later one and has more than `slack` tokens, it is a span of its own. So no window passes
     the budget, unless one turn is too long for it, or the kept system turns leave less than the slack.
 
@@ -45,6 +45,7 @@ def windows(conversations: DataFrame, budget: int = 1024, history: int = 128, sl
     Turns go by number; equal numbers by role and text; nulls first. Null texts and roles are empty. Rows of null
     conversations form one conversation. An empty table gives no windows.
     """
+    slack = history if slack is None else slack
     role, text = F.coalesce(F.col(role_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     turns = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), role.alias("role"), text.alias("text"))
     turns = turns.withColumn("line", F.concat(F.lit(OPEN), escape(F.col("role"), ROLE_ESCAPES), F.lit(MIDDLE), escape(F.col("text")), F.lit(CLOSE)))
