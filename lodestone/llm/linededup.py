@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import code_points, durable, mix, release, runs, slices, span_hashes
+from .common import code_points, durable, fresh, mix, release, runs, slices, span_hashes
 
 #: Counters of the rarity table, and counters that one row of it holds.
 BUCKETS, SLAB = 1 << 19, 1 << 14
@@ -45,10 +45,12 @@ def line_tokens(texts: Sequence[str | None], words: bool = True) -> tuple[np.nda
     """Tokens of the lines of texts: 64-bit hash and line of each; row and number in its row of each line.
 
     A line's tokens are its lower-case words if `words`, else the adjacent pairs of these, or its word if it has one.
-    Lines end at line feeds.
+    Lines end at line feeds only; a NUL character is white space within its line.
     """
     points, begin = code_points([(t or "").lower() for t in texts])
-    ends = np.flatnonzero((points == 10) | (points == 0))
+    last = points == 10
+    last[begin[1:] - 1] = True
+    ends = np.flatnonzero(last)
     start, end = runs(~spaces()[points])
     of = np.searchsorted(ends, start)
     h = span_hashes(points, start, end)
@@ -99,7 +101,7 @@ def rarity(docs: DataFrame, text_col: str = "text", words: bool = True) -> np.nd
         total = np.sum([np.frombuffer(b, "<u4") for b in pdf["n"]], axis=0, dtype=np.int64)
         return pd.DataFrame({"slab": pdf["slab"][:1], "n": [total.astype("<i8").tobytes()]})
 
-    slabs = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "slab int, n binary")
+    slabs = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(count, "slab int, n binary")
     found = slabs.groupBy("slab").applyInPandas(add, "slab int, n binary").collect()  # BUCKETS numbers in all
     table = np.zeros((BUCKETS // SLAB, SLAB), np.int64)
     for r in found:
@@ -227,7 +229,7 @@ def lines(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col:
             none = pa.nulls(len(texts), pa.int64())
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(texts), -1, np.int32)), none, none, pa.array(many), pa.nulls(len(texts), pa.binary()), none, none, none, none], NAMES)
 
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return own.mapInArrow(cut, f"id {own.schema['id'].dataType.simpleString()}, no int, k1 long, k2 long, n int, heads binary, {SKETCH}")
 
 
@@ -405,7 +407,7 @@ def token_sets(docs: DataFrame, table: np.ndarray, needed: DataFrame, found: Dat
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(k1[rep]), pa.array(k2[rep]), packed(token, start[rep], n[rep], np.arange(len(rep)), len(rep))], ["k1", "k2", "tokens"])
 
-    some = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).cast("string").alias("text")).mapInArrow(again, "k1 long, k2 long, tokens binary")
+    some = docs.select(F.xxhash64(F.col(f"`{id_col}`")).alias("h"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(again, "k1 long, k2 long, tokens binary")
     return some.join(needed, F.col("k1") == F.col("need"), "left_semi").groupBy("k1", "k2").agg(F.any_value("tokens").alias("tokens"))
 
 
@@ -533,8 +535,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: float = NEAR, words: bool = True) -> DataFrame:
-    """docs with the repeated lines cut out of their texts; all columns and rows stay."""
-    found = repeated_lines(docs, id_col, text_col, near, words).select(F.col("id").alias("_id"), F.col("removed").alias("_removed"))
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    met = docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    return met.withColumn(text_col, F.when(F.size("_removed") > 0, kept).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with the repeated lines cut out of their texts; all columns, whatever their names, and all rows stay."""
+    of, cut = fresh(docs, "_of"), fresh(docs, "_cut")
+    found = repeated_lines(docs, id_col, text_col, near, words).select(F.col("id").alias(of), F.col("removed").alias(cut))
+    text = F.col(f"`{text_col}`")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(cut, i)), "\n")
+    met = docs.join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(of)), "left")
+    return met.select(*[F.when(F.size(cut) > 0, kept).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -349,3 +349,20 @@ def test_ids_of_any_type_and_repeated_ids(spark):
     assert {r.id: (r.n_lines, list(r.removed), r.n_links) for r in got.collect()} == {"b": (2, [0, 1], 2), "a": (2, [0], 1), None: (2, [1], 0)}
     cut = {(r.doc_id, r.text) for r in linededup.without_repeated_lines(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
     assert ("b", "") in cut and (None, "other words") in cut
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_lines_end_at_line_feeds_only(spark, words):
+    line = "alpha beta gamma delta"
+    texts = [f"x\0y\n{line}\n{line}\nlast one here now", f"\0{line}\nfirst\0one", f"end one here\n{line} \0", f"a\rb\u2028{line}\rc\n{line}", "\0", "\0\n\0", "tail one\0"]
+    rows = [(i, t, "clash", "clash", "clash") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string, _removed string, `a.b` string")
+    got = {r.id: (r.n_lines, list(r.removed), r.n_links) for r in linededup.repeated_lines(df, words=words).collect()}
+    plain = [(i, t.replace("\0", " ").replace("\u2028", " ")) for i, t in enumerate(texts)]
+    want = plain_word_lines(plain) if words else plain_lines(plain)
+    assert got == want
+    kept = linededup.without_repeated_lines(df, words=words)
+    assert kept.columns == df.columns
+    cut = {r.doc_id: r.text for r in kept.collect()}
+    assert cut == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i][1]) for i, t in enumerate(texts)}
+    assert cut[0] == f"x\0y\n{line}\nlast one here now"
