@@ -98,8 +98,22 @@ def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations and their cheapest repair; the digest of a conversation needs its turns together."""
+    from .structure import damaged, repair, repaired, report
+
+    every = table(spark, sf_dir, "conversations")
+    rows, found = repair(damaged(every))
+    line = F.struct("place", F.concat("role", F.lit(":"), "text").alias("line"))
+    digests = repaired(rows, found).groupBy(F.col("conv").alias("c")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n"), 256).alias("sha"))
+    ids = every.select("conv_id").distinct()
+    met = ids.join(report(rows, found), F.col("conv_id").eqNullSafe(F.col("conv")), "left").join(digests, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return met.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_tokens, op3_toxicity, op4_lines, op5_decontamination, op6_simhash, op7_chat, op8_mixing, op9_sharding, op10_sketch)}
+    return {f.__name__: f for f in (op1_language, op2_tokens, op3_toxicity, op4_lines, op5_decontamination, op6_simhash, op7_chat, op8_mixing, op9_sharding, op10_sketch, op11_structure)}
 
 
 #: A-Z as a-z, nothing else changed.
