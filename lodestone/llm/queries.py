@@ -112,8 +112,22 @@ def op11_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import drawn, weights
+
+    found = drawn(weights(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import neighbours
+
+    found = neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_tokens, op3_toxicity, op4_lines, op5_decontamination, op6_simhash, op7_chat, op8_mixing, op9_sharding, op10_sketch, op11_structure)}
+    return {f.__name__: f for f in (op1_language, op2_tokens, op3_toxicity, op4_lines, op5_decontamination, op6_simhash, op7_chat, op8_mixing, op9_sharding, op10_sketch, op11_structure, op12_importance, op13_neighbours)}
 
 
 #: A-Z as a-z, nothing else changed.
@@ -157,5 +171,26 @@ SELECT conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || c
 FROM s JOIN f USING (conv_id) GROUP BY conv_id"""
 
 
+#: crc32 of a word or pair, bit by bit: the UTF-8 bytes' bits, least first, go through the polynomial.
+_BITS = "list_transform(range(8 * octet_length(encode(key))), lambda i: (('0x' || substr(hex(encode(key)), 2 * (i // 8) + 1, 2))::BIGINT >> (i % 8)) & 1)"
+_CRC32 = f"xor(list_reduce(list_concat([4294967295::BIGINT], {_BITS}), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+
+OP12 = f"""
+WITH every AS (SELECT 0 AS side, doc_id, row_number() OVER () no, text FROM documents UNION ALL SELECT 1, NULL, row_number() OVER (), text FROM benchmark),
+w AS (SELECT side, doc_id, no, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w FROM every),
+f AS (SELECT side, no, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) key FROM w),
+each AS (SELECT side, no, key, count(*) n FROM f GROUP BY ALL),
+known AS (SELECT key, {_CRC32} % 10000 bucket FROM (SELECT DISTINCT key FROM each)),
+held AS (SELECT bucket, coalesce(sum(n) FILTER (side = 0), 0) s, coalesce(sum(n) FILTER (side = 1), 0) t FROM each JOIN known USING (key) GROUP BY bucket),
+total AS (SELECT coalesce(sum(s), 0) ss, coalesce(sum(t), 0) tt FROM held),
+gain AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (ss + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (tt + 10000)::DOUBLE)))::BIGINT gain FROM held, total),
+sums AS (SELECT no, sum(n)::BIGINT n_features, sum(n * gain)::BIGINT total FROM each JOIN known USING (key) JOIN gain USING (bucket) WHERE side = 0 GROUP BY no),
+d AS (SELECT doc_id, len(w) n_words, coalesce(n_features, 0) n_features, coalesce(floor(total / n_features), 0)::BIGINT weight,
+  ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT h FROM w LEFT JOIN sums USING (no) WHERE side = 0),
+r AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT score FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST, weight, n_features) place, count(*) FILTER (n_words >= 20) OVER () able FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * able // 100 THEN place END AS "rank" FROM o"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5, "op7_chat": OP7}
+    return {"op5_decontamination": OP5, "op7_chat": OP7, "op12_importance": OP12}
