@@ -17,13 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, durable, fresh, slices
+from .common import arrow_batches, columns, durable, fresh, slices
 
 BUCKETS = 10_000
 #: Characters of the texts of a block, about; each text is whole.
-BLOCK = 24_000_000
+BLOCK = 8_000_000
 #: Words of all texts for each part that the dictionary is cut into, about.
-PART_WORDS = 1_000_000
+PART_WORDS = 500_000
 #: What is no word: ASCII but for digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -144,7 +144,8 @@ def dictionary(cut: DataFrame, parts: int) -> DataFrame:
 
 def counted(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int, np.ndarray]:
     """blocks and dictionary of texts, as written tables; into how many parts; and the features in each bucket."""
-    cut = durable(blocks(docs, id_col, text_col))
+    with arrow_batches(docs.sparkSession, 2 * BLOCK):
+        cut = durable(blocks(docs, id_col, text_col))
     words = cut.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     parts = 1 + words // PART_WORDS
     known = durable(dictionary(cut, parts))

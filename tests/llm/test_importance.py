@@ -46,7 +46,7 @@ def plain(rows, items):
     return Counter([*done, *[(*r, None) for r in left.elements()]])
 
 
-@pytest.mark.parametrize("block,part", [(24_000_000, 1_000_000), (300, 50)])
+@pytest.mark.parametrize("block,part", [(8_000_000, 500_000), (300, 50)])
 def test_query_equals_the_plain_version(spark, docs, rows, tmp_path, monkeypatch, block, part):
     monkeypatch.setattr(importance, "BLOCK", block)
     monkeypatch.setattr(importance, "PART_WORDS", part)
