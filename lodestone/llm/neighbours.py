@@ -16,10 +16,10 @@ from pyspark.sql import Window
 from .common import durable, release
 
 TREES = 16
-#: Rows of a leaf, about, as long as the sample has SAMPLE_LEAF of them for each leaf.
-LEAF = 64
 #: Different vectors that trees are fitted on at most, and bytes of them (as 32-bit floats); every vector is indexed.
-SAMPLE, SAMPLE_BYTES, SAMPLE_LEAF = 32_768, 1 << 26, 16
+SAMPLE, SAMPLE_BYTES = 8192, 1 << 26
+#: Sampled vectors of a leaf, about: so trees have as many leaves as the sample allows, however many rows are indexed.
+SAMPLE_LEAF = 16
 #: Queries whose exact neighbours tell how many leaves must be searched, and the share of these that must be found.
 TUNED, TARGET = 64, 0.96
 #: Rows of a leaf, and queries that visit it, that meet in one group.
@@ -130,7 +130,7 @@ def fit(classes: DataFrame, width: int, total: int, trees: int = TREES) -> Fores
     got = hashed.toArrow()
     order = np.argsort(got.column("h").to_numpy(), kind="stable")[:most]
     sample = matrix(got.column("vec"), width).astype(np.float32)[order]
-    depth = max(0, int(np.log2(max(1, min(total / LEAF, len(sample) / SAMPLE_LEAF)))))
+    depth = int(np.log2(max(1, len(sample) / SAMPLE_LEAF)))
     sent = spark.sparkContext.broadcast(sample)  # at most SAMPLE_BYTES
 
     def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

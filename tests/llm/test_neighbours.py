@@ -55,7 +55,6 @@ def test_few_vectors(spark, rows, queries_):
 
 
 def test_recall_and_exact_distances_with_small_leaves_and_groups(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "LEAF", 16)
     monkeypatch.setattr(neighbours, "TOGETHER", 8)
     monkeypatch.setattr(neighbours, "SAMPLE", 1500)
     rng = np.random.default_rng(2)
