@@ -1,6 +1,6 @@
 """Catalogs as tables. Input: artifact_id, body."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fields of catalogs.
@@ -10,9 +10,12 @@ CATALOG = f"nodes map<string,{_TABLE}>, sources map<string,{_TABLE}>, errors arr
 
 def catalog_tables(docs: DataFrame) -> DataFrame:
     """A row for each table: origin (nodes or sources), unique_id (its key), metadata, columns, stats."""
+    def listed(origin: str) -> Column:
+        return F.transform(F.coalesce(F.map_entries(F.col(f"c.{origin}")), F.array()), lambda e: F.struct(F.lit(origin).alias("origin"), e["key"].alias("unique_id"), e["value"].alias("t")))
+
     got = docs.select("artifact_id", F.from_json("body", CATALOG).alias("c"))
-    parts = [got.select("artifact_id", F.lit(o).alias("origin"), F.explode(f"c.{o}").alias("unique_id", "t")) for o in ("nodes", "sources")]
-    return parts[0].union(parts[1]).select("artifact_id", "origin", "unique_id", "t.metadata.*", "t.columns", "t.stats")
+    each = got.select("artifact_id", F.inline(F.concat(listed("nodes"), listed("sources"))))
+    return each.select("artifact_id", "origin", "unique_id", "t.metadata.*", "t.columns", "t.stats")
 
 
 def catalog_columns(docs: DataFrame) -> DataFrame:

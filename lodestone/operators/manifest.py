@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 #: Root keys of manifests, and the fields of each that are columns (name, path, type).
 FIELDS = {
-    "nodes": "resource_type name database schema package_name path original_file_path alias language description compiled:boolean relation_name access version group docs.node_color checksum.checksum config.materialized config.enabled:boolean config.incremental_strategy config.on_schema_change config.freshness.build_after.count:bigint config.freshness.build_after.period config.freshness.build_after.updates_on config.event_time contract.enforced:boolean created_at:double fqn:array<string> root_path",
-    "sources": "resource_type name source_name identifier database schema package_name loader loaded_at_field relation_name description fqn:array<string> freshness:variant external:variant created_at:double",
+    "nodes": "resource_type name database schema package_name path original_file_path alias language description compiled:boolean relation_name access version group docs.node_color checksum.checksum config.materialized config.enabled:boolean config.incremental_strategy config.on_schema_change config.freshness.build_after.count:bigint config.freshness.build_after.period config.freshness.build_after.updates_on config.event_time config.batch_size config.begin config.lookback:bigint config.concurrent_batches:boolean contract.enforced:boolean created_at:double fqn:array<string> root_path",
+    "sources": "resource_type name source_name identifier database schema package_name loader loaded_at_field relation_name description fqn:array<string> freshness:variant external:variant external.location external.file_format external.row_format external.tbl_properties external.partitions:variant created_at:double",
     "macros": "resource_type name package_name path macro_sql description arguments:variant created_at:double",
     "docs": "resource_type name package_name path block_contents",
     "groups": "resource_type name package_name path owner.name owner.email:variant",
@@ -100,19 +100,22 @@ _CONSTRAINT = ("type", "name", "expression", "to")
 
 def constraints(docs: DataFrame, root: str = "nodes") -> DataFrame:
     """Constraints of nodes (column is null; columns lists those named) and of their columns, with whether the contract is enforced."""
-    each = entries(docs, root).select("artifact_id", "unique_id", F.coalesce(_get("value", "contract.enforced", "boolean"), F.lit(False)).alias("enforced"), "value")
-    own = each.select("artifact_id", "unique_id", "enforced", F.lit(None).cast("string").alias("column"), F.explode(_get("value", "constraints", "array<variant>")).alias("value"))
-    inner = each.select("artifact_id", "unique_id", "enforced", F.explode(_get("value", "columns", "map<string,variant>")).alias("column", "value"))
-    inner = inner.select("artifact_id", "unique_id", "enforced", "column", F.explode(_get("value", "constraints", "array<variant>")).alias("value"))
-    return own.unionByName(inner).select("artifact_id", "unique_id", "enforced", "column", *[_get("value", c).alias(c) for c in _CONSTRAINT], _get("value", "columns", "array<string>").alias("columns"), _get("value", "to_columns", "array<string>").alias("to_columns"))
+    each = lambda of, list_: F.transform(F.coalesce(list_, F.array()), lambda c: F.struct(of.cast("string").alias("column"), c.alias("value")))
+    own = each(F.lit(None), _get("value", "constraints", "array<variant>"))
+    inner = F.transform(F.coalesce(F.map_entries(_get("value", "columns", "map<string,variant>")), F.array()), lambda e: each(e["key"], F.try_variant_get(e["value"], "$.constraints", "array<variant>")))
+    enforced = F.coalesce(_get("value", "contract.enforced", "boolean"), F.lit(False))
+    found = entries(docs, root).select("artifact_id", "unique_id", enforced.alias("enforced"), F.inline(F.concat(own, F.flatten(inner))))
+    warns = [_get("value", c, "boolean").alias(c) for c in ("warn_unenforced", "warn_unsupported")]
+    return found.select("artifact_id", "unique_id", "enforced", "column", *[_get("value", c).alias(c) for c in _CONSTRAINT], *warns, _get("value", "columns", "array<string>").alias("columns"), _get("value", "to_columns", "array<string>").alias("to_columns"))
 
 
 def unit_test_rows(docs: DataFrame) -> DataFrame:
     """What unit tests give and expect: part (given or expect), pos, input, format, rows (a variant)."""
-    each = entries(docs, "unit_tests").select("artifact_id", "unique_id", "value")
-    given = each.select("artifact_id", "unique_id", F.lit("given").alias("part"), F.posexplode(_get("value", "given", "array<variant>")).alias("pos", "value"))
-    expect = each.select("artifact_id", "unique_id", F.lit("expect").alias("part"), F.lit(0).alias("pos"), _get("value", "expect", "variant").alias("value")).where("value is not null")
-    return given.unionByName(expect).select("artifact_id", "unique_id", "part", "pos", _get("value", "input").alias("input"), _get("value", "format").alias("format"), _get("value", "rows", "variant").alias("rows"))
+    told = lambda part, pos, value: F.struct(F.lit(part).alias("part"), pos.alias("pos"), value.alias("value"))
+    given = F.transform(F.coalesce(_get("value", "given", "array<variant>"), F.array()), lambda x, i: told("given", i, x))
+    expect = F.array(told("expect", F.lit(0), _get("value", "expect", "variant")))
+    each = entries(docs, "unit_tests").select("artifact_id", "unique_id", F.inline(F.concat(given, expect))).where("part = 'given' or value is not null")
+    return each.select("artifact_id", "unique_id", "part", "pos", _get("value", "input").alias("input"), _get("value", "format").alias("format"), _get("value", "rows", "variant").alias("rows"))
 
 
 def semantic_parts(docs: DataFrame, part: str) -> DataFrame:

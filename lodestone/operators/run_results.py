@@ -11,6 +11,9 @@ RESULTS = (
     "overload_results:struct<successful:array<string>,failed:array<string>>>>"
 )
 
+#: What adapters tell of a result.
+_RESPONSE = {"_message": "string", "code": "string", "rows_affected": "bigint", "bytes_processed": "bigint", "query_id": "string"}
+
 
 def run_results(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each result of each document, with the columns of docs named by `keep`, such as version.
@@ -35,18 +38,33 @@ def run_timings(docs: DataFrame) -> DataFrame:
     return each.select("artifact_id", "result_pos", "unique_id", "pos", "t.name", "t.started_at", "t.completed_at", start.alias("started_ts"), end.alias("completed_ts"), ((F.unix_micros(end) - F.unix_micros(start)) / 1e6).alias("seconds"))
 
 
+def _outcomes(docs: DataFrame, parts: str, name: str) -> DataFrame:
+    """The successful and the failed parts of each result, by outcome and place."""
+    listed = lambda o: F.transform(F.coalesce(F.col(f"{parts}.{o}"), F.array()), lambda x, i: F.struct(F.lit(o).alias("outcome"), i.alias("pos"), x.alias(name)))
+    return run_results(docs).select("artifact_id", F.col("pos").alias("result_pos"), F.inline(F.concat(listed("successful"), listed("failed"))))
+
+
 def run_batches(docs: DataFrame) -> DataFrame:
     """A row for each batch of microbatch results, by outcome."""
-    r = run_results(docs)
-    parts = [r.select("artifact_id", F.col("pos").alias("result_pos"), F.lit(o).alias("outcome"), F.posexplode(f"batch_results.{o}").alias("pos", "batch")) for o in ("successful", "failed")]
-    return parts[0].union(parts[1])
+    return _outcomes(docs, "batch_results", "batch")
 
 
 def run_overloads(docs: DataFrame) -> DataFrame:
     """A row for each overload of function results, by outcome."""
-    r = run_results(docs)
-    parts = [r.select("artifact_id", F.col("pos").alias("result_pos"), F.lit(o).alias("outcome"), F.posexplode(f"overload_results.{o}").alias("pos", "overload")) for o in ("successful", "failed")]
-    return parts[0].union(parts[1])
+    return _outcomes(docs, "overload_results", "overload")
+
+
+def run_args(docs: DataFrame) -> DataFrame:
+    """A row for each argument of each run; value as text."""
+    each = docs.select("artifact_id", F.explode(F.from_json("body", "args map<string,variant>")["args"]).alias("name", "v"))
+    return each.select("artifact_id", "name", F.try_variant_get("v", "$", "string").alias("value"))
+
+
+def adapter_responses(docs: DataFrame) -> DataFrame:
+    """What the database said of each result: rows_affected, bytes_processed, code, query_id, message, where it told them."""
+    got = run_results(docs)
+    told = [F.try_variant_get(F.col("adapter_response")[c], "$", kind).alias(c if c != "_message" else "response") for c, kind in _RESPONSE.items()]
+    return got.select("artifact_id", "pos", "unique_id", *told)
 
 
 def status_totals(results: DataFrame) -> DataFrame:

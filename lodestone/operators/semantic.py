@@ -45,21 +45,101 @@ def ratio(df: DataFrame, name: str, numerator: Column, denominator: Column, by:
     return df.groupBy(*by).agg(F.try_divide(numerator, denominator).alias(name))
 
 
-def cumulative(totals: DataFrame, name: str, value: str, period: str, by: list[str] = (), window_days: int | None = None, grain_to_date: str | None = None) -> DataFrame:
-    """totals with a running sum by period: of all time, of the last days, or from the start of a longer period."""
-    keys = [F.col(k) for k in by] + ([F.date_trunc(grain_to_date, period)] if grain_to_date else [])
-    if window_days is None:
-        w = Window.partitionBy(*keys).orderBy(period).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    else:
-        w = Window.partitionBy(*keys).orderBy(F.unix_seconds(F.col(period).cast("timestamp"))).rangeBetween(-86_400 * window_days + 1, 0)
-    return totals.withColumn(name, F.sum(value).over(w))
+#: Seconds, and months, of time units.
+_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}
+_MONTHS = {"month": 1, "quarter": 3, "year": 12}
+
 
+def cumulative(totals: DataFrame, name: str, value: str, period: str, by: list[str] = (), window_days: int | None = None, grain_to_date: str | None = None, window: str | None = None, unit: str = "day", agg: str = "sum") -> DataFrame:
+    """totals with a running sum (min, max) by period: of all time, of a window, or from the start of a longer period.
 
-def filled(totals: DataFrame, period: str, value: str, unit: str, default: float = 0) -> DataFrame:
-    """totals with a row for every period between the first and the last; missing values get the default."""
-    ends = totals.agg(F.min(period).alias("a"), F.max(period).alias("b")).where("a is not null")
-    spine = ends.select(F.explode(F.sequence("a", "b", F.expr(f"interval 1 {unit}"))).alias(period))
-    return spine.join(totals, period, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+    A window such as "3 month" ends with the row's period, which is one `unit`, and does not hold the period that long before.
+    Windows of months over shorter units are no frames of a fixed length: there each total is sent to the periods of which
+    the window holds it, as many as such a window has.
+    """
+    if window_days is not None:
+        window = f"{window_days} day"
+    keys = [F.col(f"`{k}`") for k in by] + ([F.date_trunc(grain_to_date, f"`{period}`")] if grain_to_date else [])
+    at, run = F.col(f"`{period}`").cast("timestamp"), {"sum": F.sum, "min": F.min, "max": F.max}[agg]
+    order = Window.partitionBy(*keys)
+    if window is None:
+        return totals.withColumn(name, run(f"`{value}`").over(order.orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    n, of = window.split()
+    of = of.removesuffix("s")
+    if of in _SECONDS:
+        # Months as units: the window is at least one of them.
+        length = int(n) * _SECONDS[of] - _SECONDS.get(unit, 0)
+        return totals.withColumn(name, run(f"`{value}`").over(order.orderBy(F.unix_seconds(at)).rangeBetween(-max(length, 0), 0)))
+    if unit in _MONTHS:
+        month = F.year(at) * 12 + F.month(at)
+        return totals.withColumn(name, run(f"`{value}`").over(order.orderBy(month).rangeBetween(-max(int(n) * _MONTHS[of] - _MONTHS[unit], 0), 0)))
+    held = F.sequence(at, at + F.expr(f"interval {window}") + F.expr("interval 3 day"), F.expr(f"interval 1 {unit}"))
+    sent = totals.select(*[c.alias(f"_k{i}") for i, c in enumerate(keys)], at.alias("_from"), F.col(f"`{value}`").alias("_value"), F.explode(held).alias("_at")).where(F.col("_from") > F.col("_at") - F.expr(f"interval {window}"))
+    sums = sent.groupBy(*[f"_k{i}" for i in range(len(keys))], "_at").agg(run("_value").alias("_sum"))
+    on = at == F.col("_at")
+    for i, c in enumerate(keys):
+        on = on & c.eqNullSafe(F.col(f"_k{i}"))
+    return totals.join(sums, on, "left").select(*[F.col(f"`{c}`") for c in totals.columns if c != name], F.col("_sum").alias(name))
+
+
+def filled(totals: DataFrame, period: str, value: str, unit: str, default: float | None = 0, by: list[str] = (), spine: DataFrame | None = None) -> DataFrame:
+    """totals with a row for every period of each group of `by`; missing values get the default, or stay null if it is None.
+
+    The periods are those of `spine`, a calendar with a column of the same name, between the first and the last of all
+    totals; without a spine, every unit between these. Other columns than period, value and `by` are null in new rows.
+    """
+    ends = totals.agg(F.min(period).alias("_a"), F.max(period).alias("_b")).where("_a is not null")
+    if spine is None:
+        every = ends.select(F.explode(F.sequence("_a", "_b", F.expr(f"interval 1 {unit}"))).alias(period))
+    else:
+        cut = F.date_trunc(unit, F.col(f"`{period}`")).cast(totals.schema[period].dataType)
+        every = spine.select(cut.alias(period)).distinct().join(F.broadcast(ends), F.col(period).between(F.col("_a"), F.col("_b"))).drop("_a", "_b")  # ends is one row
+    if not by:
+        return every.join(totals, period, "left").withColumn(value, F.coalesce(value, F.lit(default)) if default is not None else F.col(value))
+    # Each group gets the list of periods, which is as long as the calendar, by a join with its one row.
+    listed = every.agg(F.array_sort(F.collect_list(period)).alias("_periods"))
+    groups = totals.select(*[F.col(k).alias(f"_{k}") for k in by]).distinct().join(F.broadcast(listed)).select(*[f"_{k}" for k in by], F.explode("_periods").alias("_period"))
+    on = F.col("_period") == F.col(period)
+    for k in by:
+        on = on & F.col(f"_{k}").eqNullSafe(F.col(k))
+    met = groups.join(totals, on, "left")
+    known = {period: F.col("_period"), **{k: F.col(f"_{k}") for k in by}}
+    if default is not None:
+        known[value] = F.coalesce(value, F.lit(default))
+    return met.select(*[known.get(c, F.col(f"`{c}`")).alias(c) for c in totals.columns])
+
+
+def period_agg(totals: DataFrame, value: str, period: str, grain_: str, by: list[str] = (), how: str = "first") -> DataFrame:
+    """A running value at a longer period: its first, last or average value there."""
+    ways = {"first": lambda: F.min_by(value, period), "last": lambda: F.max_by(value, period), "average": lambda: F.avg(value)}
+    if how not in ways:
+        raise ValueError(f"Unknown period_agg: {how}")
+    return totals.groupBy(*by, grain(F.col(period), grain_).alias("_longer")).agg(ways[how]().alias(value)).withColumnRenamed("_longer", period)
+
+
+def first_seen(df: DataFrame, name: str, value: Column, period: Column, by: list[str] = (), grain_to_date: str | None = None) -> DataFrame:
+    """Columns of `by`, period, name: how many different values come up first in each period, of all time or of a longer
+    period. Their running sum is the exact count of different values; sums of counts are not. Periods with values have a
+    row, also if none is new."""
+    own = df.select(*[F.col(f"`{k}`") for k in by], value.alias("_value"), period.alias("period")).where("_value is not null and period is not null")
+    longer = [F.date_trunc(grain_to_date, "period").alias("_longer")] if grain_to_date else []
+    first = own.groupBy(*by, *longer, "_value").agg(F.min("period").alias("period"))
+    there = own.select(*by, "period", F.lit(0).alias("_new")).distinct()
+    return first.select(*by, "period", F.lit(1).alias("_new")).union(there).groupBy(*by, "period").agg(F.sum("_new").alias(name))
+
+
+def distinct_in_window(df: DataFrame, name: str, value: Column, period: Column, window: str, unit: str = "day", by: list[str] = (), lg_k: int = 14) -> DataFrame:
+    """Columns of `by`, period, name: an estimate of how many different values the window that ends with each period holds.
+
+    One sketch a period, merged for the windows it is in; the standard error is about 1.04 / sqrt(2 ** lg_k), 0.8 % by
+    default. Periods within a window of one with values have a row, up to the last such period.
+    """
+    own = df.select(*[F.col(f"`{k}`") for k in by], value.cast("string").alias("_value"), period.cast("timestamp").alias("period")).where("_value is not null and period is not null")
+    each = own.groupBy(*by, "period").agg(F.hll_sketch_agg("_value", lg_k).alias("_sketch"))
+    last = own.agg(F.max("period").alias("_last"))
+    ends = F.sequence("period", F.least(F.col("_last"), F.col("period") + F.expr(f"interval {window}") - F.expr(f"interval 1 {unit}")), F.expr(f"interval 1 {unit}"))
+    spread = each.join(F.broadcast(last)).select(*[F.col(f"`{k}`") for k in by], F.explode(ends).alias("period"), "_sketch")  # last is one row
+    return spread.groupBy(*by, "period").agg(F.hll_sketch_estimate(F.hll_union_agg("_sketch")).alias(name))
 
 
 def saved_query(df: DataFrame, metrics: dict[str, Column], group_by: list[Column] = (), where: list[str] = (), order_by: list[Column] = (), limit: int | None = None) -> DataFrame:
@@ -90,15 +170,19 @@ def derived(totals: DataFrame, name: str, expr: str, period: str, inputs: dict[s
     return out.withColumn(name, F.expr(expr))
 
 
-def conversion(base: DataFrame, conversions: DataFrame, name: str, entity: str, at: str, window: str | None = None, rate: bool = True, by: list[str] = ()) -> DataFrame:
+def conversion(base: DataFrame, conversions: DataFrame, name: str, entity: str, at: str, window: str | None = None, rate: bool = True, by: list[str] = (), constant: list[tuple[str, str]] = ()) -> DataFrame:
     """By columns of base: base events, conversions and, if `rate`, their quotient.
 
-    A conversion counts for the last base event of its entity that is not later, if that is no longer than `window` before.
-    Events of an entity are put in order once; no pairs of events are made.
+    A conversion counts for the last base event of its entity that is not later, if that is no longer than `window` before,
+    and that agrees with it in the constant properties, pairs of a column of base and one of conversions (nulls agree).
+    Events of an entity and properties are put in order once; no pairs of events are made.
     """
-    first = base.select(F.col(entity).alias("_e"), F.col(at).cast("timestamp").alias("_at"), F.lit(0).alias("_kind"), F.struct(F.lit(1).alias("_"), *by).alias("_by"))
-    then = conversions.select(F.col(entity).alias("_e"), F.col(at).cast("timestamp").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(first.schema["_by"].dataType).alias("_by"))
-    order = Window.partitionBy("_e").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keys = [f"_c{i}" for i in range(len(constant))]
+    own = [F.col(f"`{a}`").alias(k) for k, (a, _) in zip(keys, constant)]
+    other = [F.col(f"`{b}`").alias(k) for k, (_, b) in zip(keys, constant)]
+    first = base.select(F.col(entity).alias("_e"), *own, F.col(at).cast("timestamp").alias("_at"), F.lit(0).alias("_kind"), F.struct(F.lit(1).alias("_"), *by).alias("_by"))
+    then = conversions.select(F.col(entity).alias("_e"), *other, F.col(at).cast("timestamp").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(first.schema["_by"].dataType).alias("_by"))
+    order = Window.partitionBy("_e", *keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     mine = F.when(F.col("_kind") == 0, F.struct("_at", "_by"))
     met = first.union(then).where("_e is not null and _at is not null").withColumn("_base", F.last(mine, ignorenulls=True).over(order))
     near = F.col("_base").isNotNull() if window is None else F.col("_at") <= F.col("_base._at") + F.expr(f"interval {window}")
@@ -107,9 +191,29 @@ def conversion(base: DataFrame, conversions: DataFrame, name: str, entity: str,
 
 
 def non_additive(df: DataFrame, time: str, choice: str = "max", groupings: list[str] = ()) -> DataFrame:
-    """The rows that a measure which cannot be added over time is taken from: those of the last (first) time of each group."""
-    ends = df.groupBy(*[F.col(g).alias(f"_{g}") for g in groupings]).agg({"max": F.max, "min": F.min}[choice](time).alias("_end"))
-    on = F.col(time) == F.col("_end")
-    for g in groupings:
-        on = on & F.col(g).eqNullSafe(F.col(f"_{g}"))
-    return df.join(ends, on, "left_semi")
+    """The rows that a measure which cannot be added over time is taken from: those of one time of each group.
+
+    The choices max and min are the group's last and first time; median and percentile the time in the middle of its rows;
+    average the last time that is not after the mean. The others (sum, count and the like) tell no time and are refused.
+    """
+    t = F.col(time).cast("timestamp")
+    middle = F.timestamp_micros(F.expr(f"percentile_disc(0.5) within group (order by unix_micros(cast(`{time}` as timestamp)))"))
+    ways = {"max": F.max(t), "min": F.min(t), "median": middle, "percentile": middle, "average": F.timestamp_micros(F.floor(F.avg(F.unix_micros(t))).cast("long"))}
+    if choice not in ways:
+        raise ValueError(f"A window_choice that tells no time: {choice}")
+
+    def met(left: DataFrame, ends: DataFrame, how: str) -> DataFrame:
+        on = F.col(time).cast("timestamp") == F.col("_end")
+        for g in groupings:
+            on = on & F.col(g).eqNullSafe(F.col(f"_{g}"))
+        return left.join(ends, on, how)
+
+    own = [F.col(g).alias(f"_{g}") for g in groupings]
+    ends = df.groupBy(*own).agg(ways[choice].alias("_end"))
+    if choice == "average":
+        mean = ends.select(F.col("_end").alias("_mean"), *[F.col(f"_{g}").alias(f"_m_{g}") for g in groupings])
+        on = t <= F.col("_mean")
+        for g in groupings:
+            on = on & F.col(g).eqNullSafe(F.col(f"_m_{g}"))
+        ends = df.join(mean, on).groupBy(*own).agg(F.max(t).alias("_end"))
+    return met(df, ends, "left_semi")
