@@ -156,7 +156,7 @@ class Layer:
             front, seen = [((), model)], {model}
             while front:
                 after = [((*hops, (e["name"], to)), to) for hops, at in front for e in self.models[at].get("entities") or [] for to in self.models if to not in seen and self.entity(to, e["name"]) and (wide or self.owns(to, e["name"]))]
-                goal = [hops for hops, to in after if self.has(to, element) and [h for h, _ in hops][-len(path) :] == path and (wide or self.owns(to, path[-1]))]
+                goal = [hops for hops, to in after if self.has(to, element) and ([h for h, _ in hops][-len(path) :] == path or (wide and self.owns(to, path[-1])))]
                 if goal:
                     return goal
                 front = after
@@ -373,7 +373,7 @@ class Query:
             if group[0].not_over:
                 name, choice, groupings = group[0].not_over
                 own = self.layer.dimension(group[0].model, name)
-                df = semantic.non_additive(df.withColumn("@over", F.expr(own.get("expr") or own["name"])), "@over", choice, [f"@{k}" for k in (*self.by, *groupings)])
+                df = semantic.non_additive(df.withColumn("@over", F.expr(own.get("expr") or own["name"])), "@over", choice, [f"@{k}" for k in dict.fromkeys((*self.by, *groupings))])
             aggs = []
             for x, h in zip(group, holds):
                 value = semantic.measure(x.agg, f"case when {h} then ({x.expr}) end" if h else x.expr, **dict(x.settings))

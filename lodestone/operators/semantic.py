@@ -9,6 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def interval(window: str) -> Column:
+    """The length of a window such as "3 month" or "2 quarters"."""
+    n, unit = window.split()
+    unit = unit.removesuffix("s")
+    return F.expr(f"interval {3 * int(n)} month" if unit == "quarter" else f"interval {n} {unit}")
+
+
 def measure(agg: str, expr: str, percentile: float = 0.5, discrete: bool = False, approximate: bool = False) -> Column:
     """The aggregate of a measure. percentile interpolates unless it is discrete or approximate."""
     e = F.expr(expr)
@@ -73,8 +80,8 @@ def cumulative(totals: DataFrame, name: str, value: str, period: str, by: list[s
     if unit in _MONTHS:
         month = F.year(at) * 12 + F.month(at)
         return totals.withColumn(name, run(f"`{value}`").over(order.orderBy(month).rangeBetween(-max(int(n) * _MONTHS[of] - _MONTHS[unit], 0), 0)))
-    held = F.sequence(at, at + F.expr(f"interval {window}") + F.expr("interval 3 day"), F.expr(f"interval 1 {unit}"))
-    sent = totals.select(*[c.alias(f"_k{i}") for i, c in enumerate(keys)], at.alias("_from"), F.col(f"`{value}`").alias("_value"), F.explode(held).alias("_at")).where(F.col("_from") > F.col("_at") - F.expr(f"interval {window}"))
+    held = F.sequence(at, at + interval(window) + F.expr("interval 3 day"), interval(f"1 {unit}"))
+    sent = totals.select(*[c.alias(f"_k{i}") for i, c in enumerate(keys)], at.alias("_from"), F.col(f"`{value}`").alias("_value"), F.explode(held).alias("_at")).where(F.col("_from") > F.col("_at") - interval(window))
     sums = sent.groupBy(*[f"_k{i}" for i in range(len(keys))], "_at").agg(run("_value").alias("_sum"))
     on = at == F.col("_at")
     for i, c in enumerate(keys):
@@ -90,7 +97,7 @@ def filled(totals: DataFrame, period: str, value: str, unit: str, default: float
     """
     ends = totals.agg(F.min(period).alias("_a"), F.max(period).alias("_b")).where("_a is not null")
     if spine is None:
-        every = ends.select(F.explode(F.sequence("_a", "_b", F.expr(f"interval 1 {unit}"))).alias(period))
+        every = ends.select(F.explode(F.sequence("_a", "_b", interval(f"1 {unit}"))).alias(period))
     else:
         cut = F.date_trunc(unit, F.col(f"`{period}`")).cast(totals.schema[period].dataType)
         every = spine.select(cut.alias(period)).distinct().join(F.broadcast(ends), F.col(period).between(F.col("_a"), F.col("_b"))).drop("_a", "_b")  # ends is one row
@@ -137,7 +144,7 @@ def distinct_in_window(df: DataFrame, name: str, value: Column, period: Column,
     own = df.select(*[F.col(f"`{k}`") for k in by], value.cast("string").alias("_value"), period.cast("timestamp").alias("period")).where("_value is not null and period is not null")
     each = own.groupBy(*by, "period").agg(F.hll_sketch_agg("_value", lg_k).alias("_sketch"))
     last = own.agg(F.max("period").alias("_last"))
-    ends = F.sequence("period", F.least(F.col("_last"), F.col("period") + F.expr(f"interval {window}") - F.expr(f"interval 1 {unit}")), F.expr(f"interval 1 {unit}"))
+    ends = F.sequence("period", F.least(F.col("_last"), F.col("period") + interval(window) - interval(f"1 {unit}")), interval(f"1 {unit}"))
     spread = each.join(F.broadcast(last)).select(*[F.col(f"`{k}`") for k in by], F.explode(ends).alias("period"), "_sketch")  # last is one row
     return spread.groupBy(*by, "period").agg(F.hll_sketch_estimate(F.hll_union_agg("_sketch")).alias(name))
 
@@ -161,7 +168,7 @@ def derived(totals: DataFrame, name: str, expr: str, period: str, inputs: dict[s
         if not window and not grain_:
             out = out.withColumn(alias, F.col(metric))
             continue
-        at = F.col(period) + F.expr(f"interval {window}") if window else F.col(period)
+        at = F.col(period) + interval(window) if window else F.col(period)
         other = totals.select(*[F.col(k).alias(f"_{k}") for k in by], at.cast(totals.schema[period].dataType).alias("_at"), F.col(metric).alias(alias))
         on = F.date_trunc(grain_, period) == F.col("_at") if grain_ else F.col(period) == F.col("_at")
         for k in by:
@@ -185,7 +192,7 @@ def conversion(base: DataFrame, conversions: DataFrame, name: str, entity: str,
     order = Window.partitionBy("_e", *keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     mine = F.when(F.col("_kind") == 0, F.struct("_at", "_by"))
     met = first.union(then).where("_e is not null and _at is not null").withColumn("_base", F.last(mine, ignorenulls=True).over(order))
-    near = F.col("_base").isNotNull() if window is None else F.col("_at") <= F.col("_base._at") + F.expr(f"interval {window}")
+    near = F.col("_base").isNotNull() if window is None else F.col("_at") <= F.col("_base._at") + interval(window)
     got = met.where(F.col("_base").isNotNull()).groupBy(*[F.col(f"_base._by.{k}").alias(k) for k in by]).agg(F.count_if(F.col("_kind") == 0).alias("n_base"), F.count_if((F.col("_kind") == 1) & near).alias(name))
     return got.withColumn(f"{name}_rate", F.try_divide(name, "n_base")) if rate else got
 
@@ -197,7 +204,7 @@ def non_additive(df: DataFrame, time: str, choice: str = "max", groupings: list[
     average the last time that is not after the mean. The others (sum, count and the like) tell no time and are refused.
     """
     t = F.col(time).cast("timestamp")
-    middle = F.timestamp_micros(F.expr(f"percentile_disc(0.5) within group (order by unix_micros(cast(`{time}` as timestamp)))"))
+    middle = F.timestamp_micros(F.expr(f"cast(percentile_disc(0.5) within group (order by unix_micros(cast(`{time}` as timestamp))) as bigint)"))
     ways = {"max": F.max(t), "min": F.min(t), "median": middle, "percentile": middle, "average": F.timestamp_micros(F.floor(F.avg(F.unix_micros(t))).cast("long"))}
     if choice not in ways:
         raise ValueError(f"A window_choice that tells no time: {choice}")

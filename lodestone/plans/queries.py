@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.detect import detect, outcomes, parse, parse_version
 from lodestone.operators import catalog, checks, freshness, lineage, manifest, metadata, run_results, semantic, snapshot
 
-from . import declared
+from . import declared, graphs
 from .encode import document, envelope, event_urls, node_map, order_runs, rows
 
 _SHOWN = "coalesce(error, 'ok') outcome, count(*) n_docs"
@@ -447,8 +447,8 @@ _QUERIES = (detect_versions, pinned_vs_auto, metadata_guard, run_status_totals,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*_QUERIES, *declared.QUERIES)}
+    return {f.__name__: f for f in (*_QUERIES, *declared.QUERIES, *graphs.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f.__name__: globals()[f.__name__.upper()] for f in _QUERIES} | declared.SQL
+    return {f.__name__: globals()[f.__name__.upper()] for f in _QUERIES} | declared.SQL | graphs.SQL
