@@ -32,13 +32,13 @@ def windows(conversations: DataFrame, budget: int = 1024, history: int = 128, sl
 
     A turn's tokens are the white-space words of its formatted line. Each window has the system turns that come before its
     span, then the turns of the window before that begin within `history` tokens before it, then its span. A conversation's
-    first system turn is kept so, and further ones while their tokens together are a quarter of the budget at most; the
-    others are like any turn.
+    first system turn is kept so if it has half the budget at most, and further ones while the tokens of all so far are a
+    quarter of the budget at most; the others, so also a first one that is too long to be repeated, are like any turn.
 
     Prefix sums of the tokens of all turns but kept ones choose spans. They are cut into lengths of `own` tokens: what the
     budget leaves beside the kept system turns, history and slack (as much as history if None), but at least the slack. A turn belongs to the length it
     begins in. If it ends in a later one and has more than `slack` tokens, it is a span of its own. So no window passes
-    the budget, unless one turn is too long for it, or the kept system turns leave less than the slack.
+    the budget, unless one turn is too long for it (or history and slack together are more than half the budget).
 
     Only assistant texts of the span are under the loss mask, so a repeated turn is never a target twice.
 
@@ -54,7 +54,7 @@ def windows(conversations: DataFrame, budget: int = 1024, history: int = 128, sl
     order = whole.orderBy("turn", "role", "text")
     is_system, so_far = F.col("role") == "system", order.rowsBetween(Window.unboundedPreceding, 0)
     turns = turns.withColumn("no", F.row_number().over(order)).withColumn("systems", F.count(F.when(is_system, 1)).over(so_far)).withColumn("told", F.sum(F.when(is_system, F.col("tokens"))).over(so_far))
-    turns = turns.withColumn("kept", is_system & ((F.col("systems") == 1) | (F.col("told") <= budget // 4)))
+    turns = turns.withColumn("kept", is_system & (((F.col("systems") == 1) & (F.col("told") <= budget // 2)) | (F.col("told") <= budget // 4)))
     turns = turns.withColumn("cost", F.when(F.col("kept"), 0).otherwise(F.col("tokens"))).withColumn("before", F.sum("cost").over(so_far) - F.col("cost"))
     beside = F.coalesce(F.sum(F.when(F.col("kept"), F.col("tokens"))).over(whole), F.lit(0))
     turns = turns.withColumn("own_tokens", F.greatest(F.lit(max(slack, 1)), budget - history - slack - beside))
