@@ -61,14 +61,19 @@ def in_parts(first: Column, count: Column, name: str, df: DataFrame) -> DataFram
 def draws(plan: DataFrame, shards: int, seed: int) -> DataFrame:
     """plan (source, epoch, slots) with a row for each output shard: shard, count, first, place.
 
-    Each slot of a source draws its output shard by a hash, so the counts of a source over the shards are multinomial, and
-    add up to its slots. `first` numbers the source's slots shard by shard, `place` the slots of a shard, of all sources.
+    All shards have the same number of slots, the last one what is left. A shard's counts by source are a multinomial draw of
+    its slots under the condition that the sources' totals come out: the slots of all sources are dealt in the order of a
+    pseudorandom permutation, so each shard draws from what the others leave. `first` numbers the source's slots shard by
+    shard, `place` the slots of a shard, of all sources.
     """
-    own = plan.select("source", "epoch", "slots")
-    drawn = in_parts(F.lit(0).cast("long"), F.col("slots"), "k", own).groupBy("source", "epoch", F.pmod(F.xxhash64(F.lit(seed), "source", "epoch", "k"), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("count"))
-    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    first = F.coalesce(F.sum("count").over(before("source", "epoch").orderBy("shard")), F.lit(0))
-    place = F.coalesce(F.sum("count").over(before("shard").orderBy("source", "epoch")), F.lit(0))
+    whole, before = Window.partitionBy(), Window.orderBy(F.col("source").asc_nulls_last(), "epoch").rowsBetween(Window.unboundedPreceding, -1)
+    own = plan.select("source", "epoch", "slots", F.coalesce(F.sum("slots").over(before), F.lit(0)).alias("offset"), F.sum("slots").over(whole).alias("all"))
+    each = in_parts(F.lit(0).cast("long"), F.col("slots"), "k", own)
+    turn = shuffled(F.col("offset") + F.col("k"), F.col("all"), F.xxhash64(F.lit(seed), F.lit("shards")))
+    drawn = each.groupBy("source", "epoch", F.floor(turn / F.ceil(F.col("all") / shards)).cast("int").alias("shard")).agg(F.count("*").alias("count"))
+    sums = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("count").over(sums("source", "epoch").orderBy("shard")), F.lit(0))
+    place = F.coalesce(F.sum("count").over(sums("shard").orderBy("source", "epoch")), F.lit(0))
     return durable(drawn.select("source", "epoch", "shard", "count", first.alias("first"), place.alias("place")))
 
 
@@ -80,7 +85,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     takes in `epoch`.
 
     Each source's words, its rows in a fixed order, are packed into blocks of `block` words; the last may be short.
-    Each output shard takes as many blocks of a source as were drawn for it (`draws`); its slots go through the epoch's
+    Each output shard takes as many blocks of a source as it drew (`draws`); its slots go through the epoch's
     permutation of the source's blocks (the short one comes last), and blocks are joined by that index. The very last
     slot takes only the words that are left of the target, which is thereby met exactly once rounded. Epochs are whole
     passes, so no word is taken more than ceil(most) times. Null text has no words; null sources are a source of their
@@ -117,10 +122,10 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 
 
 def words_taken(rows: DataFrame, pieces: DataFrame) -> DataFrame:
-    """rows with `taken`, the words that pieces take of each, repeats counted."""
-    sums = pieces.groupBy(F.col("source").alias("_s"), F.col("start").alias("_b"), F.col("id").alias("_i")).agg(F.sum(F.col("word_to") - F.col("word_from")).alias("_taken"))
+    """rows with `taken`, the words that pieces take of each, repeats counted, and `shard` and `slot`, the first that take some."""
+    sums = pieces.groupBy(F.col("source").alias("_s"), F.col("start").alias("_b"), F.col("id").alias("_i")).agg(F.sum(F.col("word_to") - F.col("word_from")).alias("_taken"), F.min(F.struct("shard", "slot")).alias("_at"))
     on = F.col("source").eqNullSafe(F.col("_s")) & (F.col("start") == F.col("_b")) & F.col("id").eqNullSafe(F.col("_i")) & (F.col("size") > 0)
-    return rows.join(sums, on, "left").withColumn("taken", F.coalesce("_taken", F.lit(0)).cast("long")).drop("_s", "_b", "_i", "_taken")
+    return rows.join(sums, on, "left").withColumn("taken", F.coalesce("_taken", F.lit(0)).cast("long")).withColumn("shard", F.col("_at.shard")).withColumn("slot", F.col("_at.slot")).drop("_s", "_b", "_i", "_taken", "_at")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars", **settings) -> DataFrame:
