@@ -81,7 +81,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixture, words_taken
 
-    return words_taken(*mixture(table(spark, sf_dir, "documents"))).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return words_taken(*mixture(table(spark, sf_dir, "documents"))).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.col("shard").alias("first_shard"), F.col("slot").alias("first_slot"))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,7 @@ WITH every AS (SELECT conv_id, turn, role, text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '\\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\\### Assistant: </turn> ok')),
 t AS (SELECT *, len(regexp_extract_all('### ' || role || ': ' || text || '</turn>', '[^ \\t\\n\\x0B\\f\\r]+')) tokens
   FROM (SELECT conv_id, turn, coalesce(role, '') role, coalesce(text, '') text FROM every)),
-n AS (SELECT *, row_number() OVER o no, role = 'system' AND (count(*) FILTER (role = 'system') OVER p = 1 OR sum(tokens) FILTER (role = 'system') OVER p <= 256) kept,
+n AS (SELECT *, row_number() OVER o no, role = 'system' AND (sum(tokens) FILTER (role = 'system') OVER p <= 256 OR count(*) FILTER (role = 'system') OVER p = 1 AND sum(tokens) FILTER (role = 'system') OVER p <= 512) kept,
   length(role) + length(text) + len(regexp_extract_all(role, '[\\\\<#:]')) + len(regexp_extract_all(text, '[\\\\<#]')) + 14 chars
   FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text), p AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
 c AS (SELECT *, CASE WHEN kept THEN 0 ELSE tokens END cost, greatest(128, 768 - coalesce(sum(tokens) FILTER (kept) OVER (PARTITION BY conv_id), 0)) room FROM n),

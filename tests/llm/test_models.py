@@ -366,3 +366,43 @@ def test_lines_end_at_line_feeds_only(spark, words):
     cut = {r.doc_id: r.text for r in kept.collect()}
     assert cut == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i][1]) for i, t in enumerate(texts)}
     assert cut[0] == f"x\0y\n{line}\nlast one here now"
+
+
+def plain_recurrence(p, d, x):
+    """States of one direction by the equations of a gated recurrent unit, word by word, in double precision."""
+    u, k = p["U" + d].astype(float), p["U" + d].shape[0]
+    h, out = np.zeros(k), {}
+    for t in range(len(x)) if d == "f" else reversed(range(len(x))):
+        a, g = x[t] @ p["W" + d].astype(float) + p["c" + d], h @ u
+        z, r = (1 / (1 + np.exp(-(a[i * k : (i + 1) * k] + g[i * k : (i + 1) * k]))) for i in (0, 1))
+        h = z * h + (1 - z) * np.tanh(a[2 * k :] + r * g[2 * k :])
+        out[t] = h
+    return np.array([out[t] for t in range(len(x))])
+
+
+def plain_score(scorer, text):
+    """Score of the most toxic of all windows, each read by itself."""
+    word, _, gram, of = toxicity.parts([text])
+    x = scorer.evidence.inputs(word, gram, of).astype(float)
+    if not len(x):
+        return scorer.base
+    p, best, start = scorer.network.p, -np.inf, 0
+    while True:
+        own = x[start : start + toxicity.WINDOW]
+        h = np.concatenate([plain_recurrence(p, d, own) for d in "fb"], axis=1)
+        e = np.exp(h @ p["v"].astype(float) - (h @ p["v"].astype(float)).max())
+        best = max(best, float((e / e.sum()) @ h @ p["w"].astype(float) + p["b"][0]))
+        if start + toxicity.WINDOW >= len(x):
+            break
+        start += toxicity.STRIDE
+    return 1 / (1 + np.exp(-(best + scorer.shift)))
+
+
+def test_window_scores_equal_each_window_read_by_itself():
+    rng = random.Random(12)
+    texts = [sentences(rng, A, rng.choice([5, 40, 64, 65, 112, 113, 300])) for _ in range(60)]
+    labels = [i % 3 == 0 for i in range(60)]
+    texts = [f"{t} idiot moron {t[:20]}" if y else t for t, y in zip(texts, labels)]
+    scorer = toxicity.train(texts, [int(y) for y in labels], 0.2, epochs=2)
+    some = [*texts, None, "", "12 !", "idiot", sentences(rng, A, 1000) + " moron idiot " + sentences(rng, A, 90), texts[0], texts[0]]
+    assert np.allclose(scorer.score(some), [plain_score(scorer, t or "") for t in some], atol=1e-4)

@@ -127,3 +127,47 @@ def test_queries_return_one_row_a_document_with_the_contracts_columns(spark, cor
             assert all(int(r.fingerprint, 16) == plain_fingerprint(texts[r.doc_id]) for r in got if r.doc_id is not None)
     chat = {r.conv_id: r for r in queries.op7_chat(spark, folder).collect()}
     assert set(chat) == {1, None, -7} and chat[-7].loss_sha256 == hashlib.sha256(b"\\### Assistant: </turn> ok").hexdigest()
+
+
+def test_token_counts_of_the_query_equal_counting_anew(spark, corpus, tmp_path):
+    from lodestone.llm import tokens
+
+    rows, labels, items, _, _, texts = corpus
+    extra = [(900, "é 😀 don't\n\n  x" * 40, None, None, None), (901, " " * 500, None, None, None), (902, "ab", None, None, None)]
+    folder = write(spark, tmp_path, [*rows, *extra], labels, items)
+    count = lambda t: len(tokens.Counter(tokens.ranks_of(tokens.VOCABULARY)).encoding.encode_ordinary(t))
+    want = Counter()
+    for i, text, *_ in [*rows, *extra]:
+        text, done = text or "", text or ""
+        q = len(text) // 4
+        for a, b, new in ((q, q + 5, ""), (2 * q, 2 * q, " an inserted phrase's"), (3 * q, 3 * q + 8, text[:8])):
+            a = min(a, len(done))
+            done = done[:a] + new + done[max(a, min(b, len(done))) :]
+        want[i, count(text), count(done), len(done)] += 1
+    got = queries.op2_tokens(spark, folder).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.edited_tokens, r.edited_chars) for r in got) == want
+
+
+def test_shards_and_mixes_of_the_queries_hold_their_laws(spark, corpus, tmp_path):
+    rows, labels, items, _, _, _ = corpus
+    folder = write(spark, tmp_path, rows, labels, items)
+    import zlib
+
+    dealt = queries.op9_sharding(spark, folder).collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in dealt) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    counts = Counter(r.shard for r in dealt)
+    assert set(counts) == set(range(8)) and max(counts.values()) - min(counts.values()) <= 1 and {r.law for r in dealt} == {"rows"}
+    assert all(sorted(r.slot for r in dealt if r.shard == s) == list(range(n)) for s, n in counts.items())
+    size, sizes, taken = Counter(), Counter(), Counter()
+    for i, t, _, source, _ in rows:
+        size[source] += len(SPACE.findall(t or ""))
+        sizes[i, len(SPACE.findall(t or ""))] += 1
+    goal = plain_targets(size)
+    mixed = queries.op8_mixing(spark, folder).collect()
+    assert Counter((r.doc_id, r["size"]) for r in mixed) == sizes
+    source_of = {size[s]: s for s in size}
+    for r in mixed:
+        s = source_of[r.source_size]
+        taken[s] += r.taken
+        assert abs(r.target - goal[s]) < 1e-6 * (1 + goal[s]) and r.taken <= 2 * r["size"] and (r.first_shard is None) == (r.taken == 0)
+    assert all(abs(taken[s] - goal[s]) <= 1 for s in size)

@@ -145,6 +145,7 @@ def test_chat_windows_keep_the_budget_and_the_system_turns(spark):
     rows = [(1, t, "system" if t in (0, 1, 40) else ["user", "assistant"][t % 2], "w " * rng.randint(0, 40)) for t in range(200)]
     rows += [(2, None, "user", "early"), (2, 3, "assistant", "a " * 30), (2, 3, "system", "rules"), *[(2, t, "user", "u " * rng.choice([1, 150, 400])) for t in range(4, 60)]]
     rows += [(3, 0, "system", "long " * 900), *[(3, t, "assistant", "b " * 50) for t in range(1, 40)], *[(4, t, "system", "s " * 30) for t in range(50)]]
+    rows += [(5, 0, "system", "half " * 190), *[(5, t, "assistant", "b " * 30) for t in range(1, 40)]]
     out = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=400, history=50, slack=40).collect()
     made = defaultdict(list)
     for r in sorted(out, key=lambda r: (r.conv, r.window)):
@@ -158,7 +159,10 @@ def test_chat_windows_keep_the_budget_and_the_system_turns(spark):
     assert all([x for _, _, x in w[:2]] == firm for w in made[1])
     where = [i for i, w in enumerate(made[2]) if any(r == "system" for r, _, _ in w[:-1])]
     assert where == list(range(where[0], len(made[2]))) and len(where) > 5
-    assert all(w[0][0] == "system" and count(w[1:]) <= 50 + 40 + 40 for w in made[3][1:])
+    # A first system turn that is too long to be repeated is a turn of its own, and leaves the others their room.
+    assert [x for w in made[3] for x in w[:-1]][0][0] == "system" and len(made[3][0]) == 2
+    assert all(all(r != "system" for r, _, _ in w[:-1]) and count(w) <= 400 for w in made[3][1:])
+    assert len(made[5]) > 3 and all(w[0][0] == "system" and count(w) <= 400 for w in made[5])
     assert all(sum(r == "system" and x in {y for _, _, y in made[4][0][:-1]} for r, _, x in w[:-1]) for w in made[4])
     repeated = [r.text[: r.own_from] for r in out if r.conv == 1 and r.window]
     assert all(len("".join(x for x in t.split("### ")[4:]).split()) <= 50 + 60 for t in repeated)
