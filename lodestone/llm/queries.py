@@ -175,6 +175,43 @@ FROM s JOIN f USING (conv_id) GROUP BY conv_id"""
 _BITS = "list_transform(range(8 * octet_length(encode(key))), lambda i: (('0x' || substr(hex(encode(key)), 2 * (i // 8) + 1, 2))::BIGINT >> (i % 8)) & 1)"
 _CRC32 = f"xor(list_reduce(list_concat([4294967295::BIGINT], {_BITS}), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
 
+
+
+def _more(path: str, cost: str, edit: str) -> str:
+    return f"CASE WHEN {path} IS NULL THEN NULL ELSE {{'c': {path}.c + {cost}, 'a': {path}.a || '{edit}'}} END"
+
+
+def _best(*paths: str) -> str:
+    return f"list_min([{', '.join(paths)}])"
+
+
+#: Least (cost, audit) by state of the roles so far, n nothing, s, u, a: with turns inserted, and after one more row.
+_INSERTED = f"n, s, {_best('u', *(_more(x, '2', 'I') for x in 'nsa'))} u, {_best('a', _more('u', '2', 'I'), _more('n', '4', 'II'), _more('s', '4', 'II'))} a"
+_STAYS = lambda path, letter: (f"CASE WHEN NOT gone AND letter = '{letter}' THEN {_more(path, 'cut', 'K')} END", f"CASE WHEN NOT gone THEN {_more(path, '2 + cut', 'R')} END")
+_NEXT = f"""{_more('n', '3', 'D')} n, {_best(_more('s', '3', 'D'), f"CASE WHEN NOT gone AND letter = 's' THEN {_more('n', 'cut', 'K')} END")} s,
+  {_best(_more('u', '3', 'D'), *(x for q in 'nsa' for x in _STAYS(q, 'u')))} u, {_best(_more('a', '3', 'D'), *_STAYS('u', 'a'))} a"""
+
+OP11 = f"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') key FROM conversations),
+h AS (SELECT key, {_CRC32} % 20 h FROM (SELECT DISTINCT key FROM k)),
+d AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END text, unnest(CASE h WHEN 3 THEN [0, 1] ELSE [0] END) copy FROM k JOIN h USING (key) WHERE h <> 0),
+g AS (SELECT *, dense_rank() OVER (ORDER BY conv_id) g, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) no, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) last FROM d),
+f AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY no) > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END fault FROM g),
+r AS (SELECT g, no, role, text, left(role, 1) letter, fault IN ('blank', 'duplicate') gone, (fault = 'truncated')::INT cut FROM f),
+t AS (SELECT g, any_value(conv_id) conv_id, count(*) n_rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) gaps, count(*) FILTER (fault = 'blank') blank, count(*) FILTER (fault = 'duplicate') duplicate, count(*) FILTER (fault = 'truncated') truncated FROM f GROUP BY g),
+j AS (SELECT g, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) illegal FROM (SELECT g, lag(letter) OVER (PARTITION BY g ORDER BY no) || letter pair FROM r) GROUP BY g),
+p AS (SELECT g, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': ''}} n, NULL::STRUCT(c BIGINT, a VARCHAR) s, NULL::STRUCT(c BIGINT, a VARCHAR) u, NULL::STRUCT(c BIGINT, a VARCHAR) a FROM t
+  UNION ALL SELECT g, i + 1, {_NEXT} FROM (SELECT g, i, {_INSERTED} FROM p) JOIN r USING (g) WHERE no = i + 1),
+b AS (SELECT g, {_best('n', 'a')} best FROM (SELECT g, {_INSERTED} FROM p JOIN t USING (g) WHERE i = n_rows)),
+e AS (SELECT g, best.a audit, unnest(range(1, length(best.a) + 1)) AS pos FROM b),
+o AS (SELECT e.g, pos, substr(audit, pos, 1) edit, length(replace(substr(audit, 1, pos), 'D', '')) place, role, text FROM e LEFT JOIN r ON r.g = e.g AND r.no = length(replace(substr(audit, 1, pos), 'I', ''))),
+w AS (SELECT *, bool_or(place = 1 AND edit = 'K' AND role[1] = 's') OVER (PARTITION BY g) led FROM o WHERE edit <> 'D'),
+l AS (SELECT g, string_agg(CASE WHEN edit = 'K' THEN role ELSE CASE (place - led::INT) % 2 WHEN 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY pos) lines FROM w GROUP BY g),
+x AS (SELECT conv_id, gaps, blank, duplicate, truncated, illegal, best.c cost, best.a audit, lines FROM t JOIN j USING (g) JOIN b USING (g) LEFT JOIN l USING (g))
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT gaps, coalesce(blank, 0)::BIGINT blank, coalesce(duplicate, 0)::BIGINT duplicate, coalesce(truncated, 0)::BIGINT truncated, coalesce(illegal, 0)::BIGINT illegal,
+       coalesce(cost, 0)::BIGINT cost, coalesce(audit, '') audit, sha256(coalesce(lines, '')) repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM i.conv_id"""
+
 OP12 = f"""
 WITH every AS (SELECT 0 AS side, doc_id, row_number() OVER () no, text FROM documents UNION ALL SELECT 1, NULL, row_number() OVER (), text FROM benchmark),
 w AS (SELECT side, doc_id, no, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w FROM every),
@@ -193,4 +230,4 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 2
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5, "op7_chat": OP7, "op12_importance": OP12}
+    return {"op5_decontamination": OP5, "op7_chat": OP7, "op11_structure": OP11, "op12_importance": OP12}
