@@ -1,15 +1,20 @@
-"""What manifests declare about tables, run: generic tests and constraints. Input: artifact_id, body of one manifest."""
+"""What a manifest declares about tables, run: tests, constraints, contracts, unit tests, freshness, snapshots, exports.
+
+Input: artifact_id, body of one manifest. Declarations are read to the driver, as they tell what plans are made.
+"""
 
 from __future__ import annotations
 
 import json
 import re
 from collections.abc import Mapping
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import checks
+from . import checks, snapshot
+from .freshness import freshness_status
 from .manifest import entries
 from .rules import Rule, Tables, failures, table_of
 
@@ -68,23 +73,28 @@ def run_tests(docs: DataFrame, tables: Tables) -> DataFrame:
 
     Failing rows are counted as the test's kind does: rows for not_null and relationships, values for unique and
     accepted_values; with the fail_calc sum(n_records), rows of such values. Its limit bounds the count. The
-    severity, warn_if and error_if of its configuration give pass, warn or fail. Tests of other kinds, and other fail_calc,
-    are refused. All tests of a table share one scan of it.
+    severity, warn_if and error_if of its configuration give pass, warn or fail. Generic tests of other kinds, and other
+    fail_calc, are refused. All generic tests of a table share one scan of it; a singular test is a query of its own, of
+    which each row is a failure.
     """
     nodes = listed(docs, "nodes")
-    tests = {i: n for i, n in nodes.items() if n.get("test_metadata") and (n.get("config") or {}).get("enabled", True)}
+    on = lambda n: (n.get("config") or {}).get("enabled", True)
+    tests = {i: n for i, n in nodes.items() if n.get("test_metadata") and on(n)}
+    singular = {i: n for i, n in nodes.items() if n.get("resource_type") == "test" and not n.get("test_metadata") and on(n)}
     spark = docs.sparkSession
     kind = "unique_id string, severity string, warn_if string, error_if string, calc string, most long, by_value boolean"
     rows = []
-    for i, t in tests.items():
+    for i, t in {**tests, **singular}.items():
         c = t.get("config") or {}
         calc = re.sub(r"\s", "", c.get("fail_calc") or "count(*)").lower()
         if calc not in ("count(*)", "sum(n_records)"):
             raise ValueError(f"Unknown fail_calc: {c['fail_calc']}")
-        by_value = t["test_metadata"].get("name") in ("unique", "accepted_values") and calc == "count(*)"
+        by_value = i in tests and t["test_metadata"].get("name") in ("unique", "accepted_values") and calc == "count(*)"
         rows.append((i, (c.get("severity") or "error").lower(), c.get("warn_if") or "!= 0", c.get("error_if") or "!= 0", calc, c.get("limit"), by_value))
     said = spark.createDataFrame(rows, kind)
     found = failures(spark, [test_rule(i, t, nodes) for i, t in tests.items()], tables)
+    for i, t in singular.items():
+        found = found.unionByName(over_tables(spark, t, tables).agg(F.count("*").alias("groups")).select(F.lit(i).alias("rule"), "groups", F.col("groups").alias("n_rows")))
     met = said.join(found, said.unique_id == found.rule).withColumn("_failures", F.when(F.col("by_value"), F.col("groups")).otherwise(F.col("n_rows")))
     met = met.withColumn("_failures", F.least("_failures", F.coalesce("most", "_failures")))
     # Few different settings: each is one condition.
@@ -96,6 +106,97 @@ def run_tests(docs: DataFrame, tables: Tables) -> DataFrame:
     return met.select("unique_id", status.alias("status"), F.col("_failures").alias("failures"), "warn_if", "error_if").select("unique_id", "status", "failures", message.alias("message"))
 
 
+def run_contracts(docs: DataFrame, tables: Tables) -> DataFrame:
+    """Columns unique_id, column, declared, actual, problem: how tables depart from the enforced contracts of their models.
+
+    problem is missing (the table lacks the column), undeclared (the model lacks it) or type. Types are compared as Spark
+    names them; a column without a declared type may have any. Only schemas are read.
+    """
+    rows = []
+    for id_, node in listed(docs, "nodes").items():
+        if not (node.get("contract") or {}).get("enforced"):
+            continue
+        actual = {f.name.lower(): f.dataType.simpleString() for f in table_of(tables, node["name"]).schema}
+        declared_ = {k.lower(): (types_of(node)[k] if v.get("data_type") else None) for k, v in (node.get("columns") or {}).items()}
+        for name in sorted({*actual, *declared_}):
+            want, have = declared_.get(name), actual.get(name)
+            problem = "missing" if name not in actual else "undeclared" if name not in declared_ else "type" if want and _plain_type(want) != _plain_type(have) else None
+            if problem:
+                rows.append((id_, name, want, have, problem))
+    return docs.sparkSession.createDataFrame(rows, "unique_id string, column string, declared string, actual string, problem string")
+
+
+def _plain_type(kind: str) -> str:
+    kind = re.sub(r"\s", "", kind.lower())
+    return {"integer": "int", "long": "bigint", "short": "smallint", "byte": "tinyint", "real": "float", "decimal": "decimal(10,0)", "timestamp_ltz": "timestamp"}.get(kind, kind)
+
+
+def run_freshness(docs: DataFrame, tables: Tables, now: str) -> DataFrame:
+    """Columns unique_id, status, max_loaded_at, snapshotted_at, ago_s: how old the newest row of each source is.
+
+    Sources are those with a loaded_at_field and a limit; rows count for which the declared filter holds. Status is
+    pass, warn or error by the declared limits; a source without such a row is an error. Each table is scanned once.
+    """
+    limit = "struct<warn_after:struct<count:bigint,period:string>,error_after:struct<count:bigint,period:string>>"
+    at, out = F.lit(now).cast("timestamp"), None
+    for id_, source in listed(docs, "sources").items():
+        told = source.get("freshness") or {}
+        field = source.get("loaded_at_field")
+        if not field or not any((told.get(k) or {}).get("count") for k in ("warn_after", "error_after")):
+            continue
+        time = F.expr(field).cast("timestamp")
+        newest = table_of(tables, source.get("name")).agg(F.max(F.when(F.expr(told["filter"]), time) if told.get("filter") else time).alias("max_loaded_at"))
+        ago = (F.unix_micros(at) - F.unix_micros("max_loaded_at")) / 1e6
+        criteria = F.from_json(F.lit(json.dumps({k: told.get(k) for k in ("warn_after", "error_after")})), limit)
+        status = F.when(F.col("max_loaded_at").isNull(), "error").otherwise(freshness_status(ago, criteria))
+        row = newest.select(F.lit(id_).alias("unique_id"), status.alias("status"), "max_loaded_at", at.alias("snapshotted_at"), ago.alias("ago_s"))
+        out = row if out is None else out.union(row)
+    return docs.sparkSession.createDataFrame([], "unique_id string, status string, max_loaded_at timestamp, snapshotted_at timestamp, ago_s double") if out is None else out
+
+
+def over_tables(spark: SparkSession, node: Mapping, tables: Tables) -> DataFrame:
+    """The rows of a node's code over tables; code with control statements must be compiled."""
+    code = node.get("raw_code") or node.get("raw_sql") or ""
+    if "{%" in code:
+        code = node.get("compiled_code") or node.get("compiled_sql") or code
+    views = {}
+    for k, name in enumerate(sorted({named(m[0]) for m in NAMED.finditer(code)})):
+        views[name] = f"over_{uuid4().hex}_{k}"
+        table_of(tables, name).createOrReplaceTempView(views[name])
+    out = spark.sql(filled_in(code, views, {}))
+    for view in views.values():  # the plan has been made
+        spark.catalog.dropTempView(view)
+    return out
+
+
+def run_snapshot(docs: DataFrame, name: str, tables: Tables, at: str, history: DataFrame | None = None) -> DataFrame:
+    """The history of a declared snapshot after its query is run over tables at a time; without a history, the first one.
+
+    The strategy timestamp goes by updated_at, check by check_cols (a list, or all); keys of several columns are one key.
+    Rows that are gone end with the strategy of hard deletes invalidate, or invalidate_hard_deletes.
+    """
+    found = [n for n in listed(docs, "nodes").values() if n.get("resource_type") == "snapshot" and n.get("name") == name]
+    if not found:
+        raise ValueError(f"Unknown snapshot: {name}")
+    config = found[0]["config"]
+    source, time = over_tables(docs.sparkSession, found[0], tables), F.lit(at).cast("timestamp")
+    keys = [config["unique_key"]] if isinstance(config["unique_key"], str) else list(config["unique_key"])
+    updated, strategy = config.get("updated_at"), config.get("strategy")
+    if strategy not in ("timestamp", "check") or (strategy == "timestamp" and not updated):
+        raise ValueError(f"Unknown strategy of a snapshot: {strategy}")
+    if history is None:
+        begins = F.col(updated) if strategy == "timestamp" else time
+        return snapshot.start(source, begins)
+    looked = config.get("check_cols")
+    check = [c for c in source.columns if c not in keys] if looked in ("all", None) or looked == ["all"] else [looked] if isinstance(looked, str) else list(looked)
+    gone = bool(config.get("invalidate_hard_deletes")) or config.get("hard_deletes") == "invalidate"
+    if len(keys) == 1:
+        return snapshot.snapshot(history, source, keys[0], time, None if strategy == "timestamp" else check, updated if strategy == "timestamp" else None, gone)
+    one = F.to_json(F.struct(*[F.col(k) for k in keys]), {"ignoreNullFields": "false"})
+    got = snapshot.snapshot(history.withColumn("_key", one), source.withColumn("_key", one), "_key", time, None if strategy == "timestamp" else check, updated if strategy == "timestamp" else None, gone)
+    return got.select(*[F.col(f"`{c}`") for c in history.columns])
+
+
 _ELSEWHERE = re.compile(r"^\s*(?:references\s+)?([\w.`\"]+)\s*\(([^)]*)\)\s*$", re.IGNORECASE)
 
 

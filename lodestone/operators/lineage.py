@@ -40,22 +40,37 @@ def closure(edges: DataFrame, parent: str = "parent", child: str = "child", most
     return _spread(step, step.select(*keys, F.col("from").alias("start")).distinct().withColumn("node", F.col("start")), most, keys).where("depth > 0").select(*keys, F.col("start").alias("ancestor"), F.col("node").alias("descendant"), "depth")
 
 
+#: Tables of rounds that are read one by one; more are put together.
+APART = 8
+
+
+def _added(parts: list[DataFrame], last: DataFrame) -> list[DataFrame]:
+    """parts with one more round's table; written as one table when they are many, so that plans stay short."""
+    return [*parts, last] if len(parts) < APART else [_whole([*parts, last]).checkpoint()]
+
+
+def _whole(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 def _spread(step: DataFrame, starts: DataFrame, most: int | None, keys: tuple[str, ...]) -> DataFrame:
     """keys, start, node, depth of all nodes that are reached. A start that is reached again is there with that depth, too."""
     onward = step.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("from").alias("_node"), F.col("to").alias("_to"))
-    last = starts.select(*keys, "start", "node").withColumn("depth", F.lit(0))
-    known = last.checkpoint()
-    last = known
+    last = starts.select(*keys, "start", "node").withColumn("depth", F.lit(0)).checkpoint()
+    parts = [last]
     for depth in count(1):
         if most is not None and depth > most:
             break
         new = last.join(onward, _same(last, onward, [*keys, "node"])).select(*keys, "start", F.col("_to").alias("node")).distinct()
-        old = _marked(known.where("depth > 0").select(*keys, "start", "node"), [*keys, "start", "node"])
+        old = _marked(_whole(parts).where("depth > 0").select(*keys, "start", "node"), [*keys, "start", "node"])
         last = new.join(old, _same(new, old, [*keys, "start", "node"]), "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if last.isEmpty():
             break
-        known = known.union(last).checkpoint()
-    return known
+        parts = _added(parts, last)
+    return _whole(parts)
 
 
 def reach(edges: DataFrame, starts: DataFrame, parent: str = "parent", child: str = "child", down: bool = True, most: int | None = None, keys: tuple[str, ...] = (), chains: bool = False) -> DataFrame:
@@ -135,13 +150,13 @@ def finish_times(edges: DataFrame, seconds: DataFrame, parent: str = "parent", c
     pending = nodes.join(spent, _same(nodes, spent, [*keys, "node"]), "left").select(*keys, "node", F.coalesce("seconds", F.lit(0.0)).alias("seconds"))
     pending = pending.join(need, _same(pending, need, [*keys, "node"]), "left").select(*keys, "node", "seconds", F.coalesce("need", F.lit(0)).alias("need"), F.lit(None).cast("struct<ends:double,after:string>").alias("best")).checkpoint()
     onward = step.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("from").alias("_node"), F.col("to").alias("_to"))
-    done = None
+    parts: list[DataFrame] = []
     while not pending.isEmpty():
         ready = pending.where("need = 0").select(*keys, "node", "seconds", F.coalesce("best.ends", F.lit(0.0)).alias("begins"), F.col("best.after").alias("after"))
         ready = ready.withColumn("ends", F.col("begins") + F.col("seconds")).checkpoint()
         if ready.isEmpty():
             raise ValueError("A cycle of dependencies")
-        done = ready if done is None else done.union(ready).checkpoint()
+        parts = _added(parts, ready)
         # The latest parent; of equal ones that of the least name.
         told = ready.join(onward, _same(ready, onward, [*keys, "node"])).groupBy(*keys, F.col("_to").alias("node")).agg(F.count("*").alias("met"), F.max("ends").alias("latest"), F.min_by("node", F.struct(-F.col("ends"), "node")).alias("by"))
         told = _marked(told, [*keys, "node"])
@@ -149,8 +164,9 @@ def finish_times(edges: DataFrame, seconds: DataFrame, parent: str = "parent", c
         later = F.col("latest").isNotNull() & (F.col("best").isNull() | (F.col("latest") > F.col("best.ends")) | ((F.col("latest") == F.col("best.ends")) & (F.col("by") < F.col("best.after"))))
         best = F.when(later, F.struct(F.col("latest").alias("ends"), F.col("by").cast("string").alias("after"))).otherwise(F.col("best"))
         pending = left.join(told, _same(left, told, [*keys, "node"]), "left").select(*keys, "node", "seconds", (F.col("need") - F.coalesce("met", F.lit(0))).alias("need"), best.alias("best")).checkpoint()
-    if done is None:
+    if not parts:
         return nodes.select(*keys, "node", *[F.lit(0.0).alias(c) for c in ("seconds", "begins", "ends")], F.lit("").alias("after"), F.lit(True).alias("critical"))
+    done = _whole(parts)
     path = at = done.groupBy(*keys).agg(F.min_by(F.struct("node", "after"), F.struct(-F.col("ends"), "node")).alias("x")).select(*keys, "x.node", "x.after").checkpoint()
     while not at.where("after is not null").isEmpty():
         back = _marked(done.select(*keys, "node", F.col("after").alias("then")), [*keys, "node"])

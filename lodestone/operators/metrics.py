@@ -14,6 +14,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.artifacts import export
+
 from . import semantic
 from .declared import listed
 from .rules import Tables, table_of
@@ -434,3 +436,18 @@ def saved(layer: Layer | DataFrame, name: str, tables: Tables, spine: DataFrame
         raise ValueError(f"Unknown saved query: {name}")
     asked = layer.saved[name]["query_params"]
     return evaluate(layer, asked["metrics"], tables, asked.get("group_by") or (), filters_of(asked.get("where")), asked.get("order_by") or (), asked.get("limit"), spine)
+
+
+def run_exports(layer: Layer | DataFrame, name: str, tables: Tables, spine: DataFrame | None = None) -> list[str]:
+    """Write the exports of a saved query, as tables or views; the names that they got: schema.alias."""
+    layer = layer if isinstance(layer, Layer) else Layer.read(layer)
+    result, out = saved(layer, name, tables, spine), []
+    for x in layer.saved[name].get("exports") or []:
+        config = x.get("config") or {}
+        to = config.get("alias") or x["name"]
+        kind = config.get("export_as") or "table"
+        if kind == "table" and config.get("schema_name"):
+            to = f"{config['schema_name']}.{to}"
+        export(result, to, kind)
+        out.append(to)
+    return out

@@ -260,5 +260,40 @@ h AS (SELECT c.k, c.b, TIMESTAMP '1996-01-01' a, CASE WHEN two.k IS NULL OR two.
 o AS (SELECT o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN 0 ELSE o_custkey END k, o_orderdate d FROM orders)
 SELECT year(d)::INT AS "year", b IS NULL AS "unknown", count(*) n_orders, round(sum(b), 2) balance FROM o LEFT JOIN h ON h.k = o.k AND d >= a AND (z IS NULL OR d < z) GROUP BY ALL"""
 
-QUERIES = (metrics_by_name, metrics_over_entities, metrics_saved_query, metrics_running, metrics_conversion, tests_declared, constraints_declared, unit_tests_run, history_join)
+def freshness_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How old the newest orders and events are, by declared fields, filters and limits."""
+    limits = lambda w, e: {"warn_after": {"count": w, "period": "day"}, "error_after": {"count": e, "period": "day"}}
+    sources = {
+        "source.shop.orders": {"name": "orders", "loaded_at_field": "o_orderdate", "freshness": limits(10, 1000)},
+        "source.shop.finished": {"name": "orders", "loaded_at_field": "o_orderdate + interval 1 hour", "freshness": {**limits(None, 10), "filter": "o_orderstatus = 'F'"}},
+        "source.shop.events": {"name": "events", "loaded_at_field": "ts", "freshness": limits(100000, None)},
+        "source.shop.none": {"name": "events", "loaded_at_field": "ts", "freshness": {**limits(1, 2), "filter": "event_id < 0"}},
+        "source.shop.part": {"name": "part", "loaded_at_field": None, "freshness": limits(1, 2)},
+    }
+    got = declared.run_freshness(manifest(spark, sources=sources), partial(_tables, spark, sf_dir), "2001-12-01 00:00:00")
+    return got.select("unique_id", "status", F.date_format("max_loaded_at", "yyyy-MM-dd HH:mm:ss").alias("newest"), F.round("ago_s", 0).cast("long").alias("ago_s"))
+
+
+FRESHNESS_DECLARED = """WITH t AS (SELECT 'source.shop.orders' id, max(o_orderdate)::TIMESTAMP m, 10 w, 1000 e FROM orders UNION ALL SELECT 'source.shop.finished', max(o_orderdate + INTERVAL 1 HOUR) FILTER (o_orderstatus = 'F'), NULL, 10 FROM orders
+UNION ALL SELECT 'source.shop.events', max(ts), 100000, NULL FROM events UNION ALL SELECT 'source.shop.none', NULL, 1, 2),
+a AS (SELECT *, epoch_us(TIMESTAMP '2001-12-01') - epoch_us(m) us FROM t)
+SELECT id unique_id, CASE WHEN m IS NULL OR us > e * 86400000000 THEN 'error' WHEN us > w * 86400000000 THEN 'warn' ELSE 'pass' END status, strftime(m, '%Y-%m-%d %H:%M:%S') newest, round(us / 1e6)::BIGINT ago_s FROM a"""
+
+
+def snapshot_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A declared snapshot of customers by nation and number, run twice: the second time some balances are others."""
+    nodes = {"snapshot.shop.c": {"name": "c", "resource_type": "snapshot", "raw_code": "select c_nationkey, c_custkey, c_acctbal from {{ ref('customer') }} where c_nationkey <> 3", "config": {"strategy": "check", "unique_key": ["c_nationkey", "c_custkey"], "check_cols": ["c_acctbal"], "hard_deletes": "invalidate"}}}
+    docs, c = manifest(spark, nodes=nodes), rows(spark, sf_dir, "customer")
+    first = declared.run_snapshot(docs, "c", {"customer": c}, "2024-01-01")
+    later = c.where("c_custkey % 7 <> 0").withColumn("c_acctbal", F.when(F.col("c_custkey") % 5 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
+    got = declared.run_snapshot(docs, "c", {"customer": later}, "2024-02-01", first)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return got.groupBy("c_nationkey", day("valid_from").alias("valid_from"), day("valid_to").alias("valid_to")).agg(F.count("*").alias("n_rows"))
+
+
+SNAPSHOT_DECLARED = """WITH c AS (SELECT c_nationkey, c_custkey k FROM customer WHERE c_nationkey <> 3)
+SELECT c_nationkey, '2024-01-01' valid_from, CASE WHEN k % 7 = 0 OR k % 5 = 0 THEN '2024-02-01' END valid_to, count(*) n_rows FROM c GROUP BY ALL
+UNION ALL SELECT c_nationkey, '2024-02-01', NULL, count(*) FROM c WHERE k % 7 <> 0 AND k % 5 = 0 GROUP BY ALL"""
+
+QUERIES = (metrics_by_name, metrics_over_entities, metrics_saved_query, metrics_running, metrics_conversion, tests_declared, constraints_declared, unit_tests_run, history_join, freshness_declared, snapshot_declared)
 SQL = {f.__name__: globals()[f.__name__.upper()] for f in QUERIES}

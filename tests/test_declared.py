@@ -263,3 +263,57 @@ def test_saved_queries_and_newer_metrics(spark, tables):
         metrics.saved(docs, "other", tables)
     with pytest.raises(ValueError, match="several manifests"):
         metrics.Layer.read(docs.union(docs.withColumn("artifact_id", F.lit("b"))))
+
+
+def test_singular_tests_run_beside_generic_ones(spark):
+    t = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
+    nodes = {
+        "one": {"resource_type": "test", "raw_code": "select * from {{ ref('t') }} where v is null", "config": {"severity": "warn"}},
+        "two": {"resource_type": "test", "raw_code": "{% if x %}{% endif %}", "compiled_code": "select 1 where false"},
+        "null": _test("not_null", column_name="k"),
+        "off": {"resource_type": "test", "raw_code": "select broken", "config": {"enabled": False}},
+    }
+    got = {r.unique_id: (r.status, r.failures) for r in declared.run_tests(manifest(spark, nodes=nodes), {"t": t}).collect()}
+    assert got == {"one": ("warn", 1), "two": ("pass", 0), "null": ("pass", 0)}
+    assert not [v for v in spark.catalog.listTables() if v.name.startswith("over_")]
+
+
+def test_contracts_tell_how_tables_depart_from_them(spark):
+    t = spark.createDataFrame([], "a int, b string, c decimal(10,2), e timestamp")
+    columns = {"A": {"data_type": "INTEGER"}, "b": {"data_type": "varchar(3)"}, "c": {"data_type": "decimal(10, 3)"}, "d": {"data_type": "int"}, "e": {}}
+    nodes = {"m": {"name": "t", "contract": {"enforced": True}, "columns": columns}, "n": {"name": "t", "contract": {"enforced": False}, "columns": {}}, "o": {"name": "t", "contract": {"enforced": True}, "columns": {k: {} for k in "abc"}}}
+    got = {(r.unique_id, r.column): r.problem for r in declared.run_contracts(manifest(spark, nodes=nodes), {"t": t}).collect()}
+    assert got == {("m", "c"): "type", ("m", "d"): "missing", ("o", "e"): "undeclared"}
+
+
+def test_freshness_of_sources_by_their_limits(spark):
+    t = spark.createDataFrame([(day(0), 1), (day(3), 2), (None, 1)], "at timestamp, k long")
+    after = lambda n, p: {"count": n, "period": p}
+    source = lambda w, e, **more: {"name": "t", "loaded_at_field": "at", "freshness": {"warn_after": w, "error_after": e, **more}}
+    sources = {"pass": source(after(24, "hour"), after(2, "day")), "warn": source(after(1439, "minute"), None), "error": source(None, after(23, "hour")), "old": source(after(1, "day"), after(3, "day"), filter="k = 1"), "none": source(after(1, "day"), None, filter="k = 9"), "off": {"name": "t", "freshness": None}, "free": source(None, None)}
+    got = {r.unique_id: (r.status, r.ago_s) for r in declared.run_freshness(manifest(spark, sources=sources), {"t": t}, str(day(4))).collect()}
+    assert got == {"pass": ("pass", 86_400), "warn": ("warn", 86_400), "error": ("error", 86_400), "old": ("error", 4 * 86_400), "none": ("error", None)}
+    assert declared.run_freshness(manifest(spark, sources={}), {}, "2024-01-01").count() == 0
+
+
+def test_declared_snapshots_of_both_strategies(spark):
+    node = lambda **c: {"name": "s", "resource_type": "snapshot", "raw_code": "select * from {{ ref('t') }}", "config": c}
+    one = spark.createDataFrame([(1, "a", day(0)), (2, "b", day(0))], "k long, v string, u timestamp")
+    two = spark.createDataFrame([(1, "z", day(0)), (3, "c", day(9)), (2, "b", day(5))], "k long, v string, u timestamp")
+    run = lambda d: told(declared.run_snapshot(d, "s", {"t": two}, str(day(10)), declared.run_snapshot(d, "s", {"t": one}, str(day(1)))).select("k", "v", "valid_from", "valid_to"))
+    timed = run(manifest(spark, nodes={"x": node(strategy="timestamp", unique_key="k", updated_at="u")}))
+    assert timed == told(spark.createDataFrame([(1, "a", day(0), None), (2, "b", day(0), day(5)), (2, "b", day(5), None), (3, "c", day(9), None)], "k long, v string, a timestamp, z timestamp"))
+    checked = run(manifest(spark, nodes={"x": node(strategy="check", unique_key="k", check_cols=["v"], invalidate_hard_deletes=True)}))
+    assert checked == told(spark.createDataFrame([(1, "a", day(1), day(10)), (1, "z", day(10), None), (2, "b", day(1), None), (3, "c", day(10), None)], "k long, v string, a timestamp, z timestamp"))
+    with pytest.raises(ValueError, match="Unknown strategy"):
+        run(manifest(spark, nodes={"x": node(strategy="other", unique_key="k")}))
+    with pytest.raises(ValueError, match="Unknown snapshot"):
+        declared.run_snapshot(manifest(spark, nodes={}), "s", {}, "2024-01-01")
+
+
+def test_exports_of_saved_queries_are_written(spark, tables):
+    own = layer()
+    own.saved = {"q": {"query_params": {"metrics": ["n"], "group_by": []}, "exports": [{"name": "e", "config": {"export_as": "view", "alias": "exported_n"}}]}, "none": {"query_params": {"metrics": ["n"]}}}
+    assert metrics.run_exports(own, "q", tables) == ["exported_n"] and spark.table("exported_n").first().n == 6
+    assert metrics.run_exports(own, "none", tables) == []
+    spark.catalog.dropTempView("exported_n")
