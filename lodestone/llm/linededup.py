@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ SEEN = 300_000
 LINES = 1 << 19
 #: Cells of the filters of a fixed size, and rows that hold one.
 FILTER, SLABS = 1 << 25, 64
+#: Cells of the filter of tokens by size of their sets, of which there are more.
+WIDE = 1 << 27
 #: Rows of one token that a task holds while it looks for partners, and neighbours that it looks at for each.
 HELD, LOOK = 500_000, 4096
 #: Classes that are compared with each other at a time, and pairs and tokens that are looked at together.
@@ -236,43 +239,77 @@ def lines(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col:
 NAMES = ["id", "no", "k1", "k2", "n", "heads", "s0", "s1", "s2", "s3"]
 
 
-def place(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys.astype(np.uint64)) & np.uint64(FILTER - 1)).astype(np.int64)
+def place(keys: np.ndarray, cells: int = FILTER) -> np.ndarray:
+    return (mix(keys.astype(np.uint64)) & np.uint64(cells - 1)).astype(np.int64)
 
 
-def seen_cells(rows: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], times: int = 1) -> np.ndarray:
-    """Packed bits of a table of fixed size: the cells that hold the keys of rows at least `times` (1 or 2) times.
+def seen_tables(rows: DataFrame, keys: Callable[[pa.RecordBatch], Sequence[np.ndarray]], sets: int = 1, cells: int = FILTER) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of `sets` sets of keys of rows, packed bits of two tables of fixed size: the cells that hold some key at least
+    once, and those that hold one at least twice.
 
     What is not set is no such key, whatever meets in a cell.
     """
+    size = cells // 8 // SLABS
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(FILTER, np.uint8)
+        tables = np.zeros((sets, 2, cells // 8), np.uint8)
         for batch in batches:
-            cell, n = np.unique(place(keys(batch)), return_counts=True)
-            table[cell] = np.minimum(table[cell] + n, 2)
-        once, twice = (np.packbits(table >= k).reshape(SLABS, -1) for k in (1, 2))
-        some = np.flatnonzero(once.any(axis=1))
-        yield pa.RecordBatch.from_pydict({"slab": pa.array(some.astype(np.int32)), "once": pa.array([once[i].tobytes() for i in some], pa.binary()), "twice": pa.array([twice[i].tobytes() for i in some], pa.binary())})
+            for (once, twice), own in zip(tables, keys(batch)):
+                cell, n = np.unique(place(own, cells), return_counts=True)
+                if len(cell):
+                    bit = np.uint8(128) >> (cell & 7).astype(np.uint8)
+                    start = np.flatnonzero(np.concatenate(([True], cell[1:] >> 3 != cell[:-1] >> 3)))
+                    at, some = cell[start] >> 3, np.bitwise_or.reduceat(bit, start)
+                    twice[at] |= once[at] & some | np.bitwise_or.reduceat(np.where(n > 1, bit, 0), start)
+                    once[at] |= some
+        slabs = tables.reshape(sets, 2, SLABS, size)
+        for k in range(sets):
+            some = np.flatnonzero(slabs[k, 0].any(axis=1))
+            yield pa.RecordBatch.from_pydict({"of": pa.array(np.full(len(some), k, np.int32)), "slab": pa.array(some.astype(np.int32)), **{name: pa.array([zstandard.compress(slabs[k, i, x].tobytes(), 1) for x in some], pa.binary()) for i, name in enumerate(("once", "twice"))}})
 
     def unite(pdf: pd.DataFrame) -> pd.DataFrame:
-        once = twice = np.zeros(FILTER // 8 // SLABS, np.uint8)
-        for a, b in zip(pdf["once"], pdf["twice"]):
-            a = np.frombuffer(a, np.uint8)
-            once, twice = once | a, twice | np.frombuffer(b, np.uint8) | once & a
-        return pd.DataFrame({"slab": pdf["slab"][:1], "b": [(once if times == 1 else twice).tobytes()]})
+        once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
+        for x, y in zip(pdf["once"], pdf["twice"]):
+            a = np.frombuffer(zstandard.decompress(x), np.uint8)
+            twice |= np.frombuffer(zstandard.decompress(y), np.uint8) | once & a
+            once |= a
+        return pd.DataFrame({"of": pdf["of"][:1], "slab": pdf["slab"][:1], "once": [once.tobytes()], "twice": [twice.tobytes()]})
 
-    out = np.zeros((SLABS, FILTER // 8 // SLABS), np.uint8)
-    for r in rows.mapInArrow(bits, "slab int, once binary, twice binary").groupBy("slab").applyInPandas(unite, "slab int, b binary").collect():  # FILTER bits in all
-        out[r.slab] = np.frombuffer(r.b, np.uint8)
-    return out.ravel()
+    kind = "of int, slab int, once binary, twice binary"
+    out = np.zeros((sets, 2, SLABS, size), np.uint8)
+    for r in rows.mapInArrow(bits, kind).groupBy("of", "slab").applyInPandas(unite, kind).toLocalIterator():  # cells bits in all, twice for each set
+        out[r.of, 0, r.slab], out[r.of, 1, r.slab] = np.frombuffer(r.once, np.uint8), np.frombuffer(r.twice, np.uint8)
+    return [(x[0].ravel(), x[1].ravel()) for x in out]
+
+
+def seen_cells(rows: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """Packed bits of a table of fixed size: the cells that hold the keys of rows."""
+    return seen_tables(rows, lambda batch: (keys(batch),))[0][0]
 
 
 def is_set(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = place(keys)
+    at = place(keys, 8 * len(table))
     return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
+def size_class(n: np.ndarray, near: float = NEAR) -> np.ndarray:
+    """A number for each size, such that sets that can have a similarity of `near` are in the same or in neighbouring classes."""
+    bounds = [1]
+    while bounds[-1] <= n.max(initial=1):
+        bounds.append(int(bounds[-1] / near + 1e-6) + 1)
+    return np.searchsorted(bounds, n, "right")
+
+
+def sized(token: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Keys of tokens in sets of size classes."""
+    return mix(token + np.uint64(0x9E3779B97F4A7C15) * of.astype(np.uint64))
+
+
+def index_length(n: np.ndarray, near: float = NEAR) -> np.ndarray:
+    """The first shared token of two similar sets is among so many first tokens of the one that is not larger."""
+    return n - least_overlap(n, n, near) + 1
+
+
 def numbers(column: pa.Array) -> np.ndarray:
     """A column of integers without nulls."""
     return column.to_numpy(zero_copy_only=False)
@@ -283,19 +320,35 @@ def joining(found: DataFrame, near: float = NEAR) -> DataFrame:
     sketch let through: one row a class and token, however many classes meet.
 
     A second look leaves out the rows whose partners there share the token before this one too: those have met there.
-    Tokens that no two sets have in their prefixes are left out before the shuffle, as far as a table of fixed size tells.
+    Tokens that no other set of a size near enough has in its prefix are left out before the shuffle, as far as tables
+    of fixed size tell; of the larger of two sets, only tokens count that begin the smaller one's index.
     """
     own = found.where("heads is not null").select("k1", "n", "heads", "s0", "s1", "s2", "s3")
-    shared = found.sparkSession.sparkContext.broadcast(seen_cells(own.select("heads"), lambda batch: unpacked(batch.column(0)), 2))
+
+    def taken_apart(size: np.ndarray, heads: pa.Array) -> tuple[np.ndarray, ...]:
+        """Row, token, place of each prefix token of sets, their size class, and whether they are in the set's index."""
+        count = prefix_length(size, near)
+        of = np.repeat(np.arange(len(size)), count)
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return of, unpacked(heads), at, size_class(size, near)[of], at < index_length(size, near)[of]
+
+    def by_size(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        _, token, _, group, index = taken_apart(numbers(batch.column(0)).astype(np.int64), batch.column(1))
+        key = sized(token, group)
+        return key, key[index]
+
+    (once, twice), (begins, _) = seen_tables(own.select("n", "heads"), by_size, 2, WIDE)
+    shared = found.sparkSession.sparkContext.broadcast((once, twice, begins))
     kind = f"token long, k1 long, size long, {SKETCH}"
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = numbers(batch.column(1)).astype(np.int64)
-            token, size = unpacked(batch.column(2)), prefix_length(n, near)
-            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            met = is_set(shared.value, token)
-            of = np.repeat(np.arange(len(n)), size)[met]
+            of, token, at, group, index = taken_apart(n, batch.column(2))
+            here, below, above = (sized(token, group + d) for d in (0, -1, 1))
+            some, more, first = shared.value
+            met = np.where(index, is_set(more, here) | is_set(first, below) | is_set(some, above), is_set(first, here) | is_set(first, below))
+            of = of[met]
             yield pa.RecordBatch.from_arrays([pa.array(token[met].view(np.int64)), pa.array(numbers(batch.column(0))[of]), pa.array(n[of] << 32 | at[met]), *(pa.array(numbers(batch.column(i))[of]) for i in range(3, 7))], ["token", "k1", "size", "s0", "s1", "s2", "s3"])
 
     def meet(out: str, prior: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
