@@ -406,21 +406,3 @@ def test_window_scores_equal_each_window_read_by_itself():
     scorer = toxicity.train(texts, [int(y) for y in labels], 0.2, epochs=2)
     some = [*texts, None, "", "12 !", "idiot", sentences(rng, A, 1000) + " moron idiot " + sentences(rng, A, 90), texts[0], texts[0]]
     assert np.allclose(scorer.score(some), [plain_score(scorer, t or "") for t in some], atol=1e-4)
-
-
-def test_filters_never_miss_a_key_and_size_classes_never_part_similar_sets(spark):
-    rng = np.random.default_rng(5)
-    keys = rng.integers(0, 3000, 8000)
-    df = spark.createDataFrame([(int(k),) for k in keys], "k long").repartition(5)
-    pick = lambda batch: (batch.column(0).to_numpy(), batch.column(0).to_numpy()[::2])
-    (once, twice), _ = linededup.seen_tables(df, pick, 2, 1 << 20)
-    count = Tally(keys.tolist())
-    every, several = np.array(sorted(count)), np.array(sorted(k for k, n in count.items() if n > 1))
-    assert linededup.is_set(once, every).all() and linededup.is_set(twice, several).all()
-    assert linededup.is_set(once, np.arange(10_000, 20_000)).mean() < 0.02 and not linededup.seen_cells(df.where("k < 0"), lambda b: b.column(0).to_numpy()).any()
-    n = np.arange(1, 2000)
-    for near in (0.5, 0.8, 0.95):
-        group = linededup.size_class(n, near)
-        least = np.ceil(near * n - 1e-9).astype(int)
-        assert set((group - group[least - 1]).tolist()) <= {0, 1}
-        assert (linededup.index_length(n, near) <= linededup.prefix_length(n, near)).all() and (linededup.index_length(n, near) >= 1).all()
