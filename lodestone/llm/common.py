@@ -71,11 +71,10 @@ def release(*tables: DataFrame) -> None:
 
 
 @contextlib.contextmanager
-def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
-    """Within: jobs that start hand tasks' Python workers about `most` bytes at once, and at least one row."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+def setting(spark: SparkSession, key: str, value: int) -> Iterator[None]:
+    """Within: jobs that start run under this setting."""
     before = spark.conf.get(key, None)
-    spark.conf.set(key, str(most))
+    spark.conf.set(key, str(value))
     try:
         yield
     finally:
@@ -85,6 +84,16 @@ def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+def arrow_batches(spark: SparkSession, most: int) -> contextlib.AbstractContextManager[None]:
+    """Within: jobs that start hand tasks' Python workers about `most` bytes at once, and at least one row."""
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
+def arrow_rows(spark: SparkSession, most: int) -> contextlib.AbstractContextManager[None]:
+    """Within: jobs that start hand tasks' Python workers up to `most` rows at once; for rows of few numbers."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", most)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with as many underscores behind it as make it no column of df."""
     taken = {c.lower() for c in df.columns}

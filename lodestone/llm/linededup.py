@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import code_points, durable, fresh, mix, release, runs, slices, span_hashes
+from .common import arrow_rows, code_points, durable, fresh, mix, release, runs, slices, span_hashes
 
 #: Counters of the rarity table, and counters that one row of it holds.
 BUCKETS, SLAB = 1 << 19, 1 << 14
@@ -25,6 +25,8 @@ LINES = 1 << 19
 FILTER, SLABS = 1 << 25, 64
 #: Rows of one token that a task holds while it looks for partners, and neighbours that it looks at for each.
 HELD, LOOK = 500_000, 4096
+#: Rows that are handed over at once where classes meet: each look at a neighbour is one step for all of them.
+MEETING = 1 << 16
 #: Classes that are compared with each other at a time, and pairs and tokens that are looked at together.
 BLOCK, PAIRS, TOKENS = 4096, 200_000, 1_000_000
 #: Sets of at least so many tokens have sketches of two and of four words.
@@ -330,7 +332,9 @@ def joining(found: DataFrame, near: float = NEAR) -> DataFrame:
 
     dealt = own.mapInArrow(head, kind).repartition("token").sortWithinPartitions("token")
     # A class may come from several tasks, with the same tokens and sketch.
-    some = durable(dealt.mapInArrow(meet(kind, None), kind).groupBy("token", "k1").agg(F.any_value("size").alias("size"), *[F.any_value(f"s{i}").alias(f"s{i}") for i in range(4)]))
+    some = dealt.mapInArrow(meet(kind, None), kind).groupBy("token", "k1").agg(F.any_value("size").alias("size"), *[F.any_value(f"s{i}").alias(f"s{i}") for i in range(4)])
+    with arrow_rows(found.sparkSession, MEETING):
+        some = durable(some)
     at = F.col("size").bitwiseAND(F.lit(0xFFFFFFFF))
     before = Window.partitionBy("k1").orderBy("at")
     follows = F.lag("at").over(before) == F.col("at") - 1
