@@ -42,6 +42,29 @@ r AS (SELECT kind || ' auto' parser, CASE WHEN kind = told THEN error ELSE 'Not
 SELECT parser, {_SHOWN} FROM r GROUP BY ALL"""
 
 
+def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every parser that the package offers says of all documents, and the newest version of its kind."""
+    import lodestone
+
+    docs, out = event_urls(spark, sf_dir), None
+    kinds = {"manifest": lodestone.manifest, "catalog": lodestone.catalog, "run-results": lodestone.run_results, "sources": lodestone.freshness}
+    roots = (lodestone.parse_manifest, lodestone.parse_catalog, lodestone.parse_run_results, lodestone.parse_sources)
+    for (kind, own), root in zip(kinds.items(), roots):
+        parsers = {"auto": root, **{f"v{v}": getattr(own, f"parse_v{v}") for v in range(1, own.LATEST_VERSION + 1)}}
+        for name, parser in parsers.items():
+            said = parser(docs).groupBy(F.coalesce("error", F.lit("ok")).alias("outcome")).agg(F.count("*").alias("n_docs"), F.count("version").alias("n_versions"))
+            row = said.select(F.lit(f"{kind} {name}").alias("parser"), F.lit(own.LATEST_VERSION).alias("latest"), "outcome", "n_docs", "n_versions")
+            out = row if out is None else out.union(row)
+    return out
+
+
+ENTRY_POINTS = f"""WITH {_EVENTS}, k AS (SELECT * FROM (VALUES ('manifest', 12), ('catalog', 1), ('run-results', 6), ('sources', 3)) t(kind, m)),
+p AS (SELECT kind, m, unnest(range(1, m + 1)) n FROM k),
+r AS (SELECT kind || ' auto' parser, m latest, CASE WHEN kind = told THEN error ELSE 'Not a ' || kind || '.json' END error FROM auto, k
+  UNION ALL SELECT kind || ' v' || n, m, CASE WHEN kind = told AND num = n::VARCHAR THEN NULL ELSE 'Not a ' || kind || '.json v' || n END FROM auto, p)
+SELECT parser, latest::INT latest, {_SHOWN}, count(*) FILTER (error IS NULL) n_versions FROM r GROUP BY ALL"""
+
+
 def metadata_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.element_at(F.array(*[F.lit(x) for x in ('{}', '{"metadata":null}', '{"metadata":{"foo":"bar"}}', '{"metadata":{"dbt_schema_version":5}}', '{"metadata":[1]}', '{"metadata":{"dbt_schema_version":["/manifest/v1.json"]}}', '{"metadata":{"dbt_schema_version":""}}', "null", '{"meta', '{"metadata":{"dbt_schema_version":"x/manifest/v12.json"}}')]), (F.col("event_id") % 10 + 1).cast("int"))
     docs = rows(spark, sf_dir, "events").select("event_id", body.alias("body"))
@@ -443,7 +466,7 @@ def lineage_by_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINEAGE_BY_ARTIFACT = """SELECT n_nationkey::VARCHAR artifact_id, ((2 + n_nationkey % 5) * (3 + n_nationkey % 5) / 2)::BIGINT n_pairs, 2 + n_nationkey % 5 AS depth FROM nation"""
 
 
-_QUERIES = (detect_versions, pinned_vs_auto, metadata_guard, run_status_totals, run_first_results, union_versions, run_timings, catalog_columns, catalog_stats, manifest_nodes, node_lookup, node_refs_both_forms, disabled_nodes, manifest_edges, lineage_closure, freshness_status, generic_tests, measure_aggs, metric_ratio, metric_cumulative, saved_query, artifact_metadata, entry_positions, container_kinds, node_config, node_constraints, unit_test_parts, unit_test_differences, snapshot_history, tests_where, metric_derived, metric_conversion, metric_non_additive, lineage_by_artifact)
+_QUERIES = (detect_versions, pinned_vs_auto, entry_points, metadata_guard, run_status_totals, run_first_results, union_versions, run_timings, catalog_columns, catalog_stats, manifest_nodes, node_lookup, node_refs_both_forms, disabled_nodes, manifest_edges, lineage_closure, freshness_status, generic_tests, measure_aggs, metric_ratio, metric_cumulative, saved_query, artifact_metadata, entry_positions, container_kinds, node_config, node_constraints, unit_test_parts, unit_test_differences, snapshot_history, tests_where, metric_derived, metric_conversion, metric_non_additive, lineage_by_artifact)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
