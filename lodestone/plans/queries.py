@@ -85,9 +85,9 @@ round(sum(l_quantity), 2) total_time, sum(l_linenumber)::BIGINT n_failures FROM
 
 def run_first_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first result of each document, its number of results and whether its status is a known one."""
-    docs = order_runs(spark, sf_dir)
-    first = run_results.run_results(docs).where("pos = 0").select("artifact_id", "unique_id", "message", F.col("status").isin("success", "pass", "fail", "warn", "skipped").alias("known"))
-    return first.join(run_results.run_totals(docs), "artifact_id").select(F.col("artifact_id").cast("long").alias("artifact_id"), "unique_id", "message", "known", F.col("n_results").cast("long").alias("n_results"))
+    first = run_results.run_results(order_runs(spark, sf_dir), totals=True).where("pos = 0")
+    known = F.col("status").isin("success", "pass", "fail", "warn", "skipped").alias("known")
+    return first.select(F.col("artifact_id").cast("long").alias("artifact_id"), "unique_id", "message", known, F.col("n_results").cast("long").alias("n_results"))
 
 
 RUN_FIRST_RESULTS = """WITH l AS (SELECT l_orderkey, l_linenumber, 'model.shop.p' || l_partkey unique_id, l_linestatus message, l_quantity,

@@ -255,3 +255,15 @@ def test_lineage_of_a_long_chain(spark):
     edges = spark.createDataFrame([(a, f"n{i}", f"n{i + 1}") for a in ("x", "y") for i in range(12)], "artifact_id string, parent string, child string")
     got = lineage.closure(edges.where("not (artifact_id = 'y' and parent = 'n5')"), keys=("artifact_id",))
     assert {(r.artifact_id, r["n"]) for r in got.groupBy("artifact_id").agg(F.count("*").alias("n")).collect()} == {("x", 78), ("y", 15 + 21)}
+
+
+def test_totals_beside_results_parse_documents_once(spark):
+    from lodestone.plans import queries
+
+    df = frame(spark, body("run-results", 6, elapsed_time=2.0, results=[{"unique_id": "m", "message": 7}, {"unique_id": "t"}]), body("run-results", 1, results=[]), body("run-results", 6), None, "{")
+    got = run_results.run_results(df.withColumn("kept", F.lit(1)), keep=("kept",), totals=True)
+    assert [(r.artifact_id, r.kept, r.elapsed_time, r.n_results, r.pos, r.unique_id, r.message) for r in got.orderBy("pos").collect()] == [("0", 1, 2.0, 2, 0, "m", "7"), ("0", 1, 2.0, 2, 1, "t", None)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    # Sizes of documents are guessed too small, so a join of all with all was broadcast.
+    plan = queries.queries()["run_first_results"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
