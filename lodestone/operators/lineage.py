@@ -19,6 +19,15 @@ def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     return on
 
 
+def _joined(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "inner") -> DataFrame:
+    """left joined with right where they are equal in names, nulls included, which right has with an underscore before.
+
+    Both sides grow with the graphs, but Spark guesses tables made of documents far too small, so it is told not to broadcast
+    them: that would take them through the driver.
+    """
+    return left.join(right.hint("merge"), _same(left, right, names), how)
+
+
 def _marked(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(n).alias(f"_{n}") if n in names else F.col(n) for n in df.columns])
 
@@ -64,9 +73,9 @@ def _spread(step: DataFrame, starts: DataFrame, most: int | None, keys: tuple[st
     for depth in count(1):
         if most is not None and depth > most:
             break
-        new = last.join(onward, _same(last, onward, [*keys, "node"])).select(*keys, "start", F.col("_to").alias("node")).distinct()
+        new = _joined(last, onward, [*keys, "node"]).select(*keys, "start", F.col("_to").alias("node")).distinct()
         old = _marked(_whole(parts).where("depth > 0").select(*keys, "start", "node"), [*keys, "start", "node"])
-        last = new.join(old, _same(new, old, [*keys, "start", "node"]), "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        last = _joined(new, old, [*keys, "start", "node"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if last.isEmpty():
             break
         parts = _added(parts, last)
@@ -97,39 +106,39 @@ def _over_chains(step: DataFrame, first: DataFrame, most: int | None, keys: tupl
     nodes = step.select(*keys, F.col("from").alias("node")).union(step.select(*keys, "to")).distinct()
     links = told.where("link").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("from").alias("head"), F.col("to").alias("_node"))
     # Each node points back along its chain, each round twice as far.
-    at = nodes.join(links, _same(nodes, links, [*keys, "node"]), "left").select(*keys, "node", F.coalesce("head", "node").alias("head"), F.when(F.col("head").isNotNull(), 1).otherwise(0).cast("long").alias("offset"))
+    at = _joined(nodes, links, [*keys, "node"], "left").select(*keys, "node", F.coalesce("head", "node").alias("head"), F.when(F.col("head").isNotNull(), 1).otherwise(0).cast("long").alias("offset"))
     at = at.checkpoint()
     rounds = max(1, at.count()).bit_length() + 1
     for _ in range(rounds):
         back = at.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("node").alias("_head"), F.col("head").alias("_to"), F.col("offset").alias("_more"))
-        after = at.join(back, _same(at, back, [*keys, "head"])).select(*keys, "node", F.col("_to").alias("head"), (F.col("offset") + F.col("_more")).alias("offset"), (F.col("_more") > 0).alias("moved")).checkpoint()
+        after = _joined(at, back, [*keys, "head"]).select(*keys, "node", F.col("_to").alias("head"), (F.col("offset") + F.col("_more")).alias("offset"), (F.col("_more") > 0).alias("moved")).checkpoint()
         at = after.drop("moved")
         if after.where("moved").isEmpty():
             break
     # A ring has no head: its nodes are chains of their own.
     heads = _marked(at.where("offset = 0").select(*keys, F.col("node").alias("head")), [*keys, "head"])
-    ringed = at.join(heads, _same(at, heads, [*keys, "head"]), "left")
+    ringed = _joined(at, heads, [*keys, "head"], "left")
     at = ringed.select(*keys, "node", F.when(F.col("_head").isNull(), F.col("node")).otherwise(F.col("head")).alias("head"), F.when(F.col("_head").isNull(), 0).otherwise(F.col("offset")).cast("long").alias("offset")).checkpoint()
     ring = at.where("offset = 0").select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("node").alias("_to"))
     # What leads out of a chain leads from its last node; steps into heads, among them those within rings, are all there are.
-    outward = told.join(ring, _same(told, ring, [*keys, "to"])).drop(*[f"_{k}" for k in keys], "_to")
+    outward = _joined(told, ring, [*keys, "to"]).drop(*[f"_{k}" for k in keys], "_to")
     tails = at.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("node").alias("_from"), F.col("head"), F.col("offset"))
-    ways_on = outward.join(tails, _same(outward, tails, [*keys, "from"])).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("head").alias("_head"), (F.col("offset") + 1).alias("_length"), F.col("to").alias("_to")).checkpoint()
+    ways_on = _joined(outward, tails, [*keys, "from"]).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("head").alias("_head"), (F.col("offset") + 1).alias("_length"), F.col("to").alias("_to")).checkpoint()
     # From where a start is in its chain.
     place = _marked(at, [*keys, "node"])
-    begun = first.join(place, _same(first, place, [*keys, "node"])).select(*keys, "start", "head", "offset").checkpoint()
-    near = begun.join(ways_on, _same(begun, ways_on, [*keys, "head"])).select(*keys, "start", F.col("_to").alias("head"), (F.col("_length") - F.col("offset")).alias("depth"))
+    begun = _joined(first, place, [*keys, "node"]).select(*keys, "start", "head", "offset").checkpoint()
+    near = _joined(begun, ways_on, [*keys, "head"]).select(*keys, "start", F.col("_to").alias("head"), (F.col("_length") - F.col("offset")).alias("depth"))
     within = lambda df: df if most is None else df.where(F.col("depth") <= most)
     known = last = within(near).groupBy(*keys, "start", "head").agg(F.min("depth").alias("depth")).checkpoint()
     while not last.isEmpty():
-        more = last.join(ways_on, _same(last, ways_on, [*keys, "head"])).select(*keys, "start", F.col("_to").alias("head"), (F.col("depth") + F.col("_length")).alias("depth"))
+        more = _joined(last, ways_on, [*keys, "head"]).select(*keys, "start", F.col("_to").alias("head"), (F.col("depth") + F.col("_length")).alias("depth"))
         better = within(more).groupBy(*keys, "start", "head").agg(F.min("depth").alias("depth"))
         old = known.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("start").alias("_start"), F.col("head").alias("_head"), F.col("depth").alias("_depth"))
-        last = better.join(old, _same(better, old, [*keys, "start", "head"]), "left").where("_depth is null or depth < _depth").select(*keys, "start", "head", "depth").checkpoint()
+        last = _joined(better, old, [*keys, "start", "head"], "left").where("_depth is null or depth < _depth").select(*keys, "start", "head", "depth").checkpoint()
         known = known.union(last).groupBy(*keys, "start", "head").agg(F.min("depth").alias("depth")).checkpoint()
     members = at.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("node"), F.col("head").alias("_head"), F.col("offset").alias("_offset"))
-    far = known.join(members, _same(known, members, [*keys, "head"])).select(*keys, "start", "node", (F.col("depth") + F.col("_offset")).alias("depth"))
-    own = begun.join(members, _same(begun, members, [*keys, "head"])).where("_offset > offset").select(*keys, "start", "node", (F.col("_offset") - F.col("offset")).alias("depth"))
+    far = _joined(known, members, [*keys, "head"]).select(*keys, "start", "node", (F.col("depth") + F.col("_offset")).alias("depth"))
+    own = _joined(begun, members, [*keys, "head"]).where("_offset > offset").select(*keys, "start", "node", (F.col("_offset") - F.col("offset")).alias("depth"))
     return within(far.union(own)).groupBy(*keys, "start", "node").agg(F.min("depth").cast("int").alias("depth"))
 
 
@@ -140,38 +149,43 @@ def finish_times(edges: DataFrame, seconds: DataFrame, parent: str = "parent", c
     seconds has columns of keys, node and `value`; nodes without take no time, and several rows of a node add up.
     critical tells the nodes of the longest path of each key (the one to the node of the least name, of equal ones).
 
-    A node is settled in the round after the last of its parents, so rounds are as many as the graph is deep, and each edge
-    is used once. A cycle is refused.
+    A node is settled in the round after the last of its parents, so rounds are as many as the graph is deep. Each edge is
+    used once and then dropped, and the longest paths are followed back round by round, each node of them looked up once in
+    the table of its round. A cycle is refused.
     """
     step = _steps(edges, parent, child, keys)
-    spent = seconds.select(*keys, "node", F.col(value).alias("seconds")).where("node is not null").groupBy(*keys, "node").agg(F.coalesce(F.sum("seconds"), F.lit(0.0)).cast("double").alias("seconds"))
-    nodes = step.select(*keys, F.col("from").alias("node")).union(step.select(*keys, "to")).union(spent.select(*keys, "node")).distinct()
-    spent, need = _marked(spent, [*keys, "node"]), _marked(step.groupBy(*keys, F.col("to").alias("node")).agg(F.count("*").alias("need")), [*keys, "node"])
-    pending = nodes.join(spent, _same(nodes, spent, [*keys, "node"]), "left").select(*keys, "node", F.coalesce("seconds", F.lit(0.0)).alias("seconds"))
-    pending = pending.join(need, _same(pending, need, [*keys, "node"]), "left").select(*keys, "node", "seconds", F.coalesce("need", F.lit(0)).alias("need"), F.lit(None).cast("struct<ends:double,after:string>").alias("best")).checkpoint()
-    onward = step.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("from").alias("_node"), F.col("to").alias("_to"))
+    kind, zero = seconds.schema[value].dataType, F.lit(0).cast("long")
+    given = seconds.where("node is not null").select(*keys, "node", F.col(value).alias("seconds"), zero.alias("need"))
+    nodes = step.select(*keys, F.col("from").alias("node"), F.lit(None).cast(kind).alias("seconds"), zero.alias("need")).union(step.select(*keys, "to", F.lit(None).cast(kind), zero + 1)).union(given)
+    nodes = nodes.groupBy(*keys, "node").agg(F.coalesce(F.sum("seconds"), F.lit(0.0)).cast("double").alias("seconds"), F.sum("need").alias("need"))
+    pending = nodes.withColumn("best", F.lit(None).cast("struct<ends:double,after:string,after_round:int>")).checkpoint()
+    onward = step.select(*keys, F.col("from").alias("node"), "to")
     parts: list[DataFrame] = []
+    rounds = 0
     while not pending.isEmpty():
-        ready = pending.where("need = 0").select(*keys, "node", "seconds", F.coalesce("best.ends", F.lit(0.0)).alias("begins"), F.col("best.after").alias("after"))
+        rounds += 1
+        ready = pending.where("need = 0").select(*keys, "node", "seconds", F.coalesce("best.ends", F.lit(0.0)).alias("begins"), "best.after", "best.after_round", F.lit(rounds).alias("round"))
         ready = ready.withColumn("ends", F.col("begins") + F.col("seconds")).checkpoint()
         if ready.isEmpty():
             raise ValueError("A cycle of dependencies")
         parts = _added(parts, ready)
+        met = _joined(onward, _marked(ready.select(*keys, "node", "ends"), [*keys, "node"]), [*keys, "node"], "left").select(*keys, "node", "to", "ends").checkpoint()
+        onward = met.where("ends is null").select(*keys, "node", "to")
         # The latest parent; of equal ones that of the least name.
-        told = ready.join(onward, _same(ready, onward, [*keys, "node"])).groupBy(*keys, F.col("_to").alias("node")).agg(F.count("*").alias("met"), F.max("ends").alias("latest"), F.min_by("node", F.struct(-F.col("ends"), "node")).alias("by"))
+        told = met.where("ends is not null").groupBy(*keys, F.col("to").alias("node")).agg(F.count("*").alias("met"), F.max("ends").alias("latest"), F.min_by("node", F.struct(-F.col("ends"), "node")).alias("by"))
         told = _marked(told, [*keys, "node"])
-        left = pending.where("need > 0")
         later = F.col("latest").isNotNull() & (F.col("best").isNull() | (F.col("latest") > F.col("best.ends")) | ((F.col("latest") == F.col("best.ends")) & (F.col("by") < F.col("best.after"))))
-        best = F.when(later, F.struct(F.col("latest").alias("ends"), F.col("by").cast("string").alias("after"))).otherwise(F.col("best"))
-        pending = left.join(told, _same(left, told, [*keys, "node"]), "left").select(*keys, "node", "seconds", (F.col("need") - F.coalesce("met", F.lit(0))).alias("need"), best.alias("best")).checkpoint()
+        best = F.when(later, F.struct(F.col("latest").alias("ends"), F.col("by").cast("string").alias("after"), F.lit(rounds).alias("after_round"))).otherwise(F.col("best"))
+        pending = _joined(pending.where("need > 0"), told, [*keys, "node"], "left").select(*keys, "node", "seconds", (F.col("need") - F.coalesce("met", F.lit(0))).alias("need"), best.alias("best")).checkpoint()
     if not parts:
         return nodes.select(*keys, "node", *[F.lit(0.0).alias(c) for c in ("seconds", "begins", "ends")], F.lit("").alias("after"), F.lit(True).alias("critical"))
     done = _whole(parts)
-    path = at = done.groupBy(*keys).agg(F.min_by(F.struct("node", "after"), F.struct(-F.col("ends"), "node")).alias("x")).select(*keys, "x.node", "x.after").checkpoint()
-    while not at.where("after is not null").isEmpty():
-        back = _marked(done.select(*keys, "node", F.col("after").alias("then")), [*keys, "node"])
-        up = at.select(*keys, F.col("after").alias("node")).where("node is not null")
-        at = up.join(back, _same(up, back, [*keys, "node"])).select(*keys, "node", F.col("then").alias("after")).checkpoint()
-        path = path.union(at)
-    marks = _marked(path.select(*keys, "node", F.lit(True).alias("critical")), [*keys, "node"])
-    return done.join(marks, _same(done, marks, [*keys, "node"]), "left").select(*keys, "node", "seconds", "begins", "ends", "after", F.coalesce("critical", F.lit(False)).alias("critical"))
+    # Back from the last node of each key: path has the nodes and their rounds.
+    path = [done.groupBy(*keys).agg(F.min_by(F.struct("node", "round"), F.struct(-F.col("ends"), "node")).alias("x")).select(*keys, "x.node", "x.round").checkpoint()]
+    for r in range(rounds, 1, -1):
+        # The first table may hold several rounds, each other one holds one.
+        back = parts[max(0, r - 1 - (rounds - len(parts)))].where(F.col("round") == r).select(*keys, "node", "after", "after_round")
+        at = _joined(_whole(path).where(F.col("round") == r).select(*keys, "node"), _marked(back, [*keys, "node"]), [*keys, "node"])
+        path = _added(path, at.where("after is not null").select(*keys, F.col("after").alias("node"), F.col("after_round").alias("round")).checkpoint())
+    marks = _marked(_whole(path).select(*keys, "node", F.lit(True).alias("critical")), [*keys, "node"])
+    return _joined(done, marks, [*keys, "node"], "left").select(*keys, "node", "seconds", "begins", "ends", "after", F.coalesce("critical", F.lit(False)).alias("critical"))

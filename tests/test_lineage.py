@@ -72,3 +72,36 @@ def test_finish_times_of_chains_and_diamonds(spark):
         lineage.finish_times(spark.createDataFrame([("r", "a", "b"), ("r", "b", "a"), ("r", "c", "a")], KIND), spark.createDataFrame([], "artifact_id string, node string, seconds double"), keys=("artifact_id",))
     none = spark.createDataFrame([], KIND)
     assert lineage.finish_times(none, spark.createDataFrame([], "node string, seconds double")).count() == 0
+
+
+def test_graphs_are_not_broadcast(spark):
+    # Tables made of documents are guessed far too small; broadcast, they would all pass through the driver.
+    edges = spark.createDataFrame([("r", "a", "b"), ("r", "b", "c"), (None, "a", "b")], KIND)
+    seconds = spark.createDataFrame([("r", "a", 1.0), (None, "b", 2.0)], "artifact_id string, node string, seconds double")
+    starts = spark.createDataFrame([("r", "a")], "artifact_id string, node string")
+    last = [lineage.finish_times(edges, seconds, keys=("artifact_id",)), lineage.reach(edges, starts, keys=("artifact_id",), chains=True)]
+    last.append(lineage._joined(edges.select("artifact_id", "child"), lineage._marked(seconds.select("artifact_id"), ["artifact_id"]), ["artifact_id"], "left_anti"))
+    for df in last:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_finish_times_of_more_rounds_than_tables(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "APART", 2)
+    rng = random.Random(5)
+    n = 6
+    edges = [(k, f"n{i:02}", f"n{i + 1:02}") for k in ("a", "b") for i in range(n - 1)] + [("a", f"n{i:02}", f"n{rng.randrange(i + 1, n):02}") for i in range(n - 1)] + [("a", "x", f"n{n - 2:02}")]
+    spent = {("a", f"n{i:02}"): float(rng.randrange(4)) for i in range(n)} | {("b", f"n{i:02}"): 1.0 for i in range(n)} | {("a", "x"): 1000.0}
+    got = lineage.finish_times(spark.createDataFrame(edges, KIND), spark.createDataFrame([(*k, v) for k, v in spent.items()], "artifact_id string, node string, seconds double"), keys=("artifact_id",))
+    ends, after = {}, {}
+    for k, node in [("a", "x"), *sorted(x for x in spent if x != ("a", "x"))]:
+        parents = {(-ends[k, a], a) for key, a, b in edges if key == k and b == node}
+        after[k, node] = min(parents)[1] if parents else None
+        ends[k, node] = spent[k, node] + (-min(parents)[0] if parents else 0)
+    path = set()
+    for k in ("a", "b"):
+        at = min((-e, node) for (key, node), e in ends.items() if key == k)[1]
+        while at is not None:
+            path.add((k, at))
+            at = after[k, at]
+    assert {(r.artifact_id, r.node): (r.ends, r.after, r.critical) for r in got.collect()} == {x: (ends[x], after[x], x in path) for x in ends}
