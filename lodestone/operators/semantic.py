@@ -5,9 +5,14 @@ Manifests only declare these; what they mean here is this module's own definitio
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import checkpoint_folder
+
 
 def interval(window: str) -> Column:
     """The length of a window such as "3 month" or "2 quarters"."""
@@ -31,6 +36,53 @@ def measure(agg: str, expr: str, percentile: float = 0.5, discrete: bool = False
     raise ValueError(f"Unknown aggregate: {agg}")
 
 
+def measures(df: DataFrame, by: list[str], wanted: Mapping[str, tuple[str, str, dict]]) -> DataFrame:
+    """The columns named by `by` and a column for each name in wanted: (agg, expr, more), as `measure` takes them.
+
+    Medians and percentiles of numbers are as exact as those of `measure`, which hold all different values of a group in one
+    task: here each different value is counted, ranges of values are dealt out, and only the ranges that hold a wanted
+    place are put in order. Needs a checkpoint folder if there are any.
+    """
+    ordered = {n: w for n, w in wanted.items() if w[0] == "median" or w[0] == "percentile" and not w[2].get("approximate")}
+    out = df.groupBy(*by).agg(F.lit(None).alias("_none"), *[measure(a, e, **k).alias(n) for n, (a, e, k) in wanted.items() if n not in ordered]).drop("_none")
+    for expr in dict.fromkeys(w[1] for w in ordered.values()):
+        places = {n: (0.5 if a == "median" else k.get("percentile", 0.5), a == "percentile" and k.get("discrete", False)) for n, (a, e, k) in ordered.items() if e == expr}
+        got = _placed(df.select(*by, F.expr(expr).cast("double").alias("_v")).where("_v is not null"), by, places)
+        got = got.select(*[F.col(b).alias(f"_{b}") for b in by], *places)
+        out = out.join(got, _alike(out, got, by), "left").drop(*[f"_{b}" for b in by])
+    return out.select(*by, *wanted)
+
+
+def _alike(left: DataFrame, right: DataFrame, by: list[str]) -> Column:
+    return reduce(lambda on, b: on & left[b].eqNullSafe(right[f"_{b}"]), by, F.lit(True))
+
+
+def _placed(df: DataFrame, by: list[str], places: Mapping[str, tuple[float, bool]]) -> DataFrame:
+    """For each group the values `_v` at these shares (share, whether discrete)."""
+    checkpoint_folder(df.sparkSession)
+    counted = df.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    # Ranges follow each other: what comes before one is in the ranges with smaller numbers.
+    counted = counted.repartitionByRange(*by, "_v").withColumn("_range", F.spark_partition_id()).checkpoint()
+    group = Window.partitionBy(*by)
+    ranges = counted.groupBy(*by, "_range").agg(F.sum("_n").alias("_size"))
+    ranges = ranges.withColumn("_all", F.sum("_size").over(group)).withColumn("_before", F.sum("_size").over(group.orderBy("_range")) - F.col("_size"))
+    # Places count from 0. A continuous one may lie between two values.
+    at, ends = {}, {}
+    for n, (share, discrete) in places.items():
+        at[n] = F.greatest(F.ceil(share * F.col("_all")) - 1, F.lit(0)) if discrete else (F.col("_all") - 1) * share
+        ends[n] = (F.floor(at[n]), F.ceil(at[n]))
+    within = lambda place, first, size: (place >= first) & (place < first + size)
+    some = lambda first, size: reduce(lambda a, b: a | b, [within(x, first, size) for pair in ends.values() for x in pair])
+    held = ranges.where(some(F.col("_before"), F.col("_size"))).select(*[F.col(b).alias(f"_{b}") for b in by], F.col("_range").alias("_which"), "_all", "_before")
+    each = counted.join(held, _alike(counted, held, by) & (F.col("_range") == F.col("_which"))).select(*by, "_range", "_v", "_n", "_all", "_before")
+    each = each.withColumn("_first", F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_range").orderBy("_v")) - F.col("_n"))
+    found = [F.max(F.when(within(x, F.col("_first"), F.col("_n")), F.col("_v"))).alias(f"_{i}_{n}") for n, pair in ends.items() for i, x in enumerate(pair)]
+    met = each.where(some(F.col("_first"), F.col("_n"))).groupBy(*by, "_all").agg(*found)
+    low, high = (lambda n: F.col(f"_0_{n}")), (lambda n: F.col(f"_1_{n}"))
+    between = lambda n: F.when(ends[n][0] == ends[n][1], low(n)).otherwise((ends[n][1] - at[n]) * low(n) + (at[n] - ends[n][0]) * high(n))
+    return met.select(*by, *[between(n).alias(n) for n in places])
+
+
 def where_all(df: DataFrame, filters: list[str]) -> DataFrame:
     """Rows for which all filters hold."""
     for f in filters:

@@ -271,8 +271,7 @@ WHEN failures = 0 THEN 'pass' WHEN test_name = 'unique_orders_o_custkey' THEN 'w
 
 def measure_aggs(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = {"s_sum": ("sum", "l_quantity", {}), "s_min": ("min", "l_extendedprice", {}), "s_max": ("max", "l_extendedprice", {}), "s_count": ("count", "l_orderkey", {}), "s_distinct": ("count_distinct", "l_partkey", {}), "s_bool": ("sum_boolean", "l_discount > 0.05", {}), "s_avg": ("average", "l_quantity", {}), "s_median": ("median", "l_extendedprice", {}), "s_cont": ("percentile", "l_extendedprice", {"percentile": 0.9}), "s_disc": ("percentile", "l_extendedprice", {"percentile": 0.9, "discrete": True})}
-    aggs = [semantic.measure(a, e, **k).alias(n) for n, (a, e, k) in wanted.items()]
-    got = rows(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(*aggs)
+    got = semantic.measures(rows(spark, sf_dir, "lineitem"), ["l_returnflag"], wanted)
     return got.select("l_returnflag", *[F.round(c, 4).alias(c) if c in ("s_sum", "s_avg", "s_median", "s_cont") else F.col(c) for c in wanted])
 
 

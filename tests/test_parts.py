@@ -44,3 +44,21 @@ def test_documents_are_parsed_once_for_each_table(spark):
     for table in (manifest.constraints(df), manifest.unit_test_rows(df), catalog.catalog_tables(df)):
         plan = table._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json") == 1 and plan.count("LogicalRDD") == 1
+
+
+def test_percentiles_by_ranges_of_values(spark):
+    import random
+
+    from lodestone.operators import semantic
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1.5, 2.0, -3.0, None, rng.random()])) for _ in range(300)] + [("one", 7.0), ("none", None), ("two", 1.0), ("two", 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    wanted = {"n": ("count", "x", {}), "mid": ("median", "x", {}), "low": ("percentile", "x * 2", {"percentile": 0.0}), "most": ("percentile", "x", {"percentile": 0.9}), "disc": ("percentile", "x", {"percentile": 0.9, "discrete": True}), "near": ("percentile", "x", {"percentile": 0.4, "approximate": True}), "d": ("count_distinct", "x", {})}
+    for by in (["g"], []):
+        got = semantic.measures(df, by, wanted)
+        want = df.groupBy(*by).agg(*[semantic.measure(a, e, **k).alias(n) for n, (a, e, k) in wanted.items()])
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+        # No aggregate holds all values of a group.
+        assert "percentile(" not in got._jdf.queryExecution().optimizedPlan().toString() and "median(" not in got._jdf.queryExecution().optimizedPlan().toString()
