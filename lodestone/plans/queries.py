@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.detect import detect, outcomes, parse, parse_version
+from lodestone.functions.detect import detect, outcomes, parse, parse_version, read
 from lodestone.operators import catalog, checks, freshness, lineage, manifest, metadata, run_results, semantic, snapshot
 
 from . import declared, graphs
@@ -43,19 +43,23 @@ SELECT parser, {_SHOWN} FROM r GROUP BY ALL"""
 
 
 def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every parser that the package offers says of all documents, and the newest version of its kind."""
+    """What every parser that the package offers says of all documents, and the newest version of its kind.
+
+    Documents are read once; as parsers judge by the facts read alone, each sees the different facts, with how many documents have them.
+    """
     import lodestone
 
-    docs, out = event_urls(spark, sf_dir), None
+    docs, said = read(event_urls(spark, sf_dir)).groupBy("facts").agg(F.count("*").alias("n")), []
     kinds = {"manifest": lodestone.manifest, "catalog": lodestone.catalog, "run-results": lodestone.run_results, "sources": lodestone.freshness}
     roots = (lodestone.parse_manifest, lodestone.parse_catalog, lodestone.parse_run_results, lodestone.parse_sources)
     for (kind, own), root in zip(kinds.items(), roots):
         parsers = {"auto": root, **{f"v{v}": getattr(own, f"parse_v{v}") for v in range(1, own.LATEST_VERSION + 1)}}
         for name, parser in parsers.items():
-            said = parser(docs).groupBy(F.coalesce("error", F.lit("ok")).alias("outcome")).agg(F.count("*").alias("n_docs"), F.count("version").alias("n_versions"))
-            row = said.select(F.lit(f"{kind} {name}").alias("parser"), F.lit(own.LATEST_VERSION).alias("latest"), "outcome", "n_docs", "n_versions")
-            out = row if out is None else out.union(row)
-    return out
+            row = F.struct(F.lit(f"{kind} {name}").alias("parser"), F.lit(own.LATEST_VERSION).alias("latest"), F.coalesce("error", F.lit("ok")).alias("outcome"), "version")
+            said.append(f"said_{len(said)}")
+            docs = parser(docs, known="facts").select("facts", "n", *said[:-1], row.alias(said[-1]))
+    each = docs.select("n", F.inline(F.array(*said)))
+    return each.groupBy("parser", "latest", "outcome").agg(F.sum("n").alias("n_docs"), F.sum(F.when(F.col("version").isNotNull(), F.col("n")).otherwise(0)).alias("n_versions"))
 
 
 ENTRY_POINTS = f"""WITH {_EVENTS}, k AS (SELECT * FROM (VALUES ('manifest', 12), ('catalog', 1), ('run-results', 6), ('sources', 3)) t(kind, m)),

@@ -267,3 +267,15 @@ def test_totals_beside_results_parse_documents_once(spark):
     # Sizes of documents are guessed too small, so a join of all with all was broadcast.
     plan = queries.queries()["run_first_results"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Broadcast" not in plan
+
+
+def test_parsers_share_one_reading(spark):
+    from lodestone.functions.detect import read
+    from lodestone.plans import queries
+
+    df = frame(spark, body("manifest", 3), body("manifest", 77), body("sources", 2), "{}", "{", None, "null")
+    for parser in (manifests.parse, manifests.parse_v3, freshnesses.parse, freshnesses.parse_v1):
+        told = [tuple(r) for r in parser(df).orderBy("artifact_id").collect()]
+        assert [tuple(r) for r in parser(read(df), known="facts").drop("facts").orderBy("artifact_id").collect()] == told
+    plan = queries.queries()["entry_points"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() == 1
